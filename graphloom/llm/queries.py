@@ -16,6 +16,39 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import derivatives, responses_of_pages
+
+    return derivatives(responses_of_pages(read_table(spark, sf_dir, "pages")), ["page_id"])
+
+
+def op6_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .chat import rotate
+
+    rows = rotate(read_table(spark, sf_dir, "conversations"))
+    mask = F.array_join(F.transform("mask", lambda s: F.concat_ws("-", s.begin.cast("string"), s.end.cast("string"))), ",")
+    return rows.withColumn("mask", mask)
+
+
+def op3_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .winnowing import find_leaks
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+    items = F.size("item_ids").cast("long")
+    return found.select("doc_id", "n_words", "n_hit", items.alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (items >= 2).alias("contaminated"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decision_list import judged, learn_rules
 
@@ -35,11 +68,28 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_5
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_warc_derivatives": op2_warc_derivatives,
+    "op6_chat_rotation": op6_chat_rotation,
+    "op3_simhash_covering": op3_simhash_covering,
+    "op7_winnowing": op7_winnowing,
     "op5_quality_rules": op5_quality_rules,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
 ORACLE_SQL = {
+    "op6_chat_rotation": """
+WITH t AS (SELECT conv_id, coalesce(turn // 512, 0) AS segment, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+names AS (SELECT DISTINCT conv_id, role AS me FROM t WHERE role <> 'system'),
+parts AS (SELECT t.conv_id, n.me, t.segment, t.role = n.me AS mine,
+    '<|begin|>' || CASE WHEN t.role = n.me THEN 'assistant' WHEN t.role = 'system' THEN 'system' ELSE 'user name=' || t.role END || chr(10) AS head, t.text || '<|end|>' AS body,
+    row_number() OVER (PARTITION BY t.conv_id, n.me, t.segment ORDER BY t.turn NULLS FIRST, t.role, t.text) AS i
+    FROM t JOIN names n ON t.conv_id IS NOT DISTINCT FROM n.conv_id),
+placed AS (SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, me, segment ORDER BY i) - length(body) - 1 AS b FROM parts)
+SELECT conv_id, me AS participant, segment, count(*) AS n_turns, count(*) FILTER (WHERE mine) AS n_target_turns,
+    string_agg(head || body || chr(10), '' ORDER BY i) AS rendered,
+    coalesce(string_agg(CAST(b AS BIGINT)::VARCHAR || '-' || CAST(b + length(body) AS BIGINT)::VARCHAR, ',' ORDER BY i) FILTER (WHERE mine), '') AS mask
+FROM placed GROUP BY conv_id, me, segment
+""",
     "op1_url_filter": """
 WITH rules(rule, host, prefix, verdict) AS (VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
     ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
