@@ -38,6 +38,13 @@ def op3_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op4_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import remove_repeats
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs, keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -71,6 +78,7 @@ QUERIES = {
     "op2_warc_derivatives": op2_warc_derivatives,
     "op6_chat_rotation": op6_chat_rotation,
     "op3_simhash_covering": op3_simhash_covering,
+    "op4_substring_index": op4_substring_index,
     "op7_winnowing": op7_winnowing,
     "op5_quality_rules": op5_quality_rules,
     "op9_byte_bpe": op9_byte_bpe,
