@@ -117,6 +117,7 @@ class DigestArray:
 
 
 _OPEN: dict[str, DigestArray] = {}
+_SENT: set[tuple[str, str]] = set()
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame | list[tuple[str, str]], *, url: str = "url", otherwise: str = ALLOW, max_index_bytes: int = MAX_INDEX_BYTES) -> DataFrame:
@@ -138,9 +139,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame | list[tuple[str, str]], *, ur
             return _joined(rows, rules, url, keep, otherwise)
         rules = [tuple(r) for r in rules.collect()]
     name = f"rules-{xxhash.xxh64_hexdigest(repr(sorted(rules)).encode())}.idx"
-    folder = tempfile.mkdtemp(prefix="graphloom-rules-")
-    DigestArray.write(os.path.join(folder, name), rules)
-    spark.sparkContext.addFile(os.path.join(folder, name))
+    known = (spark.sparkContext.applicationId, name)  # the name follows from the rules: equal rules are sent once
+    if known not in _SENT:
+        folder = tempfile.mkdtemp(prefix="graphloom-rules-")
+        DigestArray.write(os.path.join(folder, name), rules)
+        spark.sparkContext.addFile(os.path.join(folder, name))
+        _SENT.add(known)
 
     def run(batches):
         if name not in _OPEN:
