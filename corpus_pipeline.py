@@ -1,8 +1,76 @@
-"""Corpus preparation: quality rules, near-duplicates, repeated passages, benchmark leaks, tokens."""
+"""Corpus preparation in five stages, each on all that the one before kept.
 
-STAGES = []
+``STAGES`` lists ``(name, function)``; a function takes ``(spark, docs, sf_dir)`` and returns
+a DataFrame.  All but the last return the columns of ``documents``.  ``run`` writes each
+stage's rows to the shared folder and reads them again as the next one's documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.llm import bpe, decision_list, simhash, substring, winnowing
+from graphloom.llm.shared import new_path, read_table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rule or the learned decision list rejects go."""
+    rules = decision_list.learn_rules(docs, read_table(spark, sf_dir, "labels"))
+    return decision_list.judged(docs, rules).where("kept").select(COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document of the smallest id stays.
+
+    Of rows that repeat this id one stays; a group without any id keeps all its rows.
+    """
+    groups = simhash.near_duplicates(docs)
+    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    lost = docs.where("doc_id is null")
+    return kept.union(lost).select(COLUMNS)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that occur earlier are cut out; documents of which nothing is left go."""
+    out = substring.remove_repeats(docs, keep=["lang", "source"])
+    return out.where("n_removed < n_words or n_words = 0").select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of two or more benchmark items go; of others with a hit the hit words are cut out."""
+    found = winnowing.find_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+    clean = found.where(F.size("item_ids") < 2)
+    return winnowing.without_hits(clean).select(COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    import public_tokenizers
+
+    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("benchmark_leaks", benchmark_leaks),
+    ("tokens", tokens),
+]
+
+#: The learned rules and the tokens are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        out = stage(spark, docs, sf_dir)
+        path = new_path(spark, f"pipeline-{name}")
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+    return docs

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .shared import read_table
+from .shared import crc_fold, read_table
 
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
@@ -23,8 +24,6 @@ def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     from .chat import rotate
 
     rows = rotate(read_table(spark, sf_dir, "conversations"))
@@ -46,8 +45,6 @@ def op4_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     from .winnowing import find_leaks
 
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -64,6 +61,24 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import scored, train_on
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = crc_fold("doc_id", 3)
+    model = train_on(docs, read_table(spark, sf_dir, "labels").where(fold != 1))
+    return scored(docs, model).select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identified, train_on
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = crc_fold("doc_id", 5)
+    tagger = train_on(docs.where(fold != 0))
+    return identified(docs.select("doc_id", "text"), tagger).select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     import public_tokenizers
 
@@ -81,6 +96,8 @@ QUERIES = {
     "op4_substring_index": op4_substring_index,
     "op7_winnowing": op7_winnowing,
     "op5_quality_rules": op5_quality_rules,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op10_language_id": op10_language_id,
     "op9_byte_bpe": op9_byte_bpe,
 }
 

@@ -144,3 +144,39 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", ite
 
         out = out.mapInArrow(run, schema)
     return out
+
+
+def without_hits(found: DataFrame, *, text: str = "text", least: int = WINDOW) -> DataFrame:
+    """Cut the hit spans of at least ``least`` words out of the texts of ``find_leaks``, with the blank after them.
+
+    Shorter spans (of items shorter than a window, which ordinary text holds by chance) stay.
+    ``n_chars`` is counted anew for texts that change; all columns stay.
+    """
+    names = found.columns
+    where, spans_at = names.index(text), names.index("hit_spans")
+
+    def run(batches):
+        for batch in batches:
+            texts, spans = batch.column(where).to_pylist(), batch.column(spans_at).to_pylist()
+            for i, cuts in enumerate(spans):
+                cuts = [s for s in cuts if s["end"] - s["begin"] >= least]
+                if not cuts:
+                    continue
+                raw = texts[i].encode()
+                data = K.LOWER[np.frombuffer(raw, np.uint8)]
+                starts, ends, _ = K.words(data, np.array([0, len(data)]), K.ALNUM)
+                out, at = [], 0
+                for s in cuts:
+                    out.append(raw[at : starts[s["begin"]]])
+                    at = int(starts[s["end"]]) if s["end"] < len(starts) else len(raw)
+                out.append(raw[at:])
+                texts[i] = b"".join(out).decode()
+            columns = list(batch.columns)
+            columns[where] = pa.array(texts, pa.string())
+            if "n_chars" in names:
+                kept = batch.column(names.index("n_chars")).to_pylist()
+                changed = batch.column(where).to_pylist()
+                columns[names.index("n_chars")] = pa.array([n if a == b else len(b) for n, a, b in zip(kept, changed, texts, strict=True)], pa.int64())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return found.mapInArrow(run, found.schema)
