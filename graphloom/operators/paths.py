@@ -99,6 +99,7 @@ class Matcher:
         self.free, self.has_subquery = free, has_subquery
         self.used: list[tuple[str, str, set[str]]] = []  # (one or many, column, kinds)
         self.hidden: list[str] = []
+        self.todo: list[A.Path] = []
 
     def name(self, var: str | None) -> str:
         from ..plans.compiler import Names
@@ -195,10 +196,12 @@ class Matcher:
                 self.narrow(nodes[i], names[i])
         want_path = p.var is not None
         kept: dict[int, tuple] = {}
-        for i in range(at, len(rels)):
-            kept[i] = self.hop(p, nodes[i], names[i], rels[i], rel_names[i], nodes[i + 1], names[i + 1], False, want_path)
-        for i in range(at - 1, -1, -1):
-            kept[i] = self.hop(p, nodes[i + 1], names[i + 1], rels[i], rel_names[i], nodes[i], names[i], True, want_path)
+        order = [*range(at, len(rels)), *range(at - 1, -1, -1)]
+        for done, i in enumerate(order, 1):
+            near, far, flipped = (i, i + 1, False) if i >= at else (i + 1, i, True)
+            kept[i] = self.hop(p, nodes[near], names[near], rels[i], rel_names[i], nodes[far], names[far], flipped, want_path)
+            ahead = order[done:]
+            self.fold({names[k] for j in ahead for k in (j, j + 1)}, [rels[j] for j in ahead])
         if p.var:
             self.bind_path(p.var, names, [(rel_names[i], *kept[i]) for i in range(len(rels))])
             self.apply_ready()
@@ -384,13 +387,40 @@ class Matcher:
         rows.df = rows.df.withColumn(col, F.struct(F.concat(*nodes).alias("nodes"), (F.concat(*rels) if rels else empty).alias("rels")))
         rows.scope[var] = ValueVar(col, T("path", None, (("nodes", list_of(node_t)), ("rels", list_of(rel_t)))))
 
+    def fold(self, ahead: set[str], rels: list) -> None:
+        """Where only a count is asked for: sum up the rows that agree on all that is still read.
+
+        A variable that nothing later reads leaves the rows; how often each combination of the
+        others occurred is kept as a weight.  Relationship ids stay while a later hop of this
+        MATCH could meet the same relationship.
+        """
+        from ..plans.compiler import Names
+
+        rows = self.rows
+        if not rows.folding or rows.df is None:
+            return
+        rels = rels + [e for p in self.todo for e in p.elements[1::2]]
+        needed = ahead | rows.later | {e.var for p in self.todo for e in p.elements if e.var} | {n for e in self.waiting for n in self.free(e)}
+        keep = {n: v for n, v in rows.scope.items() if n in needed}
+        if len(keep) == len(rows.scope) or not keep or any(not isinstance(v, NodeVar) for v in keep.values()):
+            return
+        kinds = {k[0] for r in rels for k in rows.graph.rels if _fits(k, r.types)}
+        self.used = [u for u in self.used if u[2] & kinds]
+        by = dict.fromkeys([*(v.id for v in keep.values()), *(u[1] for u in self.used)])
+        weight = Names.new("w")
+        total = F.sum(rows.weight) if rows.weight else F.count(F.lit(1))
+        rows.df = rows.df.groupBy(*by).agg(total.alias(weight))
+        rows.weight = weight
+        rows.scope = {n: NodeVar(v.id, v.tables, None, None, v.nullable) for n, v in keep.items()}
+
     def run(self, match: A.Match) -> None:
-        todo = list(match.paths)
+        self.todo = todo = list(match.paths)
         while todo:
             known = set(self.rows.scope)
             nxt = next((p for p in todo if any(n.var in known for n in p.elements[0::2])), todo[0])
             todo.remove(nxt)
             self.path(nxt)
+            self.fold(set(), [])
         self.apply_ready(last=True)
         for n in self.hidden:
             self.rows.scope.pop(n, None)

@@ -85,6 +85,19 @@ def has_subquery(e) -> bool:
     return any(isinstance(n, (A.Exists, A.CountOf, A.CollectOf, A.PatternTest, A.PatternComp)) for n in e.walk())
 
 
+def only_counts(clauses: tuple) -> bool:
+    """MATCH clauses and then nothing but ``count(*)``."""
+    last = clauses[-1]
+    return (
+        all(isinstance(c, A.Match) for c in clauses[:-1])
+        and len(clauses) > 1
+        and isinstance(last, A.Projection)
+        and [i.expr for i in last.items] == [A.Call("count", (), False, True)]
+        and not (last.star or last.distinct or last.order or last.skip or last.limit)
+        and not any(p.var for c in clauses[:-1] for p in c.paths)
+    )
+
+
 class Rows:
     """The rows of a query at some clause."""
 
@@ -97,6 +110,13 @@ class Rows:
         self.base: DataFrame | None = None
         self.session = None
         self.closed: set[str] | None = None
+        #: Set where the query only counts rows: then equal rows are kept once, with a weight.
+        self.folding = False
+        self.weight: str | None = None
+        self.later: set[str] = set()
+
+    #: Turn off to compare the folded plan with the plain one.
+    fold_counts = True
 
     def like(self, df: DataFrame | None, scope: dict[str, Binding]) -> Rows:
         out = Rows(self.graph, self.params, df, scope, self.corr)
@@ -643,7 +663,10 @@ class Rows:
         for clauses in q.arms:
             rows = self.like(self.df, self.scope)
             rows.closed = self.closed
-            for c in clauses:
+            rows.reach = getattr(self, "reach", False)
+            rows.folding = self.fold_counts and not self.scope and not self.corr and only_counts(clauses)
+            for i, c in enumerate(clauses):
+                rows.later = {n for x in clauses[i + 1 :] for n in free(x)}
                 rows.clause(c)
             arms.append(rows)
         if len(arms) == 1:
@@ -741,6 +764,16 @@ class Rows:
     def optional(self, c: A.Match) -> None:
         inner, keys = self.pattern_rows(c)
         new = {n: b for n, b in inner.scope.items() if n not in self.scope}
+        if self.folding and keys and not set(new) & self.later:
+            # Only how often it matches counts, and no match counts as one row.
+            n, weight = Names.new("cnt"), Names.new("w")
+            right = inner.df.groupBy(*[i for _, i, _ in keys]).agg(F.count(F.lit(1)).alias(n))
+            before = F.col(self.weight) if self.weight else F.lit(1).cast("bigint")
+            times = before * F.coalesce(F.col(n), F.lit(1).cast("bigint"))
+            joined = self.frame().join(right, self._on(keys), "left").drop(*[i for _, i, _ in keys])
+            self.df = joined.withColumn(weight, times).drop(n, *([self.weight] if self.weight else []))
+            self.weight = weight
+            return
         for n, b in new.items():
             if not isinstance(b, ValueVar):
                 new[n] = replace(b, nullable=True)
@@ -950,7 +983,7 @@ class Rows:
         """Add one aggregate; its column and type."""
         out, name = Names.new("a"), call.name
         if call.star:
-            aggs.append(F.count(F.lit(1)).alias(out))
+            aggs.append((F.coalesce(F.sum(self.weight), F.lit(0).cast("bigint")) if self.weight else F.count(F.lit(1))).alias(out))
             return out, INT
         if any(has_aggregate(a) for a in call.args):
             raise SemanticError("an aggregate inside an aggregate")
