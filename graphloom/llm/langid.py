@@ -29,9 +29,11 @@ from . import textkernel as K
 BUCKETS = 1 << 16
 BLOCK_WORDS = 512
 #: Text that is labelled at a time.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 6 << 20
 #: Labelled rows used for training at most (expected), and words of a language's lexicon.
 SAMPLE_ROWS, LEXICON = 1600, 4000
+#: Lengths of the byte n-grams.
+ORDERS = (2, 3)
 LETTERS = K.byte_table((97, 122), (0x80, 0xFF))
 
 
@@ -51,42 +53,59 @@ def _slot(value: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Words of some texts with their features as hashed slots: ``(word, slot)`` pairs in word order."""
+    """Words of some texts, and their features as hashed slots."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        clean = np.where(LETTERS[data], data, np.uint8(32)).astype(np.uint32)
-        clean = np.concatenate([[32], clean, [32, 32]]).astype(np.uint32)  # so that every word has a blank on both sides
+        clean = np.where(LETTERS[data], data, np.uint8(32))
+        self.clean = np.concatenate([[32], clean, [32, 32, 32]]).astype(np.uint8)  # every word has a blank on both sides
         self.starts, self.ends, self.first = K.words(data, offsets, LETTERS)
         self.hashes = K.span_hashes(data, self.starts, self.ends)
-        n = len(self.starts)
-        size = self.ends - self.starts
-        # byte p of the text is clean[p + 1]; grams of a word begin at its left blank and end at its right one
-        self.slots: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for order in (2, 3):
-            grams = _slot(_gram(clean, order))
-            count = np.maximum(size + 3 - order, 1)
-            self.slots.append((grams, self.starts, self.starts + count))
-        affix = []
+
+    def blocks(self, limit: int = K.BLOCK):
+        """Ranges of words that span about ``limit`` bytes, so that work arrays stay small."""
+        i, n = 0, len(self.starts)
+        while i < n:
+            j = max(int(np.searchsorted(self.ends, self.starts[i] + limit, "right")), i + 1)
+            yield i, j
+            i = j
+
+    def grams(self, i: int, j: int, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Slots of the byte n-grams around words ``i:j``, and where each word's begin and end.
+
+        Byte ``p`` of the text is ``clean[p + 1]``; a word's n-grams run from the blank on its left to
+        the blank on its right.
+        """
+        low = int(self.starts[i])
+        part = self.clean[low : int(self.ends[j - 1]) + 1 + order].astype(np.uint32)
+        begin = self.starts[i:j] - low
+        return _slot(_gram(part, order)), begin, begin + np.maximum(self.ends[i:j] - self.starts[i:j] + 3 - order, 1)
+
+    def affixes(self, i: int, j: int):
+        """Slots of the prefixes and suffixes of one to four bytes; -1 where a word is shorter."""
+        starts, ends = self.starts[i:j], self.ends[i:j]
         for order in (1, 2, 3, 4):
-            grams = _gram(clean, order)
-            ok = size >= order
-            for salt, at in ((0x51ED270B, self.starts + 1), (0x6C8E9CF5, self.ends - order + 1)):
-                affix.append(np.where(ok, _slot(grams[np.maximum(at, 0)] ^ np.uint32(salt)), -1))
-        self.affix = np.stack(affix, 1) if n else np.zeros((0, 8), np.int64)
+            ok = ends - starts >= order
+            for salt, at in ((0x51ED270B, starts + 1), (0x6C8E9CF5, ends - order + 1)):
+                value = np.full(len(at), 7 * order, np.uint32)
+                for k in range(order):
+                    value = (value ^ self.clean[np.where(ok, at + k, 0)].astype(np.uint32)) * np.uint32(0x01000193)
+                yield np.where(ok, _slot(value ^ np.uint32(salt)), -1)
 
     def pairs(self, lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ``(word, slot)`` pairs; ``lexicon`` gives each word's slot or -1."""
         word, slot = [], []
-        index = np.arange(len(self.starts))
-        for grams, a, b in self.slots:
-            n = b - a
-            word.append(np.repeat(index, n))
-            slot.append(grams[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())])
-        for column in (*self.affix.T, lexicon):
-            ok = column >= 0
-            word.append(index[ok])
-            slot.append(column[ok])
-        return np.concatenate(word), np.concatenate(slot)
+        for i, j in self.blocks():
+            index = np.arange(i, j)
+            for order in ORDERS:
+                grams, a, b = self.grams(i, j, order)
+                n = b - a
+                word.append(np.repeat(index, n))
+                slot.append(grams[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+            for column in (*self.affixes(i, j), lexicon[i:j]):
+                ok = column >= 0
+                word.append(index[ok])
+                slot.append(column[ok])
+        return (np.concatenate(word), np.concatenate(slot)) if word else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 @dataclass
@@ -105,15 +124,16 @@ class Tagger:
 
     def emissions(self, w: Words) -> np.ndarray:
         out = np.zeros((len(w.starts), len(self.labels)), np.float32)
-        if not len(out):
-            return out
         padded = np.concatenate([self.weights, np.zeros((1, len(self.labels)), np.float32)])  # slot -1
-        for grams, a, b in w.slots:
-            total = np.zeros((len(grams) + 1, len(self.labels)), np.float64)
-            np.cumsum(self.weights[grams], axis=0, out=total[1:])
-            out += (total[b] - total[a]).astype(np.float32)
-        for column in (*w.affix.T, self.lookup(w.hashes)):
-            out += padded[column]
+        lexicon = self.lookup(w.hashes)
+        for i, j in w.blocks():
+            for order in ORDERS:
+                grams, a, b = w.grams(i, j, order)
+                total = np.zeros((len(grams) + 1, len(self.labels)), np.float64)
+                np.cumsum(self.weights[grams], axis=0, out=total[1:])
+                out[i:j] += total[b] - total[a]
+            for column in (*w.affixes(i, j), lexicon[i:j]):
+                out[i:j] += padded[column]
         return out
 
     def chain(self, emissions: np.ndarray, first: np.ndarray, pairs: bool = False):
@@ -305,6 +325,7 @@ def identified(docs: DataFrame, tagger: Tagger, text: str = "text", with_words:
                 if with_words:
                     arrays.append(pa.array(labels_of, pa.list_(pa.string())))
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *made])
+        K.release()
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string, score double", *["word_langs array<string>"] * with_words])
     return docs.select(*[f"`{c}`" for c in keep]).mapInArrow(run, schema)
