@@ -8,6 +8,7 @@ whole numbers (months, days, seconds, nanos) that are compared part by part.
 
 from __future__ import annotations
 
+import datetime
 import re
 from fractions import Fraction
 
@@ -22,7 +23,17 @@ from .scalar import function
 MONTH_SECONDS, DAY_SECONDS, NANOS = 2_629_746, 86_400, 1_000_000_000
 
 
+def _constant(months: int, days: int, seconds: int, nanos: int) -> Typed:
+    """A duration known while planning; what is computed from it stays a literal."""
+    seconds, nanos = seconds + nanos // NANOS, nanos % NANOS
+    value = (months, days, seconds, nanos)
+    cols = [F.lit(v).cast("bigint").alias(n) for v, n in zip(value, ("months", "days", "seconds", "nanos"), strict=True)]
+    return Typed(F.struct(*cols), DURATION, value)
+
+
 def duration_of(months, days, seconds, nanos) -> Typed:
+    if all(isinstance(x, int) for x in (months, days, seconds, nanos)):
+        return _constant(months, days, seconds, nanos)
     parts = [x if isinstance(x, Column) else F.lit(x) for x in (months, days, seconds, nanos)]
     carry = F.floor(parts[3].cast("bigint") / F.lit(NANOS)).cast("bigint")
     cols = [parts[0].cast("bigint"), parts[1].cast("bigint"), parts[2].cast("bigint") + carry, parts[3].cast("bigint") - carry * NANOS]
@@ -89,6 +100,24 @@ _DATE_TEXT = (
 )
 
 
+def date_text(text: str) -> datetime.date:
+    """The date a constant text stands for."""
+    form = re.fullmatch(r"(\d{4})(?:-?W(\d{2})(?:-?(\d))?|-Q(\d)-(\d{2})|-?(\d{2})-?(\d{2})|-?(\d{3})|-?(\d{2}))?", text)
+    if not form:
+        raise ArgumentError(f"no date: {text}")
+    year, week, dow, quarter, doq, month, day, ordinal, only = (int(g) if g else None for g in form.groups())
+    try:
+        if week:
+            return datetime.date.fromisocalendar(year, week, dow or 1)
+        if quarter:
+            return datetime.date(year, quarter * 3 - 2, 1) + datetime.timedelta(doq - 1)
+        if ordinal:
+            return datetime.date(year, 1, 1) + datetime.timedelta(ordinal - 1)
+        return datetime.date(year, month or only or 1, day or 1)
+    except ValueError as e:
+        raise ArgumentError(f"no date: {text}: {e}") from None
+
+
 def _iso_week(year: Column, week: Column, day: Column) -> Column:
     jan4 = F.make_date(year, F.lit(1), F.lit(4))
     return F.date_add(F.date_sub(jan4, F.weekday(jan4)), (week - 1) * 7 + day - 1)
@@ -172,7 +201,8 @@ def _date(x: Typed | None = None) -> Typed:
     if x.t.kind == "null":
         return Typed(F.lit(None).cast("date"), DATE)
     if x.t.kind == "str":
-        return Typed(_date_from_text(x.col), DATE)
+        known = date_text(x.value) if isinstance(x.value, str) else None
+        return Typed(F.lit(known), DATE, known) if known else Typed(_date_from_text(x.col), DATE)
     if x.t.kind == "map":
         return Typed(_date_from_map(x), DATE)
     return Typed(as_date(x), DATE)
@@ -304,6 +334,11 @@ def _duration(x: Typed) -> Typed:
     unknown = {n for n, _ in x.t.fields} - {u[0] for u in _UNITS}
     if unknown:
         raise ArgumentError(f"no units of a duration: {sorted(unknown)}")
+    if isinstance(x.value, dict):
+        given = {k: Fraction(str(v)) for k, v in x.value.items()}
+        m, d, sec, n = (sum((given[u] * s[i] for u, *s in _UNITS if u in given), Fraction(0)) for i in range(4))
+        whole = all(v.denominator == 1 for v in given.values())
+        return duration_of(int(m), int(d), int(sec), int(n)) if whole else duration_of(*_cascade(m, d, sec + n / NANOS))
     if all(t.kind in ("int", "null") for _, t in x.t.fields):
         total = [F.lit(0).cast("bigint") for _ in range(4)]
         for name, *sizes in _UNITS:
@@ -416,6 +451,11 @@ def _shift(x: Typed, d: Column, sign: int) -> Typed:
 def temporal_arithmetic(op: str, a: Typed, b: Typed) -> Typed:
     names = ("months", "days", "seconds", "nanos")
     ka, kb = a.t.kind, b.t.kind
+    if isinstance(a.value, tuple) and ka == "duration":  # constants stay constants
+        if isinstance(b.value, tuple) and kb == "duration" and op in "+-":
+            return duration_of(*[x + y if op == "+" else x - y for x, y in zip(a.value, b.value, strict=True)])
+        if isinstance(b.value, int) and kb == "int" and op == "*":
+            return duration_of(*[x * b.value for x in a.value])
     if ka == kb == "duration" and op in "+-":
         sign = 1 if op == "+" else -1
         return duration_of(*[a.col[n] + b.col[n] * sign for n in names])
@@ -535,6 +575,21 @@ def _clock_text(ns: Column) -> Column:
     return F.concat(base, tail, frac)
 
 
+def duration_string(months: int, days: int, seconds: int, nanos: int) -> str:
+    """ISO text of a duration; parts of zero are left out."""
+    cut = lambda v, by: abs(v) // by * (1 if v >= 0 else -1)
+    total = seconds * NANOS + nanos
+    h = cut(total, 3600 * NANOS)
+    mi = cut(total - h * 3600 * NANOS, 60 * NANOS)
+    rest = total - h * 3600 * NANOS - mi * 60 * NANOS
+    frac = f".{abs(rest) % NANOS:09d}".rstrip("0") if rest % NANOS else ""
+    sec = f"{'-' if rest < 0 else ''}{abs(rest) // NANOS}{frac}S" if rest else ""
+    y = cut(months, 12)
+    day = "".join(f"{v}{u}" for v, u in ((y, "Y"), (months - 12 * y, "M"), (days, "D")) if v)
+    clock = "".join(f"{v}{u}" for v, u in ((h, "H"), (mi, "M")) if v) + sec
+    return f"P{day}{'T' + clock if clock else ''}" if day or clock else "PT0S"
+
+
 def to_text(x: Typed) -> Typed:
     k, c = x.t.kind, x.col
     if k == "localtime":
@@ -544,6 +599,8 @@ def to_text(x: Typed) -> Typed:
     if k in ("localdatetime", "datetime"):
         s = F.concat(F.to_date(c).cast("string"), F.lit("T"), _clock_text(nanos_of(x)))
         return Typed(s if k == "localdatetime" else F.concat(s, F.lit("Z")), STR)
+    if k == "duration" and isinstance(x.value, tuple):
+        return Typed(F.lit(duration_string(*x.value)), STR)
     if k == "duration":
         y, m = _toward_zero(c["months"], 12), c["months"] % 12
         h, mi = _toward_zero(c["seconds"], 3600), _toward_zero(c["seconds"], 60) % 60

@@ -142,6 +142,8 @@ def bfs(vertices: DataFrame, edges: DataFrame, *, source: int, graphalytics: boo
         if front.limit(1).count() == 0:
             break
         seen = seen.union(front)
+        if k % 8 == 0:  # keep the plan short on long chains
+            seen = staged(seen, f"seen-{k}")
     miss = F.lit(NEVER if graphalytics else None).cast("bigint")
     return Result(vertices.join(seen, "id", "left").select("id", F.coalesce("value", miss).alias("value")), k)
 

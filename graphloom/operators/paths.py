@@ -494,6 +494,8 @@ def shortest(zero: DataFrame, E: DataFrame, high: int, every: bool, ends: DataFr
             break
         parts.append(front if ends is None else front.join(ends, ["s", "e"], "left_semi").select(*cols))
         seen = seen.union(front.select("s", "e").distinct())
+        if k % 8 == 0:  # keep the plan short on long chains
+            seen = staged(seen, f"seen-{k}")
         if ends is not None and ends.join(seen, ["s", "e"], "left_anti").limit(1).count() == 0:
             break
         if k > MAX_LEVELS:

@@ -33,6 +33,10 @@ def query_tokens(text: str) -> list[str]:
     return [t.lower() for t in re.split(r"[^\w]|_", text) if t]
 
 
+def _is(word: str):
+    return lambda x: x == F.lit(word)
+
+
 def full_text(rows: DataFrame, key: str, fields: list[str], query: str, scorer: str = "bm25") -> DataFrame:
     """``(key, score)`` of the rows that hold a token of the query."""
     wanted = Counter(query_tokens(query))
@@ -42,7 +46,7 @@ def full_text(rows: DataFrame, key: str, fields: list[str], query: str, scorer:
     scores = []
     for f in fields:
         present = rows.where(F.col(f).isNotNull()).select(key, tokens(F.col(f)).alias("t"))
-        counted = present.select(key, F.size("t").alias("dl"), *[F.size(F.filter("t", lambda x, w=w: x == w)).alias(f"f{i}") for i, w in enumerate(wanted)])
+        counted = present.select(key, F.size("t").alias("dl"), *[F.size(F.filter("t", _is(w))).alias(f"f{i}") for i, w in enumerate(wanted)])
         if scorer == "tf":
             part = reduce(lambda a, b: a + b, [F.col(f"f{i}") * n for i, n in enumerate(wanted.values())]).cast("double")
             scores.append(counted.select(key, part.alias("score")).where("score > 0"))

@@ -326,7 +326,11 @@ class Rows:
         return Typed(F.struct(*[coerce(x, x.t).alias(k) if x.t.kind != "null" else F.lit(None).cast("string").alias(k) for k, x in known.items()]), T("map", None, tuple((k, x.t) for k, x in known.items())))
 
     def x_maplit(self, e, env):
-        return self.make_map([(k, self.expr(x, env)) for k, x in e.items])
+        items = [(k, self.expr(x, env)) for k, x in e.items]
+        out = self.make_map(items)
+        if items and all(isinstance(x.value, (int, float, str)) for _, x in items):
+            out.value = {k: x.value for k, x in items}
+        return out
 
     def x_mapprojection(self, e, env):
         out: dict[str, Typed] = {}

@@ -87,3 +87,14 @@ def star_schema(spark: SparkSession, sf_dir: str) -> Graph:
     near = ahead.select("c_custkey", F.posexplode(F.array("one", "two")).alias("k", "to")).where("to is not null")
     rel("KNOWS", "Customer", "c_custkey", "Customer", "to", near, F.col("c_custkey") * 2 + F.col("k"))
     return g
+
+
+_GRAPHS: dict[tuple[str, str], Graph] = {}
+
+
+def graph_of(spark: SparkSession, sf_dir: str) -> Graph:
+    """``star_schema`` of a folder, planned once in an application: its schemas and file lists are kept."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _GRAPHS:
+        _GRAPHS[key] = star_schema(spark, sf_dir)
+    return _GRAPHS[key].copy()
