@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, decision_list, simhash, substring, winnowing
-from graphloom.llm.shared import new_path, read_table
+from graphloom.llm.shared import bound_batches, new_path, read_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -27,6 +27,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Of rows that repeat this id one stays; a group without any id keeps all its rows.
     """
+    bound_batches(spark)
     groups = simhash.near_duplicates(docs)
     stay = groups.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -36,21 +37,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that occur earlier are cut out; documents of which nothing is left go."""
+    bound_batches(spark)
     out = substring.remove_repeats(docs, keep=["lang", "source"])
     return out.where("n_removed < n_words or n_words = 0").select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold passages of two or more benchmark items go; of others with a hit the hit words are cut out."""
-    found = winnowing.find_leaks(docs, read_table(spark, sf_dir, "benchmark"))
-    clean = found.where(F.size("item_ids") < 2)
-    return winnowing.without_hits(clean).select(COLUMNS)
+    found = winnowing.find_leaks(docs, read_table(spark, sf_dir, "benchmark"), cut=True)
+    count = F.when(F.size("hit_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return found.where(F.size("item_ids") < 2).withColumn("n_chars", count).select(COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     import public_tokenizers
 
+    bound_batches(spark)
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

@@ -27,9 +27,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .textkernel import release
+
 #: Pieces whose output is remembered, and moves or states after which the machine starts afresh.
-PIECE_MEMO = 400_000
-MOVE_MEMO = 1_500_000
+PIECE_MEMO = 100_000
+MOVE_MEMO = 600_000
 #: Ids that the streaming decoder is fed at a time.
 DECODE_IDS = 4096
 #: Vocabularies above this size are refused (they travel to each executor once).
@@ -340,5 +342,6 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, text: str = "t
                 if keep_text:
                     columns.append(pa.array(text_out, pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *made])
+        release()
 
     return docs.select(*[f"`{c}`" for c in keep], f"`{text}`").mapInArrow(run, schema)

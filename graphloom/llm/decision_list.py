@@ -102,6 +102,7 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                 found = count_texts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(found[c], pa.int64()) for c in COUNTS)], names=[*kept, *COUNTS])
+        K.release()
 
     return docs.select(*[f"`{c}`" for c in kept]).mapInArrow(run, schema)
 

@@ -149,5 +149,6 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 part = batch.slice(i, j - i)
                 score = sent.value.scores(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
+        K.release()
 
     return docs.select(*[f"`{c}`" for c in keep]).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "score double, predicted int"]))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import stage
-from .textkernel import LOWER
+from .textkernel import LOWER, release
 
 SEED, BITS = 42, 64
 #: Largest cell that is searched in one task (its fingerprints are 8 bytes each).
@@ -69,6 +69,7 @@ def with_fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4, kee
         for batch in batches:
             found = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(batch.num_columns - 1)], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))], names=[*keep, "fp"])
+        release()
 
     return docs.select(*[f"`{c}`" for c in keep], F.col(f"`{text}`").alias("_text")).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "fp long"]))
 

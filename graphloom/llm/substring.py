@@ -36,10 +36,10 @@ from . import textkernel as K
 from .shared import new_path
 
 WINDOW, GRAM = 20, 8
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Fingerprints that a task gathers before it writes them out as a piece of the run.
 FLUSH = 2_000_000
-PACK_BYTES = 32 << 20
+PACK_BYTES = 16 << 20
 LAST = np.iinfo(np.int64).max
 
 _U32, _U64 = np.dtype("<u4"), np.dtype("<u8")
@@ -160,6 +160,7 @@ def _fingerprints(docs: DataFrame, buckets: int, chunks: int, window: int, gram:
                     yield from pieces()
         if held:
             yield from pieces()
+        K.release()
 
     return _with_chunk(docs, chunks).select("text", "_chunk").mapInArrow(run, _STEP)
 
@@ -292,6 +293,7 @@ def _packed(docs: DataFrame, chunks: int) -> DataFrame:
                     held, size = [], 0
         if held:
             yield from blobs()
+        K.release()
 
     return rows.mapInArrow(run, "chunk int, blob binary")
 

@@ -32,7 +32,7 @@ RESPONSE = "record_id string, target_uri string, warc_date string, headers map<s
 DERIVED = "record_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, block_digest string, payload_digest string, content_length long, block string"
 
 # One left-to-right scan; an element that is never closed ends with the page, so the scan is linear.
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)\b[^>]*>|<[!?/][^>]*>", re.S | re.I)
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|head)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)\b[^>]*>|<[!?/][^>]*>", re.S | re.I)
 _BLOCK = frozenset("address article aside blockquote br dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.S | re.I)
 _HREF = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)

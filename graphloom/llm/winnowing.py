@@ -100,10 +100,24 @@ class BenchmarkIndex:
         return first, hit, items
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", window: int = WINDOW, gram: int = GRAM, max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
+def _without(text: str, cuts: list[dict]) -> str:
+    """The text without the words of some spans and the blanks after them."""
+    raw = text.encode()
+    data = K.LOWER[np.frombuffer(raw, np.uint8)]
+    starts, _, _ = K.words(data, np.array([0, len(data)]), K.ALNUM)
+    out, at = [], 0
+    for s in cuts:
+        out.append(raw[at : starts[s["begin"]]])
+        at = int(starts[s["end"]]) if s["end"] < len(starts) else len(raw)
+    return b"".join([*out, raw[at:]]).decode()
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", window: int = WINDOW, gram: int = GRAM, max_block_bytes: int = MAX_BLOCK_BYTES, cut: bool = False) -> DataFrame:
     """Adds ``n_words, n_hit, hit_spans, item_ids`` to the rows of ``docs``.
 
     ``hit_spans`` are ``[begin, end)`` in words; ``item_ids`` are strings in string order.
+    ``cut`` also takes hit spans of a whole window or more out of the text, with the blank
+    after them; shorter ones (of short items, which ordinary text holds by chance) stay.
     """
     spark = docs.sparkSession
     rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col("text").alias("body")).where("body is not null")
@@ -140,43 +154,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", ite
                         n_hit.append(int(mask.sum()))
                         all_spans.append([{"begin": int(x), "end": int(y)} for x, y in zip(a, b, strict=True)])
                         all_items.append(sorted(ids))
-                    yield pa.RecordBatch.from_arrays([*sub.columns[: len(keep)], pa.array(np.diff(first), pa.int64()), pa.array(n_hit, pa.int64()), pa.array(all_spans, spans), pa.array(all_items, pa.list_(pa.string()))], names=[*keep, *made])
+                    columns = list(sub.columns[: len(keep)])
+                    if cut and k == blocks - 1 and any(all_spans):
+                        texts = columns[where].to_pylist()
+                        for d, found in enumerate(all_spans):
+                            if long := [s for s in found if s["end"] - s["begin"] >= window]:
+                                texts[d] = _without(texts[d], long)
+                        columns[where] = pa.array(texts, pa.string())
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(first), pa.int64()), pa.array(n_hit, pa.int64()), pa.array(all_spans, spans), pa.array(all_items, pa.list_(pa.string()))], names=[*keep, *made])
+            K.release()
 
         out = out.mapInArrow(run, schema)
     return out
 
-
-def without_hits(found: DataFrame, *, text: str = "text", least: int = WINDOW) -> DataFrame:
-    """Cut the hit spans of at least ``least`` words out of the texts of ``find_leaks``, with the blank after them.
-
-    Shorter spans (of items shorter than a window, which ordinary text holds by chance) stay.
-    ``n_chars`` is counted anew for texts that change; all columns stay.
-    """
-    names = found.columns
-    where, spans_at = names.index(text), names.index("hit_spans")
-
-    def run(batches):
-        for batch in batches:
-            texts, spans = batch.column(where).to_pylist(), batch.column(spans_at).to_pylist()
-            for i, cuts in enumerate(spans):
-                cuts = [s for s in cuts if s["end"] - s["begin"] >= least]
-                if not cuts:
-                    continue
-                raw = texts[i].encode()
-                data = K.LOWER[np.frombuffer(raw, np.uint8)]
-                starts, ends, _ = K.words(data, np.array([0, len(data)]), K.ALNUM)
-                out, at = [], 0
-                for s in cuts:
-                    out.append(raw[at : starts[s["begin"]]])
-                    at = int(starts[s["end"]]) if s["end"] < len(starts) else len(raw)
-                out.append(raw[at:])
-                texts[i] = b"".join(out).decode()
-            columns = list(batch.columns)
-            columns[where] = pa.array(texts, pa.string())
-            if "n_chars" in names:
-                kept = batch.column(names.index("n_chars")).to_pylist()
-                changed = batch.column(where).to_pylist()
-                columns[names.index("n_chars")] = pa.array([n if a == b else len(b) for n, a, b in zip(kept, changed, texts, strict=True)], pa.int64())
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return found.mapInArrow(run, found.schema)
