@@ -10,6 +10,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import ArgumentError, NotSupported, SemanticError
@@ -314,7 +315,7 @@ class Matcher:
         want_rels = not rel_name.startswith("\0") or want_path
         one = rel_struct(edges.var)
         node_t = None
-        E = self.edge_filter(edges, rel, rel_name)
+        E = truncated(self.edge_filter(edges, rel, rel_name), edges, getattr(rows.session, "expand_truncation", None))
         E = E.select(F.col(edges.near_id).alias("a"), F.col(edges.far_id).alias("b"), F.col(edges.var.id).alias("rid"), *([one.col.alias("rel")] if want_rels else []))
         starts = rows.frame().select(F.col(scope[near].id).alias("s")).distinct()
         if want_path:
@@ -426,6 +427,15 @@ class Matcher:
             self.rows.scope.pop(n, None)
 
 
+def truncated(df: DataFrame, edges: Edges, rule: tuple[int, str] | None) -> DataFrame:
+    """At most ``k`` relationships from each node of a walk, those of largest property first (ties by id)."""
+    if rule is None or rule[1] not in edges.var.props:
+        return df
+    k, prop = rule
+    rank = F.row_number().over(W.partitionBy(edges.near_id).orderBy(F.col(edges.var.props[prop][0]).desc_nulls_last(), edges.var.id))
+    return df.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
+
+
 def match_paths(rows, match: A.Match, given: dict[str, list[LabelSet]]) -> None:
     Matcher(rows, match, given).run(match)
 

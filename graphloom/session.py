@@ -18,10 +18,13 @@ class GraphSession:
     order of their clauses, and replace the snapshot when the statement has succeeded.
     """
 
-    def __init__(self, spark: SparkSession, graph: Graph | None = None):
+    def __init__(self, spark: SparkSession, graph: Graph | None = None, expand_truncation: tuple[int, str] | None = None):
+        """``expand_truncation`` ``(k, property)`` follows at most ``k`` relationships from each node of a
+        variable-length walk, those of largest property first."""
         from .catalog import Catalog
 
         self.spark = spark
+        self.expand_truncation = expand_truncation
         self.graph = graph or Graph(spark)
         self.catalog = Catalog()
         self.results: dict[str, DataFrame] = {}

@@ -128,6 +128,11 @@ def test_refusals_come_before_anything_runs(g, text, kind):
         g.cypher(text)
 
 
+def test_truncated_walks(g):
+    s = GraphSession(g.spark, g.graph, expand_truncation=(1, "w"))
+    assert rows(s, "MATCH (a {name: 'ann'})-[r:K*1..2]->(b) RETURN b.name AS b, size(r) AS n") == [("bob", 1), ("cid", 2)]
+
+
 def test_deep_nesting_is_refused():
     with pytest.raises(E.SyntaxError_):
         parse("RETURN " + "(" * 200 + "1" + ")" * 200 + " AS x")
