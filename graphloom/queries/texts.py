@@ -92,7 +92,7 @@ add("agg_basic", "MATCH (o:Order) RETURN o.orderpriority AS p, count(*) AS n, ro
 add("agg_empty", "MATCH (p:Part) WHERE p.size > 1000 RETURN count(*) AS n, sum(p.size) AS s, size(collect(p.size)) AS c, avg(p.size) AS a, max(p.name) AS m", "SELECT 0 AS n, 0 AS s, 0 AS c, NULL::DOUBLE AS a, NULL::VARCHAR AS m")
 add("agg_distinct", "MATCH (o:Order)-[l:CONTAINS]->(p:Part) RETURN l.returnflag AS f, count(DISTINCT p) AS p, count(DISTINCT l.linenumber) AS n, sum(DISTINCT l.linenumber) AS s", "SELECT l_returnflag AS f, count(DISTINCT l_partkey) AS p, count(DISTINCT l_linenumber) AS n, sum(DISTINCT l_linenumber)::BIGINT AS s FROM lineitem GROUP BY 1")
 add("agg_collect", "MATCH (r:Region)<-[:IN_REGION]-(n) WITH r, n ORDER BY n.key WITH r.name AS r, collect(n.key) AS ks, collect(DISTINCT n.key % 2) AS d RETURN r, size(ks) AS n, size(d) AS d, reduce(s = 0, k IN ks | s + k) AS s, 7 IN ks AS has", "SELECT r_name AS r, count(*) AS n, count(DISTINCT n_nationkey % 2) AS d, sum(n_nationkey)::BIGINT AS s, max((n_nationkey = 7)::INT) = 1 AS has FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
-add("agg_percentile", "MATCH (p:Part) RETURN p.brand AS b, round(percentileCont(p.retailprice, 0.25) * 100) AS c, percentileDisc(p.size, 0.5) AS d", "SELECT p_brand AS b, round(quantile_cont(p_retailprice, 0.25) * 100) AS c, quantile_disc(p_size, 0.5) AS d FROM part GROUP BY 1")
+add("agg_percentile", "MATCH (p:Part) RETURN p.brand AS b, round(percentileCont(p.retailprice, 0.25) * 10000) AS c, percentileDisc(p.size, 0.5) AS d", "SELECT p_brand AS b, round(quantile_cont(p_retailprice, 0.25) * 10000) AS c, quantile_disc(p_size, 0.5) AS d FROM part GROUP BY 1")
 add("agg_stdev", "MATCH (p:Part) RETURN p.type AS t, round(stDev(p.size) * 1000) AS s, round(stDevP(p.size) * 1000) AS sp", "SELECT p_type AS t, round(stddev_samp(p_size) * 1000) AS s, round(stddev_pop(p_size) * 1000) AS sp FROM part GROUP BY 1")
 add("agg_nested", "MATCH (p:Part) RETURN p.brand AS b, count(*) + 1 AS n, size(collect(p.size)) * 2 AS s, CASE WHEN max(p.size) > 49 THEN 'x' ELSE 'y' END AS m", "SELECT p_brand AS b, count(*) + 1 AS n, count(*) * 2 AS s, CASE WHEN max(p_size) > 49 THEN 'x' ELSE 'y' END AS m FROM part GROUP BY 1")
 add("group_by_node", "MATCH (c:Customer)-[:PLACED]->(o) WITH c, sum(o.totalprice) AS t ORDER BY t DESC, c.key LIMIT 10 RETURN c.name AS name, c.mktsegment AS seg, round(t) AS t", "SELECT c_name AS name, c_mktsegment AS seg, round(sum(o_totalprice)) AS t FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey, c_name, c_mktsegment ORDER BY sum(o_totalprice) DESC, c_custkey LIMIT 10")
@@ -129,8 +129,10 @@ CUSTOMER = "{nodeLabels: ['Customer'], relationshipTypes: ['KNOWS'], orientation
 add("algo_degree", f"CALL graph.algo.degree.stream({CUSTOMER}) YIELD node, degree RETURN node.key AS k, degree", f"WITH {KNOWS} SELECT c_custkey AS k, count(b)::DOUBLE AS degree FROM customer LEFT JOIN kk ON a = c_custkey GROUP BY 1")
 add("algo_wcc", f"CALL graph.algo.wcc.stream({CUSTOMER}) YIELD node, componentId RETURN node.key AS k, componentId - 562949953421312 AS c", "SELECT c_custkey AS k, min(c_custkey) OVER (PARTITION BY c_nationkey) AS c FROM customer")
 add("algo_pagerank", "CALL graph.algo.pageRank.stream({nodeLabels: ['Customer'], relationshipTypes: ['KNOWS'], maxIterations: 6, tolerance: 0.0}) YIELD node, score RETURN node.key AS k, round(score * 1000000000) / 1000 AS s", None)
-add("algo_bfs", "CALL graph.algo.bfs.stream({nodeLabels: ['Event'], relationshipTypes: ['NEXT'], sourceNode: 1970324836974593}) YIELD node, depth WHERE depth < 9 RETURN node.key AS k, depth", f"WITH RECURSIVE {NEXT}, r AS (SELECT 1::BIGINT AS k, 0::BIGINT AS depth UNION ALL SELECT nxt.b, depth + 1 FROM r JOIN nxt ON r.k = nxt.a WHERE depth < 8) SELECT * FROM r")
-add("algo_sssp", "CALL graph.algo.sssp.stream({nodeLabels: ['Customer'], relationshipTypes: ['KNOWS'], sourceNode: 562949953421313}) YIELD node, distance WHERE distance < 6.0 RETURN node.key AS k, distance", f"WITH RECURSIVE {KNOWS}, r AS (SELECT 1::BIGINT AS k, 0 AS d UNION SELECT k1.b, d + 1 FROM r JOIN k1 ON r.k = k1.a WHERE d < 5) SELECT k, min(d)::DOUBLE AS distance FROM r GROUP BY k")
+TRADE = "nodeLabels: ['Customer', 'Order', 'Supplier'], relationshipTypes: ['PLACED', 'SUPPLIED_BY'], orientation: 'UNDIRECTED', sourceNode: 562949953421313"
+TRADE_SQL = "e AS (SELECT DISTINCT 'c' || o_custkey AS a, 'o' || o_orderkey AS b FROM orders JOIN customer ON o_custkey = c_custkey UNION SELECT DISTINCT 'o' || l_orderkey, 's' || l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT 'c1' AS k, 0 AS d UNION SELECT u.b, d + 1 FROM r JOIN u ON r.k = u.a WHERE d < 6), m AS (SELECT k, min(d) AS d FROM r GROUP BY k)"
+add("algo_bfs", f"CALL graph.algo.bfs.stream({{{TRADE}}}) YIELD node, depth WHERE depth < 7 RETURN labels(node)[0] AS l, depth, count(*) AS n", f"WITH RECURSIVE {TRADE_SQL} SELECT CASE left(k, 1) WHEN 'c' THEN 'Customer' WHEN 'o' THEN 'Order' ELSE 'Supplier' END AS l, d AS depth, count(*) AS n FROM m GROUP BY 1, 2")
+add("algo_sssp", f"CALL graph.algo.sssp.stream({{{TRADE}}}) YIELD node, distance WHERE distance < 7.0 RETURN labels(node)[0] AS l, distance, count(*) AS n", f"WITH RECURSIVE {TRADE_SQL} SELECT CASE left(k, 1) WHEN 'c' THEN 'Customer' WHEN 'o' THEN 'Order' ELSE 'Supplier' END AS l, d::DOUBLE AS distance, count(*) AS n FROM m GROUP BY 1, 2")
 add("algo_triangles", f"CALL graph.algo.triangleCount.stream({CUSTOMER}) YIELD node, triangleCount RETURN node.key AS k, triangleCount AS t", f"WITH {KNOWS}, e AS (SELECT DISTINCT a, b FROM kk) SELECT c_custkey AS k, coalesce(t, 0) AS t FROM customer LEFT JOIN (SELECT x.a, count(*) // 2 AS t FROM e x JOIN e y ON x.b = y.a JOIN e z ON y.b = z.a AND z.b = x.a GROUP BY 1) ON a = c_custkey")
 add("algo_lcc", f"CALL graph.algo.localClusteringCoefficient.stream({CUSTOMER}) YIELD node, coefficient RETURN node.key AS k, round(coefficient * 1000) AS c", f"WITH {KNOWS}, e AS (SELECT DISTINCT a, b FROM kk), d AS (SELECT a, count(*) AS d FROM e GROUP BY 1) SELECT c_custkey AS k, CASE WHEN coalesce(d, 0) < 2 THEN 0.0 ELSE round(2.0 * coalesce(t, 0) / (d * (d - 1)) * 1000) END AS c FROM customer LEFT JOIN d ON d.a = c_custkey LEFT JOIN (SELECT x.a, count(*) // 2 AS t FROM e x JOIN e y ON x.b = y.a JOIN e z ON y.b = z.a AND z.b = x.a GROUP BY 1) q ON q.a = c_custkey")
 add("algo_label_propagation", f"CALL graph.algo.labelPropagation.stats({CUSTOMER}) YIELD nodeCount, relationshipCount RETURN nodeCount AS n, relationshipCount AS m", f"WITH {KNOWS} SELECT (SELECT count(*) FROM customer) AS n, (SELECT count(*) FROM kk) AS m")
