@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ArgumentError
+from ..storage import staged
 
 K1, B = 1.2, 0.75
 _CUT = "[^\\p{IsAlphabetic}\\p{Nd}\\p{Nl}\\p{No}]+"
@@ -51,6 +52,7 @@ def full_text(rows: DataFrame, key: str, fields: list[str], query: str, scorer:
             part = reduce(lambda a, b: a + b, [F.col(f"f{i}") * n for i, n in enumerate(wanted.values())]).cast("double")
             scores.append(counted.select(key, part.alias("score")).where("score > 0"))
             continue
+        counted = staged(counted, "counts")  # a few numbers a row: texts are cut into tokens once
         # One pass for the figures of the corpus: rows, length, and rows that hold each token.
         stats = counted.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("len"), *[F.sum((F.col(f"f{i}") > 0).cast("int")).alias(f"d{i}") for i in range(len(wanted))]).first()
         n, mean = stats["n"], (stats["len"] or 0) / max(stats["n"], 1)
