@@ -302,7 +302,12 @@ def _split(x: Typed, by: Typed) -> Typed:
 # --- conversion -------------------------------------------------------------------------
 
 
-@function("tostring tostringornull")
+@function("tostringornull")
+def _to_string_or_null(x: Typed) -> Typed:
+    return Typed(F.lit(None).cast("string"), STR) if x.t.kind in ("list", "map", "node", "rel", "path") else to_string(x)
+
+
+@function("tostring")
 def to_string(x: Typed) -> Typed:
     k = x.t.kind
     if k in ("str", "int", "bool", "null", "date"):

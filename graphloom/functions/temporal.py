@@ -10,18 +10,51 @@ from __future__ import annotations
 
 import datetime
 import re
+from collections.abc import Callable
 from fractions import Fraction
+from functools import partial
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import ArgumentError, NotSupported
 from ..plans.types import DATE, DATETIME, DURATION, FLOAT, INT, LOCALDATETIME, LOCALTIME, NUMBER, STR, TIME, T, Typed
-from .scalar import function
+from . import scalar
 
 #: Seconds of an average month and of a day.
 MONTH_SECONDS, DAY_SECONDS, NANOS = 2_629_746, 86_400, 1_000_000_000
 
+#: Arguments whose text is longer than this are evaluated once and then referred to by name.
+LARGE = 300
+
+
+def bind(build: Callable[..., Typed], *args: Typed) -> Typed:
+    """``build(*args)``, where nested calls add to the expression instead of multiplying it.
+
+    What is built here reads an argument many times.  A large one is put into an array of one
+    row, over which ``transform`` runs the rest.
+    """
+    if not any(a.value is None and len(str(a.col)) > LARGE for a in args):
+        return build(*args)
+    made: list[Typed] = []
+
+    def body(row: Column) -> Column:
+        made.append(build(*[a if a.value is not None else Typed(row[f"v{i}"], a.t) for i, a in enumerate(args)]))
+        return made[-1].col
+
+    row = F.struct(*[a.col.alias(f"v{i}") for i, a in enumerate(args) if a.value is None])
+    return Typed(F.transform(F.array(row), body)[0], made[-1].t)
+
+
+def function(names: str, low: int = 1, high: int | None = None):
+    """As ``scalar.function``, with arguments bound."""
+
+    def keep(build):
+        scalar.function(names, low, high)(partial(bind, build))
+        return build
+
+    return keep
+
 
 def _constant(months: int, days: int, seconds: int, nanos: int) -> Typed:
     """A duration known while planning; what is computed from it stays a literal."""
@@ -276,7 +309,12 @@ def _datetime(x: Typed | None = None) -> Typed:
             return Typed(F.timestamp_seconds(e.col), DATETIME)
         if e := _part(x, "epochMillis"):
             return Typed(F.timestamp_millis(e.col), DATETIME)
-        return Typed(F.timestamp_add("SECOND", -_offset(_part(x, "timezone")), stamp(_date_from_map(x), _nanos_from_map(x))).cast("timestamp"), DATETIME)
+        zone, local = _part(x, "timezone"), stamp(_date_from_map(x), _nanos_from_map(x))
+        moved = F.timestamp_add("SECOND", -_offset(zone), local)
+        if zone is not None:
+            named = F.when(_offset(zone).isNull(), zone.col)
+            moved = F.when(named.isNotNull(), F.convert_timezone(named, F.lit("UTC"), local)).otherwise(moved)
+        return Typed(moved.cast("timestamp"), DATETIME)
     return Typed(x.col.cast("timestamp"), DATETIME)
 
 
@@ -449,6 +487,10 @@ def _shift(x: Typed, d: Column, sign: int) -> Typed:
 
 
 def temporal_arithmetic(op: str, a: Typed, b: Typed) -> Typed:
+    return bind(partial(_arithmetic, op), a, b)
+
+
+def _arithmetic(op: str, a: Typed, b: Typed) -> Typed:
     names = ("months", "days", "seconds", "nanos")
     ka, kb = a.t.kind, b.t.kind
     if isinstance(a.value, tuple) and ka == "duration":  # constants stay constants
@@ -485,6 +527,10 @@ def temporal_arithmetic(op: str, a: Typed, b: Typed) -> Typed:
 
 def component(x: Typed, name: str) -> Typed:
     """``value.year`` and the like; an unknown name is null."""
+    return bind(partial(_component, name), x)
+
+
+def _component(name: str, x: Typed) -> Typed:
     k, c = x.t.kind, x.col
     if k == "duration":
         whole = {"years": _toward_zero(c["months"], 12), "quarters": _toward_zero(c["months"], 3), "months": c["months"], "weeks": _toward_zero(c["days"], 7), "days": c["days"], "hours": _toward_zero(c["seconds"], 3600), "minutes": _toward_zero(c["seconds"], 60), "seconds": c["seconds"], "milliseconds": c["seconds"] * 1000 + _toward_zero(c["nanos"], 1_000_000), "microseconds": c["seconds"] * 1_000_000 + _toward_zero(c["nanos"], 1000), "nanoseconds": c["seconds"] * NANOS + c["nanos"], "monthsOfYear": c["months"] % 12, "quartersOfYear": _toward_zero(c["months"], 3) % 4, "monthsOfQuarter": c["months"] % 3, "daysOfWeek": c["days"] % 7, "minutesOfHour": _toward_zero(c["seconds"], 60) % 60, "secondsOfMinute": c["seconds"] % 60, "nanosecondsOfSecond": c["nanos"], "millisecondsOfSecond": _toward_zero(c["nanos"], 1_000_000), "microsecondsOfSecond": _toward_zero(c["nanos"], 1000)}
