@@ -140,4 +140,4 @@ add("algo_scc", "CALL graph.algo.scc.stream({nodeLabels: ['Nation', 'Region'], r
 add("algo_closeness", "CALL graph.algo.closeness.stream({nodeLabels: ['Nation', 'Region'], relationshipTypes: ['IN_REGION']}) YIELD node, score RETURN labels(node)[0] AS l, node.key AS k, round(score * 1000000) AS s", "SELECT 'Nation' AS l, n_nationkey AS k, round(1000000.0 / (SELECT count(*) - 1 FROM (SELECT n_name FROM nation UNION ALL SELECT r_name FROM region))) AS s FROM nation UNION ALL SELECT 'Region', r_regionkey, 0.0 FROM region")
 add("algo_betweenness", "CALL graph.algo.betweenness.stream({nodeLabels: ['Nation', 'Region'], relationshipTypes: ['IN_REGION'], orientation: 'UNDIRECTED'}) YIELD node, score RETURN labels(node)[0] AS l, node.key AS k, score AS s", "SELECT 'Nation' AS l, n_nationkey AS k, 0.0::DOUBLE AS s FROM nation UNION ALL SELECT 'Region', r_regionkey, (n * (n - 1) / 2)::DOUBLE FROM (SELECT r_regionkey, count(n_nationkey) AS n FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1)")
 add("algo_louvain", f"CALL graph.algo.louvain.stream({CUSTOMER}) YIELD node, communityId RETURN node.key AS k, communityId AS c", None)
-add("k_shortest_paths", "CALL graph.algo.kShortestPaths.stream({nodeLabels: ['Customer'], relationshipTypes: ['KNOWS'], orientation: 'UNDIRECTED', sourceNode: 562949953421313, targetNode: 562949953421407, k: 3}) YIELD index, totalCost, nodeIds RETURN index, totalCost AS c, size(nodeIds) AS n", None)
+add("k_shortest_paths", "CALL graph.algo.kShortestPaths.stream({nodeLabels: ['Customer'], relationshipTypes: ['KNOWS'], orientation: 'UNDIRECTED', sourceNode: 562949953421313, targetNode: 562949953421361, k: 3}) YIELD index, totalCost, nodeIds RETURN index, totalCost AS c, size(nodeIds) AS n", f"WITH RECURSIVE {KNOWS}, r AS (SELECT 1::BIGINT AS b, [1::BIGINT] AS seen UNION ALL SELECT kk.b, list_append(seen, kk.b) FROM r JOIN kk ON r.b = kk.a WHERE len(seen) < 6 AND NOT list_contains(seen, kk.b)), best AS (SELECT len(seen) AS n FROM r WHERE b = 49 ORDER BY 1 LIMIT 3) SELECT row_number() OVER (ORDER BY n) - 1 AS index, (n - 1)::DOUBLE AS c, n FROM best")
