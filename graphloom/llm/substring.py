@@ -394,9 +394,10 @@ def remove_repeats(docs: DataFrame, *, n_batches: int = 2, window: int = WINDOW,
             part = part.where(F.col("doc_id") <= high)
         index.append(part)
     repeats = index.repeats()
-    seen = new_path(spark, "seen")
-    _sent(_packed(slim, chunks), repeats, buckets, window, gram).groupBy("bucket").applyInArrow(_seen_earlier, _STEP).write.parquet(seen)
-    reports = repeats.union(spark.read.schema(_STEP).parquet(seen))
+    # Both uses of the packed documents are one shuffle: the plans are equal, so Spark reuses the exchange.
+    packed = _packed(docs, chunks)
+    seen = _sent(packed, repeats, buckets, window, gram).groupBy("bucket").applyInArrow(_seen_earlier, _STEP)
+    reports = repeats.union(seen)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     spans = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
@@ -433,4 +434,4 @@ def remove_repeats(docs: DataFrame, *, n_batches: int = 2, window: int = WINDOW,
         return pa.table(out, names=["doc_id", *keep, *(made if keep_text else made[:3])])
 
     schema = ", ".join([f"doc_id {kinds['doc_id']}", *(f"`{c}` {kinds[c]}" for c in keep), "n_words long, n_removed long, kept_sha256 string", *["kept_text string, removed_spans array<struct<begin:int,end:int>>"] * keep_text])
-    return _packed(docs, chunks).groupBy("chunk").cogroup(reports.groupBy("chunk")).applyInArrow(finish, schema)
+    return packed.groupBy("chunk").cogroup(reports.groupBy("chunk")).applyInArrow(finish, schema)
