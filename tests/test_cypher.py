@@ -63,6 +63,7 @@ CASES = [
     ("RETURN 'abc' =~ 'a.*' AS a, 'abc' =~ 'b' AS b, 'A1' STARTS WITH 'A' AS c, 'x' CONTAINS null AS d, 5 STARTS WITH 'a' AS e", [(True, False, True, None, None)]),
     ("RETURN toInteger('12') AS a, toInteger('2.9') AS b, toInteger('z') AS c, toFloat('1e2') AS d, toBoolean('TRUE') AS e, toString(1.0) AS f, toString(0.5) AS g, toInteger(-2.9) AS h", [(12, 2, None, 100.0, True, "1.0", "0.5", -2)]),
     ("RETURN date('2020-01-31') + duration('P1M') = date('2020-02-29') AS a, duration.between(date('2020-02-29'), date('2019-01-31')).months AS b, date('2021-01-01') > date('2020-12-31') AS c, localtime('12:00') + duration('PT13H') = localtime('01:00') AS d", [(True, -12, True, True)]),
+    ("RETURN duration.between(datetime('2020-01-01T00:00Z'), datetime('2020-01-02T01:00Z') + duration('PT2H')).hours AS h, datetime({year: 2020, month: 7, timezone: 'Europe/Berlin'}).month AS m, toStringOrNull([1]) AS t", [(3, 6, None)]),
     ("RETURN date.truncate('week', date('2024-05-16')) = date('2024-05-13') AS a, date({year: 2020, week: 1}) = date('2019-12-30') AS b, datetime('2020-01-01T00:00:00+02:00') = datetime('2019-12-31T22:00:00Z') AS c", [(True, True, True)]),
     ("UNWIND [] AS x RETURN count(x) AS n, sum(x) AS s, collect(x) AS c", [(0, 0, [])]),
     ("UNWIND null AS x RETURN x", []),
