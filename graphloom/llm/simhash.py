@@ -88,6 +88,7 @@ def _signed(x: int) -> int:
 def forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links of a spanning forest of the values within ``radius`` of each other."""
     values = np.unique(values)
+    bits = values.view(np.uint64)  # of signed values numpy counts the bits of the magnitude
     left, links = np.ones(len(values), bool), []
     for root in range(len(values)):
         if not left[root]:
@@ -97,7 +98,7 @@ def forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
         while front:
             at = front.pop()
             rest = np.flatnonzero(left)
-            near = rest[np.bitwise_count(values[rest] ^ values[at]) <= radius]
+            near = rest[np.bitwise_count(bits[rest] ^ bits[at]) <= radius]
             left[near] = False
             links += [(at, int(j)) for j in near]
             front += near.tolist()

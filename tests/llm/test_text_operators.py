@@ -124,6 +124,14 @@ def brute_groups(values, radius):
     return {v: find(v) for v in values}
 
 
+def brute_groups_of_links(links, values):
+    group = {v: v for v in values}
+    for a, b in links:
+        low, high = sorted((group[a], group[b]))
+        group = {v: low if g == high else g for v, g in group.items()}
+    return group
+
+
 def test_covering_masks_meet_every_pair_within_the_radius():
     rng = np.random.default_rng(0)
     masks = simhash.covering_masks(4)
@@ -168,6 +176,23 @@ def test_large_cells_take_the_other_way_and_lose_no_link(spark):
         assert len(set(got.values())) == len(set(want.values()))
 
 
+def test_cells_link_across_the_highest_bit_and_no_farther():
+    rng = np.random.default_rng(4)
+    cases = [[0, 0x80000000, 0x8000000000000001], [0, 0xF800000000000000, 0x80000000]]
+    for _ in range(200):
+        values = {center := int(rng.integers(1 << 63))}
+        for _ in range(rng.integers(2, 10)):
+            v = center ^ int(rng.integers(2)) << 63
+            for b in rng.choice(63, rng.integers(0, 6), replace=False):
+                v ^= 1 << int(b)
+            values.add(v)
+        cases.append(sorted(values))
+    for values in cases:
+        links = simhash.forest(np.array(values, np.uint64).view(np.int64), 4)
+        assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= 4 for a, b in links)
+        assert brute_groups_of_links([(a % (1 << 64), b % (1 << 64)) for a, b in links], values) == brute_groups(values, 4)
+
+
 def test_components_of_long_chains_and_stars(spark):
     from graphloom.llm.components import connected_components
 
