@@ -23,16 +23,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id stays.
+    """Of each group of near-duplicates one document stays: that of the smallest id (null last).
 
-    Of rows that repeat this id one stays; a group without any id keeps all its rows.
+    Of rows of the group that repeat this id, or of a group without any id, it is the one
+    whose text has the smallest digest.
     """
     bound_batches(spark)
-    groups = simhash.near_duplicates(docs)
-    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    lost = docs.where("doc_id is null")
-    return kept.union(lost).select(COLUMNS)
+    return simhash.representatives(docs).select(COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -141,6 +141,23 @@ def links_within(fps: DataFrame, radius: int = 4, cell: int = CELL) -> DataFrame
     return out.distinct()
 
 
+def _components(distinct: DataFrame, radius: int) -> DataFrame:
+    """``distinct`` (a row for each fingerprint ``fp``) with ``component``, the same for all of a group."""
+    links = stage(links_within(distinct.select("fp"), radius), "near")
+    of = stage(connected_components(links), "components")
+    return distinct.join(of, distinct.fp == of.node, "left").select(*distinct.columns, F.coalesce("component", "fp").alias("component"))
+
+
+def representatives(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
+    """The rows of ``docs``, one of each group: that of the least key (null last), then of the least digest of its text."""
+    row = F.concat(F.coalesce(F.concat(F.lit("v"), F.col(key).cast("string")), F.lit("n")), F.lit(" "), F.coalesce(F.sha2(F.col(text), 256), F.lit("n")))
+    named = docs.withColumn("_row", row)
+    prints = stage(with_fingerprints(named.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), "_row"), "text", shingle, ["doc_id", "_row"]), "fingerprints")
+    distinct = stage(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("least")), "distinct")
+    least = _components(distinct, radius).groupBy("component").agg(F.min("least").alias("least")).select("least._row")
+    return named.join(stage(least, "least"), "_row", "left_semi").dropDuplicates(["_row"]).select(docs.columns)
+
+
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """``(key, fingerprint, component_id)`` of every row; the component is its smallest key.
 
@@ -148,9 +165,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """
     prints = stage(with_fingerprints(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "text", shingle, ["doc_id"]), "fingerprints")
     distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows")), "distinct")
-    links = stage(links_within(distinct.select("fp"), radius), "near")
-    of = stage(connected_components(links), "components")
-    whole = distinct.join(of, distinct.fp == of.node, "left").select("fp", "low", "rows", F.coalesce("component", "fp").alias("component"))
+    whole = _components(distinct, radius)
     groups = whole.groupBy("component").agg(F.min("low").alias("component_id"), F.sum("rows").alias("n_group"))
     named = stage(whole.select("fp", "component").join(groups, "component").select("fp", "component_id", "n_group"), "groups")
     return prints.join(named, "fp").select(F.col("doc_id").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_group")

@@ -56,3 +56,11 @@ def test_odd_rows_pass_the_stages(spark, docs, small):
     for name, stage in P.STAGES[1:]:
         assert stage(spark, cols, small).count() > 0, name
         assert stage(spark, cols.limit(0), small).count() == 0, name
+
+
+def test_repeated_and_null_ids_lose_no_group_and_leave_no_copy(spark, small):
+    a, b, c, d = (" ".join(f"{x}{i * i % 97}" for i in range(80)) for x in ("ant", "bee", "cow", "dog"))
+    data = [(5, a), (5, b), (7, a), (9, b), (None, a), (None, c), (None, c), (11, d), (11, d), (None, d)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    out = P.near_duplicates(spark, docs, small).collect()
+    assert sorted(str((r.doc_id, r.text)) for r in out) == sorted(map(str, [(5, a), (5, b), (None, c), (11, d)]))
