@@ -63,8 +63,19 @@ def _repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return twice, later
 
 
+def _keyed(doc: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    return K.mix(hashes + K.mix(doc.astype(np.uint64)))
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers of the pairs ``(a[i], b[i])``, equal exactly if both members are; below ``len(a)``."""
+    if not len(a):
+        return np.zeros(0, np.int64)
+    return np.unique(a * (int(b.max()) + 1) + b, return_inverse=True)[1]
+
+
 def count_texts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """The statistics of each text of a batch."""
+    """The statistics of each text of a batch; lines and windows are equal only if their bytes are."""
     n_docs = len(offsets) - 1
     starts, ends, first = K.words(data, offsets)
     doc = K.doc_of(first)
@@ -77,13 +88,19 @@ def count_texts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     inside = np.concatenate([[0], np.cumsum(K.NOT_SPACE[data], dtype=np.int64)])
     full = inside[b] > inside[a]
     a, b, line_doc = a[full], b[full], line_doc[full]
-    keys = K.mix(K.span_hashes(data, a, b) + K.mix(line_doc.astype(np.uint64)))
     out["n_lines"] = np.bincount(line_doc, minlength=n_docs)
-    out["n_dup_lines"] = np.bincount(line_doc[_repeated(keys)[1]], minlength=n_docs)
+    # Hashes only point out what may repeat (all that does, and rarely more); bytes decide.
+    again = _repeated(_keyed(line_doc, K.span_hashes(data, a, b)))[0]
+    a, b, line_doc = a[again], b[again], line_doc[again]
+    out["n_dup_lines"] = np.bincount(line_doc[_repeated(_pairs(line_doc, K.exact_ids(data, a, b)))[1]], minlength=n_docs)
     grams = K.ngram_hashes(K.span_hashes(data, starts, ends), 3)
     at = np.flatnonzero(doc[: len(grams)] == doc[2:]) if len(grams) else np.zeros(0, np.int64)
-    keys = K.mix(grams[at] + K.mix(doc[at].astype(np.uint64)))
-    covered = K.cover(len(doc), at[_repeated(keys)[0]], 3)
+    at = at[_repeated(_keyed(doc[at], grams[at]))[0]]
+    read = np.flatnonzero(K.cover(len(doc), at, 3))
+    word = np.zeros(len(doc), np.int64)
+    word[read] = K.exact_ids(data, starts[read], ends[read])
+    same = _pairs(_pairs(_pairs(doc[at], word[at]), word[at + 1]), word[at + 2])
+    covered = K.cover(len(doc), at[_repeated(same)[0]], 3)
     out["n_repeat_words"] = np.bincount(doc[covered], minlength=n_docs)
     return out
 

@@ -5,21 +5,27 @@ hash of the ``gram``-word grams inside it, so equal windows have equal fingerpri
 neighbouring windows mostly share one: the index holds about one entry in seven words.
 
 * **Append.**  The fingerprints of a batch become one sorted immutable run, cut by hash into
-  buckets, with the chunk (a hash of the document id) each came from.
+  buckets, with the chunk (a hash of id and text) each came from.
 * **Merge-join.**  Bucket by bucket the new run is merged with the runs of all earlier
   batches; what occurs twice or more is reported to the chunks that hold it.
-* **Verify.**  Only windows under a reported fingerprint are looked at: chunks send the 96-bit
-  digests of these whole windows, the first place of each in the chunk only, and learn which
-  of them start earlier elsewhere.  A fingerprint alone never removes a word.
-* **Compact.**  When there are ``fanout`` runs, they are merged into one.
+* **Verify.**  Only windows under a reported fingerprint are looked at: chunks send 128-bit
+  BLAKE2 digests of the words of these windows, the first place of each in the chunk only,
+  and learn which of them start earlier elsewhere.  A fingerprint alone never removes a word.
+* **Compact.**  Before an append that finds ``fanout`` runs, they are merged into one.
 
-Repeats inside a task or chunk are combined before they are shuffled, so a passage that a
-third of all documents share costs one entry a chunk, wherever it lands.  A chunk is about
-``CHUNK_BYTES`` of text (or one document); documents travel as compressed Arrow batches.
+A later batch can be judged against all history: ``remove_repeats(docs, index=index)`` keeps
+the runs and the packed documents of each batch, and history counts as earlier.
+
+No key is hot.  A fingerprint that one task meets in more than ``HOT`` chunks is known to
+repeat, so the task reports it to those chunks itself and sends on two entries; and before
+windows are shuffled each task settles which of its own chunks has the first place.  So a
+passage that a third of all documents share costs a bucket a few entries a task.  A chunk is
+about ``CHUNK_BYTES`` of text (or one document); documents travel as compressed Arrow batches.
 
 "Earlier" is the smaller document id, or an earlier start in the same document; documents
-with equal ids go by text, those with a null id come after all others.  Null texts have no
-words; texts of fewer words than a window have no window and stay whole.
+with equal ids go by a digest of their text, those with a null id come after all others.
+Null texts have no words; texts of fewer words than a window have no window and stay whole.
+Further columns may bear any name: inside, columns are numbered.
 """
 
 from __future__ import annotations
@@ -28,6 +34,8 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +45,10 @@ from .shared import new_path
 
 WINDOW, GRAM = 20, 8
 CHUNK_BYTES = 4 << 20
+#: Text whose fingerprints share a bucket, about.
+BUCKET_BYTES = 128 << 20
+#: Chunks of one task beyond which it reports a fingerprint itself.
+HOT = 8
 #: Fingerprints that a task gathers before it writes them out as a piece of the run.
 FLUSH = 2_000_000
 PACK_BYTES = 16 << 20
@@ -68,10 +80,20 @@ def unpack(blob: bytes, *kinds: np.dtype) -> list[np.ndarray]:
     return out
 
 
-def _by_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's part of the sorted keys begins (buckets are equal ranges of the hash)."""
-    edges = (np.arange(buckets + 1, dtype=object) * (1 << 64) // buckets)[1:-1]
-    return np.concatenate([[0], np.searchsorted(keys, np.array(edges.tolist(), np.uint64)), [len(keys)]]).astype(np.int64)
+def _by_bucket(keys: np.ndarray, buckets: int) -> list[tuple[int, slice]]:
+    """The buckets (equal ranges of the hash) that sorted keys fall into, and where each lies."""
+    if not len(keys):
+        return []
+    of = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    return [(int(of[s.start]), s) for s in _groups(of)]
+
+
+def _groups(values: np.ndarray) -> list[slice]:
+    """Where each run of equal neighbours lies."""
+    if not len(values):
+        return []
+    cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+    return [slice(i, j) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def _sliding(values: np.ndarray, size: int, pick) -> np.ndarray:
@@ -108,46 +130,77 @@ class Windows:
         return np.flatnonzero(most == self.grams)
 
     def digests(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A 64-bit key and an independent 32-bit check of the windows at some positions."""
-        if not len(at):
-            return np.zeros(0, np.uint64), np.zeros(0, _U32)
-        key = K.ngram_hashes(self.hashes, self.window)[at]
-        other = K.span_hashes(self.data, self.starts, self.ends, 1)
-        return key, (K.ngram_hashes(other, self.window)[at] >> np.uint64(32)).astype(_U32)
+        """Both halves of a 128-bit digest of the words of the windows at some ascending positions."""
+        out, begin = [], np.concatenate([[0], np.cumsum(self.ends - self.starts + 1)])
+        for part in _groups(self.doc[at]):
+            a, b = (int(self.first[self.doc[at[part.start]] + k]) for k in (0, 1))
+            words = b" ".join(self.data[int(self.starts[a]) : int(self.ends[b - 1])].tobytes().split())
+            low, high = begin[at[part]] - begin[a], begin[at[part] + self.window] - begin[a] - 1
+            out += [hashlib.blake2b(words[i:j], digest_size=16).digest() for i, j in zip(low.tolist(), high.tolist(), strict=True)]
+        both = np.frombuffer(b"".join(out), _U64).reshape(-1, 2)
+        return both[:, 0].copy(), both[:, 1].copy()
 
 
 # --- the index ------------------------------------------------------------------------
 
 _STEP = "kind int, bucket int, chunk int, blob binary"
-_RUN, _REPEAT, _SEEN = 0, 1, 2
+_NEW, _RUN, _REPEAT, _SEEN, _LATER = -1, 0, 1, 2, 3
+
+
+def _step_batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["kind", "bucket", "chunk", "blob"])
 
 
-def _with_chunk(docs: DataFrame, chunks: int) -> DataFrame:
-    return docs.withColumn("_chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
+def _step_table(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
+    return pa.Table.from_batches([_step_batch(rows)])
+
+
+def _to_chunks(kind: int, chunk: np.ndarray, values: np.ndarray, buckets: int) -> list[tuple[int, int, int, bytes]]:
+    """One row for each chunk with its different values, sorted; a bucket is only where it passes through."""
+    order = np.lexsort((values, chunk))
+    chunk, values = chunk[order], values[order]
+    return [(kind, int(chunk[s.start]) % buckets, int(chunk[s.start]), pack(np.unique(values[s]))) for s in _groups(chunk)]
 
 
-def _fingerprints(docs: DataFrame, buckets: int, chunks: int, window: int, gram: int) -> DataFrame:
+def _numbered(docs: DataFrame, base: int, chunks: int, keep: list[str]) -> DataFrame:
+    """``id, text, k0, k1 ... , chunk``.  Rows without an id, or with equal ones, are spread by their texts."""
+    chunk = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit(chunks)).cast("int") + F.lit(base)
+    kept = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]
+    return docs.select(F.col("doc_id").alias("id"), F.col("text").alias("text"), *kept, chunk.cast("int").alias("chunk"))
+
+
+def _fingerprints(docs: DataFrame, base: int, buckets: int, chunks: int, window: int, gram: int) -> DataFrame:
     """Pieces of the new run: rows of ``_STEP``, sorted fingerprints with their chunks.
 
-    Of equal pairs of fingerprint and chunk two are enough to show the repeat.
+    Of equal pairs of fingerprint and chunk two are enough to show the repeat.  What repeats in
+    more than ``HOT`` entries of a piece is reported at once; two entries tell all others.
     """
 
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        count = 0
 
         def pieces():
             keys = np.concatenate([h[0] for h in held])
             chunk = np.concatenate([h[1] for h in held])
+            held.clear()
             order = np.lexsort((chunk, keys))
             keys, chunk = keys[order], chunk[order]
             third = np.zeros(len(keys), bool)
             third[2:] = (keys[2:] == keys[:-2]) & (chunk[2:] == chunk[:-2])
             keys, chunk = keys[~third], chunk[~third]
-            edge = _by_bucket(keys, buckets)
-            rows = [(b, pack(keys[edge[b] : edge[b + 1]], chunk[edge[b] : edge[b + 1]])) for b in range(buckets) if edge[b] < edge[b + 1]]
-            n = len(rows)
-            yield pa.RecordBatch.from_arrays([pa.array([-1] * n, pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([-1] * n, pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["kind", "bucket", "chunk", "blob"])
-            held.clear()
+            new = np.ones(len(keys), bool)
+            new[1:] = keys[1:] != keys[:-1]
+            start = np.flatnonzero(new)
+            size = np.diff(np.append(start, len(keys)))
+            hot = np.repeat(size > HOT, size)
+            rows = _to_chunks(_REPEAT, chunk[hot], keys[hot], buckets)
+            stay = ~hot | (np.arange(len(keys)) - np.repeat(start, size) < 2)
+            keys, chunk = keys[stay], chunk[stay]
+            rows += [(_NEW, b, -1, pack(keys[s], chunk[s])) for b, s in _by_bucket(keys, buckets)]
+            for i in range(0, len(rows), 4096):
+                yield _step_batch(rows[i : i + 4096])
 
         for batch in batches:
             data, offsets = K.flat(batch.column(0))
@@ -156,13 +209,15 @@ def _fingerprints(docs: DataFrame, buckets: int, chunks: int, window: int, gram:
                 w = Windows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], window, gram)
                 at = w.anchors()
                 held.append((w.grams[at], chunk[i:j][w.doc[at]]))
-                if sum(len(h[0]) for h in held) > FLUSH:
+                count += len(at)
+                if count > FLUSH:
                     yield from pieces()
+                    count = 0
         if held:
             yield from pieces()
         K.release()
 
-    return _with_chunk(docs, chunks).select("text", "_chunk").mapInArrow(run, _STEP)
+    return _numbered(docs, base, chunks, []).select("text", "chunk").mapInArrow(run, _STEP)
 
 
 def _merged(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -173,22 +228,26 @@ def _merged(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], chunk[order]
 
 
-def _step_table(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-    return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["kind", "bucket", "chunk", "blob"])
-
-
 class FingerprintIndex:
-    """Sorted immutable runs below a folder; each ``append`` adds one and reports the repeats it made."""
+    """Sorted immutable runs below a folder; each ``append`` adds one and reports the repeats it made.
 
-    def __init__(self, spark: SparkSession, chunks: int, buckets: int, *, path: str | None = None, window: int = WINDOW, gram: int = GRAM, fanout: int = 8):
+    ``chunks`` numbers are taken for each set of documents that ``remove_repeats`` adds.
+    """
+
+    def __init__(
+        self, spark: SparkSession, chunks: int, buckets: int, *, path: str | None = None, window: int = WINDOW, gram: int = GRAM, fanout: int = 8
+    ):
         if not 0 < gram <= window:
             raise ValueError("a gram is at most as long as a window")
+        if fanout < 2:
+            raise ValueError("a compaction takes two runs or more")
         self.spark, self.chunks, self.buckets = spark, chunks, buckets
         self.window, self.gram, self.fanout = window, gram, fanout
         self.path = path or new_path(spark, "index")
         self.runs: list[str] = []
         self.reports: list[str] = []
+        self.documents: list[str] = []
+        self.base = 0
         self.steps = 0
 
     def _read(self, path: str) -> DataFrame:
@@ -196,16 +255,19 @@ class FingerprintIndex:
 
     def append(self, docs: DataFrame) -> None:
         """Add the documents (``doc_id``, ``text``) of one batch."""
+        if len(self.runs) >= self.fanout:
+            self.compact()
         self.steps += 1
         target = f"{self.path}/step-{self.steps:05d}"
-        rows = _fingerprints(docs, self.buckets, self.chunks, self.window, self.gram)
+        buckets = self.buckets
+        rows = _fingerprints(docs, self.base, buckets, self.chunks, self.window, self.gram)
         for path in self.runs:
             rows = rows.union(self._read(path).where(F.col("kind") == _RUN))
 
         def merge_join(key, table):
             bucket = key[0].as_py()
             kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
-            new, new_chunk = _merged([b for k, b in zip(kinds, blobs, strict=True) if k == -1])
+            new, new_chunk = _merged([b for k, b in zip(kinds, blobs, strict=True) if k == _NEW])
             old, old_chunk = _merged([b for k, b in zip(kinds, blobs, strict=True) if k == _RUN])
             out = [(_RUN, bucket, -1, pack(new, new_chunk))] if len(new) else []
             again = np.zeros(len(new), bool)
@@ -215,19 +277,13 @@ class FingerprintIndex:
                 keys, chunk = np.concatenate([new, old]), np.concatenate([new_chunk, old_chunk])
                 at = np.searchsorted(twice, keys)
                 hit = twice[np.minimum(at, len(twice) - 1)] == keys
-                keys, chunk = keys[hit], chunk[hit]
-                order = np.lexsort((keys, chunk))
-                keys, chunk = keys[order], chunk[order]
-                cuts = np.concatenate([[0], np.flatnonzero(chunk[1:] != chunk[:-1]) + 1, [len(chunk)]])
-                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    out.append((_REPEAT, bucket, int(chunk[a]), pack(np.unique(keys[a:b]))))
-            return _step_table(out)
+                out += _to_chunks(_REPEAT, chunk[hit], keys[hit], buckets)
+            passed = table.filter(pc.equal(table.column("kind"), _REPEAT))
+            return pa.concat_tables([passed.cast(_step_table([]).schema), _step_table(out)])
 
         rows.groupBy("bucket").applyInArrow(merge_join, _STEP).write.parquet(target)
         self.runs.append(target)
         self.reports.append(target)
-        if len(self.runs) >= self.fanout:
-            self.compact()
 
     def compact(self) -> None:
         """Merge all runs into one."""
@@ -256,31 +312,35 @@ class FingerprintIndex:
 # --- verification and removal ---------------------------------------------------------
 
 
-def _packed(docs: DataFrame, chunks: int) -> DataFrame:
+_PACKED = "chunk int, blob binary"
+
+
+def _packed(docs: DataFrame, base: int, chunks: int, keep: list[str]) -> DataFrame:
     """Rows ``(chunk, blob)``: the documents of a chunk that a task has met, as a compressed Arrow batch."""
-    rows = _with_chunk(docs, chunks)
 
     def run(batches):
         held, size = [], 0
 
         def blobs():
             table = pa.Table.from_batches(held)
-            chunk = table.column("_chunk").to_numpy()
+            chunk = table.column("chunk").to_numpy()
             order = np.argsort(chunk, kind="stable")
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(chunk[order])) + 1, [len(order)]])
-            table = table.drop_columns(["_chunk"])
+            table = table.drop_columns(["chunk"])
             out = []
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            for s in _groups(chunk[order]):
                 sink = pa.BufferOutputStream()
-                part = table.take(pa.array(order[a:b])).combine_chunks()
+                part = table.take(pa.array(order[s])).combine_chunks()
                 with pa.ipc.new_stream(sink, part.schema) as w:
                     w.write_table(part)
-                out.append((int(chunk[order[a]]), zstandard.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes())))
+                out.append((int(chunk[order[s.start]]), zstandard.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes())))
                 if len(out) == 64:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["chunk", "blob"])
+                    yield batch_of(out)
                     out = []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["chunk", "blob"])
+                yield batch_of(out)
+
+        def batch_of(out):
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["chunk", "blob"])
 
         for batch in batches:
             step = max(1, int(batch.num_rows * PACK_BYTES / max(batch.nbytes, 1)))
@@ -295,13 +355,16 @@ def _packed(docs: DataFrame, chunks: int) -> DataFrame:
             yield from blobs()
         K.release()
 
-    return rows.mapInArrow(run, "chunk int, blob binary")
+    return _numbered(docs, base, chunks, keep).mapInArrow(run, _PACKED)
 
 
 def _documents(table: pa.Table) -> pa.Table:
-    """The documents of a chunk in their order: by id, then text; null ids last."""
+    """The documents of a chunk in their order, and ``tie``, a digest of the text that orders equal ids; null ids last."""
     parts = [pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(b)).read_all() for b in table.column("blob").to_pylist()]
-    return pa.concat_tables(parts).sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
+    docs = pa.concat_tables(parts)
+    ties = [xxhash.xxh3_64_intdigest(t.as_py() or "") >> 32 for t in docs.column("text")]
+    docs = docs.append_column("tie", pa.array(ties, pa.uint32()))
+    return docs.sort_by([("id", "ascending"), ("tie", "ascending"), ("text", "ascending")]).combine_chunks()
 
 
 class Chunk:
@@ -310,12 +373,12 @@ class Chunk:
     def __init__(self, docs: pa.Table, repeats: list[bytes], window: int, gram: int):
         data, offsets = K.flat(docs.column("text"))
         self.n_docs = docs.num_rows
-        ids = docs.column("doc_id").cast(pa.int64()).fill_null(LAST).to_numpy() if docs.num_rows else np.zeros(0, np.int64)
+        ids = docs.column("id").cast(pa.int64()).fill_null(LAST).to_numpy() if docs.num_rows else np.zeros(0, np.int64)
         self.w = w = Windows(data, offsets, window, gram)
         known = np.unique(np.concatenate([unpack(b, _U64)[0] for b in repeats])) if repeats else np.zeros(0, _U64)
         at = np.searchsorted(known, w.prints)
         found = known[np.minimum(at, len(known) - 1)] == w.prints if len(known) else np.zeros(len(w.prints), bool)
-        self.at = at = np.flatnonzero(found & w.valid)  # window starts, in document order
+        at = np.flatnonzero(found & w.valid)  # window starts, in document order
         key, check = w.digests(at)
         order = np.lexsort((at, check, key))
         key, check, at = key[order], check[order], at[order]
@@ -325,64 +388,128 @@ class Chunk:
         self.sorted_at, self.which, self.is_first = at, np.cumsum(new) - 1, new
         self.key, self.check = key[new], check[new]
         place = at[new]
-        self.ids = ids[w.doc[place]] if len(place) else np.zeros(0, np.int64)
-        self.begin = (place - w.first[w.doc[place]]).astype(_U32) if len(place) else np.zeros(0, _U32)
-
-    def removed(self, seen: np.ndarray) -> np.ndarray:
-        """Which words go: windows that repeat inside the chunk, or of which ``seen`` is true."""
+        self.ids = ids[w.doc[place]]
+        self.tie = docs.column("tie").to_numpy()[w.doc[place]].astype(_U32) if self.n_docs else np.zeros(0, _U32)
+        self.begin = (place - w.first[w.doc[place]]).astype(_U32)
+
+    def removed(self, later: np.ndarray) -> np.ndarray:
+        """Which words go: windows that repeat inside the chunk, or are among the numbers ``later``."""
+        seen = np.zeros(len(self.key), bool)
+        seen[later] = True
         gone = ~self.is_first | seen[self.which] if len(self.which) else np.zeros(0, bool)
         return K.cover(len(self.w.doc), self.sorted_at[gone], self.w.window)
 
 
-def _sent(packed: DataFrame, repeats: DataFrame, buckets: int, window: int, gram: int) -> DataFrame:
-    """Each chunk's different candidate windows, by bucket: key, check, id and start of the first place."""
+_SENT = (_U64, _U64, np.dtype("<i8"), _U32, _U32)
+_PLACES = (*_SENT, _U32, _U32)
+
+
+def _losers(columns: list[np.ndarray], base: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of some places by window, and of this order which are not the window's first."""
+    key, check, ids, tie, begin, chunk, number = columns
+    order = np.lexsort((number, chunk, begin, tie, ids, chunk >= base, check, key))
+    lost = np.zeros(len(order), bool)
+    a, b = order[1:], order[:-1]
+    lost[1:] = (key[a] == key[b]) & (check[a] == check[b])
+    return order, lost
+
+
+def _sent(packed: DataFrame, repeats: DataFrame, base: int, buckets: int, window: int, gram: int) -> DataFrame:
+    """First places of the candidate windows, by bucket, and the numbers of those a task knows to be later."""
 
     def send(left, right):
         if not left.num_rows or not right.num_rows:
             return _step_table([])
         c = Chunk(_documents(left), right.column("blob").to_pylist(), window, gram)
-        chunk = left.column("chunk")[0].as_py()
-        edge = _by_bucket(c.key, buckets)
-        cut = [slice(int(edge[b]), int(edge[b + 1])) for b in range(buckets)]
-        return _step_table([(_SEEN, b, chunk, pack(c.key[s], c.check[s], c.ids[s], c.begin[s])) for b, s in enumerate(cut) if s.start < s.stop])
-
-    return packed.groupBy("chunk").cogroup(repeats.groupBy("chunk")).applyInArrow(send, _STEP)
-
-
-def _seen_earlier(key, table):
-    """For each chunk's windows of a bucket, a bit: the same window starts earlier in another chunk."""
-    chunks = table.column("chunk").to_pylist()
-    parts = [unpack(b, _U64, _U32, np.dtype("<i8"), _U32) for b in table.column("blob").to_pylist()]
-    sizes = [len(p[0]) for p in parts]
-    keys, check, ids, begin = (np.concatenate([p[i] for p in parts]) for i in range(4))
-    order = np.lexsort((begin, ids, check, keys))
-    later = np.zeros(len(keys), bool)
-    a, b = order[1:], order[:-1]
-    later[a] = (keys[a] == keys[b]) & (check[a] == check[b])
-    out, at = [], 0
-    for chunk, n in zip(chunks, sizes, strict=True):
-        if (bits := later[at : at + n]).any():
-            out.append((_SEEN, key[0].as_py(), chunk, np.packbits(bits).tobytes()))
-        at += n
-    return _step_table(out)
+        return _step_table([(_SEEN, -1, left.column("chunk")[0].as_py(), pack(c.key, c.check, c.ids, c.tie, c.begin))] if len(c.key) else [])
 
+    def combine(batches):
+        held: list[list[np.ndarray]] = []
+        count = 0
 
-def remove_repeats(docs: DataFrame, *, n_batches: int = 2, window: int = WINDOW, gram: int = GRAM, chunk_bytes: int = CHUNK_BYTES, keep: list[str] | None = None, keep_text: bool = True) -> DataFrame:
+        def settled():
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            held.clear()
+            order, lost = _losers(columns, base)
+            rows = _to_chunks(_LATER, columns[5][order[lost]], columns[6][order[lost]], buckets)
+            columns = [x[order[~lost]] for x in columns]
+            rows += [(_SEEN, b, -1, pack(*(x[s] for x in columns))) for b, s in _by_bucket(columns[0], buckets)]
+            for i in range(0, len(rows), 4096):
+                yield _step_batch(rows[i : i + 4096])
+
+        for batch in batches:
+            for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob"), strict=True):
+                part = unpack(blob.as_py(), *_SENT)
+                n = len(part[0])
+                held.append([*part, np.full(n, chunk, _U32), np.arange(n, dtype=_U32)])
+                count += n
+                if count > FLUSH // 2:
+                    yield from settled()
+                    count = 0
+        if held:
+            yield from settled()
+        K.release()
+
+    return packed.groupBy("chunk").cogroup(repeats.groupBy("chunk")).applyInArrow(send, _STEP).mapInArrow(combine, _STEP)
+
+
+def _later(base: int, buckets: int):
+    def judge(_, table):
+        """For each chunk the numbers of its windows of a bucket that start earlier in another chunk."""
+        kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
+        parts = [unpack(b, *_PLACES) for k, b in zip(kinds, blobs, strict=True) if k == _SEEN]
+        out = []
+        if parts:
+            columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            order, lost = _losers(columns, base)
+            out = _to_chunks(_LATER, columns[5][order[lost]], columns[6][order[lost]], buckets)
+        passed = table.filter(pc.equal(table.column("kind"), _LATER))
+        return pa.concat_tables([passed.cast(_step_table([]).schema), _step_table(out)])
+
+    return judge
+
+
+def _without(raw: bytes, starts: np.ndarray, ends: np.ndarray, mask: np.ndarray) -> bytes:
+    """A text without some words and the blanks after them; all else stays as it is."""
+    out, at = [], 0
+    for i, j in zip(*K.runs(mask), strict=True):
+        out.append(raw[at : starts[i]])
+        at = int(starts[j]) if j < len(starts) else int(ends[-1])
+    return b"".join([*out, raw[at:]])
+
+
+def remove_repeats(
+    docs: DataFrame,
+    *,
+    index: FingerprintIndex | None = None,
+    n_batches: int = 3,
+    fanout: int = 2,
+    window: int = WINDOW,
+    gram: int = GRAM,
+    chunk_bytes: int = CHUNK_BYTES,
+    keep: list[str] | None = None,
+    keep_text: bool = True,
+) -> DataFrame:
     """Remove every word inside a window that also starts earlier.
 
     ``docs`` has ``doc_id`` (an integer), ``text`` and other columns, of which ``keep`` stay (all by
-    default).  Batches are ranges of the id, appended to the index one after another.  Adds
-    ``n_words, n_removed, kept_sha256`` and, unless ``keep_text`` is false, ``kept_text`` and
-    ``removed_spans`` (``[begin, end)`` in words).
+    default).  Batches are ranges of the id, appended to the index one after another; a given
+    ``index`` goes on from its history, all of which is earlier, and keeps these documents too.
+    Adds ``n_words, n_removed, kept_sha256`` and, unless ``keep_text`` is false, ``kept_text`` (the kept
+    words joined by one space), ``cut_text`` (the text as it was but for the removed words, the
+    same text or null where nothing goes) and ``removed_spans`` (``[begin, end)`` in words).
     """
     spark = docs.sparkSession
-    made = ["n_words", "n_removed", "kept_sha256", "kept_text", "removed_spans"]
+    made = ["n_words", "n_removed", "kept_sha256", "kept_text", "cut_text", "removed_spans"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in (*made, "text", "doc_id")]
     docs = docs.select("doc_id", "text", *[f"`{c}`" for c in keep])
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(8, -(-int(size) // chunk_bytes))
-    buckets = chunks
-    index = FingerprintIndex(spark, chunks, buckets, window=window, gram=gram)
+    size = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    chunks = max(8, -(-size // chunk_bytes))
+    stored = index is not None
+    if index is None:
+        index = FingerprintIndex(spark, chunks, max(16, -(-size // BUCKET_BYTES)), window=window, gram=gram, fanout=fanout)
+    index.chunks = chunks
+    base, buckets, window, gram = index.base, index.buckets, index.window, index.gram
     edges = docs.approxQuantile("doc_id", [k / n_batches for k in range(1, n_batches)], 0.01) if n_batches > 1 else []
     edges = sorted({int(e) for e in edges})
     slim = docs.select("doc_id", "text")
@@ -395,30 +522,33 @@ def remove_repeats(docs: DataFrame, *, n_batches: int = 2, window: int = WINDOW,
         index.append(part)
     repeats = index.repeats()
     # Both uses of the packed documents are one shuffle: the plans are equal, so Spark reuses the exchange.
-    packed = _packed(docs, chunks)
-    seen = _sent(packed, repeats, buckets, window, gram).groupBy("bucket").applyInArrow(_seen_earlier, _STEP)
-    reports = repeats.union(seen)
+    packed = everything = _packed(docs, base, chunks, keep)
+    if stored:
+        path = f"{index.path}/documents-{len(index.documents):05d}"
+        packed.write.parquet(path)
+        packed = everything = spark.read.schema(_PACKED).parquet(path)
+        for old in index.documents:
+            everything = everything.union(spark.read.schema(_PACKED).parquet(old))
+        index.documents.append(path)
+    index.base += chunks
+    later = _sent(everything, repeats, base, buckets, window, gram).groupBy("bucket").applyInArrow(_later(base, buckets), _STEP)
+    reports = repeats.union(later).where(F.col("chunk") >= base)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     spans = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+    names = ["doc_id", *keep, *(made if keep_text else made[:3])]
 
     def finish(left, right):
         table = _documents(left)
-        kind, blobs, bucket = (right.column(c).to_pylist() for c in ("kind", "blob", "bucket"))
+        kind, blobs = (right.column(c).to_pylist() for c in ("kind", "blob"))
         c = Chunk(table, [b for k, b in zip(kind, blobs, strict=True) if k == _REPEAT], window, gram)
-        later = np.zeros(len(c.key), bool)
-        edge = _by_bucket(c.key, buckets)
-        for k, blob, b in zip(kind, blobs, bucket, strict=True):
-            if k == _SEEN:
-                a, e = int(edge[b]), int(edge[b + 1])
-                later[a:e] = np.unpackbits(np.frombuffer(blob, np.uint8), count=e - a).astype(bool)
-        gone = c.removed(later)
-        w, raw = c.w, c.w.data.tobytes()
-        counts, sha, texts, cuts = [], [], [], []
-        starts, ends = w.starts, w.ends
+        numbers = [unpack(b, _U32)[0] for k, b in zip(kind, blobs, strict=True) if k == _LATER]
+        gone = c.removed(np.concatenate(numbers) if numbers else np.zeros(0, _U32))
+        w, given = c.w, table.column("text")
+        counts, sha, texts, cut, cuts = [], [], [], [], []
         for d in range(c.n_docs):
             a, b = int(w.first[d]), int(w.first[d + 1])
             mask = gone[a:b]
-            words = raw[int(starts[a]) : int(ends[b - 1])].split() if b > a else []
+            words = w.data[int(w.starts[a]) : int(w.ends[b - 1])].tobytes().split() if b > a else []
             if mask.any():
                 words = [x for x, g in zip(words, mask.tolist(), strict=True) if not g]
             text = b" ".join(words)
@@ -426,12 +556,20 @@ def remove_repeats(docs: DataFrame, *, n_batches: int = 2, window: int = WINDOW,
             sha.append(hashlib.sha256(text).hexdigest())
             if keep_text:
                 texts.append(text.decode())
+                whole = given[d].as_py()
+                if mask.any():
+                    raw = whole.encode()
+                    low = int(w.starts[a]) - (len(raw) - len(raw.lstrip(b" \t\n\v\f\r")))
+                    whole = _without(raw, w.starts[a:b] - low, w.ends[a:b] - low, mask).decode()
+                cut.append(whole)
                 x, y = K.runs(mask)
                 cuts.append([{"begin": int(i), "end": int(j)} for i, j in zip(x, y, strict=True)])
-        out = [table.column("doc_id"), *(table.column(k) for k in keep), pa.array([x[0] for x in counts], pa.int64()), pa.array([x[1] for x in counts], pa.int64()), pa.array(sha, pa.string())]
+        out = [table.column("id"), *(table.column(f"k{i}") for i in range(len(keep)))]
+        out += [pa.array([x[0] for x in counts], pa.int64()), pa.array([x[1] for x in counts], pa.int64()), pa.array(sha, pa.string())]
         if keep_text:
-            out += [pa.array(texts, pa.string()), pa.array(cuts, spans)]
-        return pa.table(out, names=["doc_id", *keep, *(made if keep_text else made[:3])])
+            out += [pa.array(texts, pa.string()), pa.array(cut, pa.string()), pa.array(cuts, spans)]
+        return pa.table(out, names=names)
 
-    schema = ", ".join([f"doc_id {kinds['doc_id']}", *(f"`{c}` {kinds[c]}" for c in keep), "n_words long, n_removed long, kept_sha256 string", *["kept_text string, removed_spans array<struct<begin:int,end:int>>"] * keep_text])
+    more = ["kept_text string, cut_text string, removed_spans array<struct<begin:int,end:int>>"] * keep_text
+    schema = ", ".join([f"doc_id {kinds['doc_id']}", *(f"`{c}` {kinds[c]}" for c in keep), "n_words long, n_removed long, kept_sha256 string", *more])
     return packed.groupBy("chunk").cogroup(reports.groupBy("chunk")).applyInArrow(finish, schema)

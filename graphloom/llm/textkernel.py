@@ -2,7 +2,7 @@
 
 A column of texts is seen as one byte array with offsets, so words, lines and their
 64-bit hashes come out of a few numpy passes instead of a Python loop over words.
-Work arrays are bounded: hashing walks the bytes in blocks of ``BLOCK``, and
+Work arrays are bounded: they hold a number for each word, not each byte, and
 ``slices`` cuts a batch so that one slice holds about ``SLICE`` bytes (or one text).
 """
 
@@ -15,13 +15,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 BLOCK = 1 << 20
 SLICE = 2 << 20
 
 U64 = np.uint64
-_BASES = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1)
-_POWERS: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+#: Where the two independent hashes of a span start from.
+_SEEDS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Spans of more bytes are hashed one by one.
+LONG = 64
 
 
 def byte_table(*ranges: tuple[int, int]) -> np.ndarray:
@@ -98,36 +101,68 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    n = max(n, BLOCK)
-    if (kept := _POWERS.get((base, n))) is None:
-        inverse = pow(base, -1, 1 << 64)
-        out = []
-        for b in (base, inverse):
-            p = np.full(n, b, U64)
-            p[0] = 1
-            out.append(np.cumprod(p, dtype=U64))
-        kept = (out[0], out[1])
-        if n == BLOCK:
-            _POWERS[base, n] = kept
-    return kept
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of every span, by one of two independent seeds.
+
+    Eight bytes at a time are scrambled into the state, so the order of blocks counts and spans
+    of up to eight bytes with equal hashes and lengths are equal.  Longer spans may collide:
+    where a wrong match would show, ``exact_ids`` or a cryptographic digest decides.
+    """
+    size = ends - starts
+    out = mix(size.astype(U64) ^ U64(_SEEDS[which]))
+    if not len(size):
+        return out
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    masks = np.concatenate([(U64(1) << (U64(8) * np.arange(8, dtype=U64))) - U64(1), [U64(2**64 - 1)]])
+    at = np.flatnonzero((size > 0) & (size <= LONG))
+    for k in range(0, LONG, 8):
+        if not len(at):
+            break
+        left = size[at] - k
+        out[at] = mix(out[at] ^ (lanes[starts[at] + k] & masks[np.minimum(left, 8)]))
+        at = at[left > 8]
+    view = memoryview(padded)
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(view[int(starts[i]) : int(ends[i])], _SEEDS[which])
+    return out
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of the bytes of every span (ascending spans), by one of two independent bases."""
-    base, n, i = _BASES[which], len(starts), 0
-    out = np.empty(n, U64)
-    while i < n:
-        low = int(starts[i])
-        j = max(int(np.searchsorted(ends, low + BLOCK, "right")), i + 1)
-        part = data[low : max(int(ends[j - 1]), low)]
-        up, down = _powers(base, len(part) + 1)
-        total = np.zeros(len(part) + 1, U64)
-        np.cumsum((part.astype(U64) + U64(1)) * up[: len(part)], out=total[1:])
-        a, b = starts[i:j] - low, ends[i:j] - low
-        out[i:j] = (total[b] - total[a]) * down[a]
+def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the bytes of spans ``a[i]`` and ``b[i]`` are equal; work arrays of about ``BLOCK`` bytes (or one span)."""
+    size = ends[a] - starts[a]
+    out = size == ends[b] - starts[b]
+    todo = np.flatnonzero(out & (size > 0))
+    total = np.cumsum(size[todo])
+    i = 0
+    while i < len(todo):
+        j = max(int(np.searchsorted(total, (total[i - 1] if i else 0) + BLOCK, "right")), i + 1)
+        part = todo[i:j]
+        n = size[part]
+        begin = np.cumsum(n) - n
+        step = np.arange(int(n.sum())) - np.repeat(begin, n)
+        equal = data[np.repeat(starts[a[part]], n) + step] == data[np.repeat(starts[b[part]], n) + step]
+        out[part] = np.logical_and.reduceat(equal, begin)
         i = j
-    return mix(out ^ ((ends - starts).astype(U64) << U64(56)))
+    return out
+
+
+def exact_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Numbers of the spans: two are equal exactly if the bytes of the spans are."""
+    keys = span_hashes(data, starts, ends)
+    order = np.argsort(keys, kind="stable")
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[order][1:] != keys[order][:-1]
+    group = np.cumsum(new) - 1
+    head = order[np.flatnonzero(new)][group] if len(keys) else order
+    differs = ~same_spans(data, starts, ends, order, head)
+    ids = np.empty(len(keys), np.int64)
+    ids[order] = group
+    if differs.any():  # different spans with one hash: number those groups by their bytes
+        raw, known = data.tobytes(), {}
+        for i in order[np.isin(group, group[differs])].tolist():
+            ids[i] = len(keys) + known.setdefault(raw[int(starts[i]) : int(ends[i])], len(known))
+    return ids
 
 
 def ngram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:

@@ -229,6 +229,73 @@ def test_removal_against_brute_force(docs, rows):
         assert all(sum(s.end - s.begin for s in g.removed_spans) == g.n_removed for g in got)
 
 
+def test_far_apart_words_with_weak_hashes_are_not_taken_for_equal():
+    """Thue-Morse words and their complements, which polynomial hashes modulo 2**64 confuse."""
+    word = b"a"
+    while len(word) < 1024:
+        word += word.translate(bytes.maketrans(b"ab", b"ba"))
+    other = word.translate(bytes.maketrans(b"ab", b"ba")).decode()
+    word = word.decode()
+    tail = " ".join(f"w{i}" for i in range(19))
+    data, offsets = K.flat(pa.array([f"{word}\n{other}\n{word}", f"{word} x y {other} x y"]))
+    found = decision_list.count_texts(data, offsets)
+    assert found["n_dup_lines"].tolist() == [1, 0] and found["n_repeat_words"].tolist() == [0, 0]
+    w = substring.Windows(*K.flat(pa.array([f"{word} {tail}", f"{other} {tail}"])))
+    assert len(set(w.digests(np.array([0, 20]))[0].tolist())) == 2
+
+
+def test_verification_does_not_rest_on_the_hash(spark, monkeypatch):
+    monkeypatch.setattr(K, "span_hashes", lambda d, s, e, which=0: np.full(len(s), 7, np.uint64))
+    texts = ["one two three\nfour five six\none two three", "one two three four one two three"]
+    data, offsets = K.flat(pa.array(texts))
+    found = decision_list.count_texts(data, offsets)
+    assert list(zip(found["n_dup_lines"].tolist(), found["n_repeat_words"].tolist(), strict=True)) == [brute_counts(t)[3:] for t in texts]
+    ids = K.exact_ids(data, *K.words(data, offsets)[:2])
+    words = [w for t in texts for w in WORD.findall(t)]
+    assert len(set(ids.tolist())) == len(set(words)) == len(set(zip(ids.tolist(), words, strict=True)))
+
+
+def test_a_later_batch_is_judged_against_history(spark, docs, rows):
+    old = [r for r in rows if r[0] is None or r[0] % 2]
+    new = [r for r in rows if r[0] is not None and not r[0] % 2]
+    frame = lambda x: spark.createDataFrame(x, docs.schema).repartition(2)
+    index = substring.FingerprintIndex(spark, 8, 5, fanout=2)
+    substring.remove_repeats(frame(old), index=index, n_batches=2).count()
+    got = substring.remove_repeats(frame(new), index=index, n_batches=2).collect()
+    # History is earlier: give it ids before all others, in its own order.
+    order = sorted(old, key=lambda r: (r[0] is None, r[0] or 0))
+    want = brute_removal([(i - 10**6, r[1]) for i, r in enumerate(order)] + [(r[0], r[1]) for r in new])
+    assert sorted(str((g.doc_id, g.n_removed, g.kept_text)) for g in got) == sorted(str((w[0], w[2], w[4])) for w in want if w[0] >= 0)
+
+
+def test_cut_texts_keep_their_spacing_and_any_column_name_passes(spark, docs, rows):
+    d = docs.selectExpr("doc_id", "text", "1 AS chunk", "2 AS _chunk", "3 AS id", "4 AS tie", "5 AS k0")
+    out = substring.remove_repeats(d).collect()
+    texts = {r[1] for r in rows}
+    for r in out:
+        assert (r.chunk, r._chunk, r.id, r.tie, r.k0) == (1, 2, 3, 4, 5)
+        assert " ".join(WORD.findall(r.cut_text or "")) == r.kept_text
+        assert r.n_removed or r.cut_text in texts
+
+
+def test_work_for_a_chunk_follows_its_keys_not_the_buckets():
+    keys = np.sort(np.random.default_rng(0).integers(0, 1 << 63, 500).astype(np.uint64) * 2)
+    for buckets in (16, 10**6):
+        parts = substring._by_bucket(keys, buckets)
+        assert len(parts) <= len(keys) and sum(s.stop - s.start for _, s in parts) == len(keys)
+        assert all(int(k) * buckets >> 64 == b for b, s in parts for k in keys[s]) and all(0 <= b < buckets for b, _ in parts)
+
+
+def test_hot_passages_are_reported_by_each_task(spark, monkeypatch):
+    monkeypatch.setattr(substring, "HOT", 1)
+    monkeypatch.setattr(substring, "FLUSH", 40)
+    passage = " ".join(f"hot{i}" for i in range(30))
+    data = [(i, f"{passage} own{i} " + " ".join(f"x{i}y{j}" for j in range(25))) for i in range(60)] + [(None, passage), (None, passage + " end")]
+    out = substring.remove_repeats(spark.createDataFrame(data, "doc_id long, text string").repartition(4), chunk_bytes=300).collect()
+    got = {r.doc_id: r.n_removed for r in out if r.doc_id is not None}
+    assert got == {i: 30 if i else 0 for i in range(60)} and sorted(r.n_removed for r in out if r.doc_id is None) == [30, 30]
+
+
 def test_index_reports_repeats_across_batches_and_survives_compaction(spark):
     text = " ".join(f"w{i}" for i in range(200))
     parts = [spark.createDataFrame([(i, t)], "doc_id long, text string") for i, t in enumerate([text, "other words " * 30, text])]
