@@ -46,11 +46,13 @@ from .shared import new_path
 WINDOW, GRAM = 20, 8
 CHUNK_BYTES = 4 << 20
 #: Text whose fingerprints share a bucket, about.
-BUCKET_BYTES = 128 << 20
+BUCKET_BYTES = 8 << 20
 #: Chunks of one task beyond which it reports a fingerprint itself.
 HOT = 8
 #: Fingerprints that a task gathers before it writes them out as a piece of the run.
 FLUSH = 2_000_000
+#: Windows that a task gathers before it settles their first places.
+SETTLE = 400_000
 PACK_BYTES = 16 << 20
 LAST = np.iinfo(np.int64).max
 
@@ -405,12 +407,14 @@ _PLACES = (*_SENT, _U32, _U32)
 
 
 def _losers(columns: list[np.ndarray], base: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of some places by window, and of this order which are not the window's first."""
+    """The order of some places by key, and which places are not the first of their window."""
     key, check, ids, tie, begin, chunk, number = columns
-    order = np.lexsort((number, chunk, begin, tie, ids, chunk >= base, check, key))
-    lost = np.zeros(len(order), bool)
-    a, b = order[1:], order[:-1]
-    lost[1:] = (key[a] == key[b]) & (check[a] == check[b])
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    some = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])] if len(order) else order
+    at = some[np.lexsort((number[some], chunk[some], begin[some], tie[some], ids[some], chunk[some] >= base, check[some], key[some]))]
+    lost = np.zeros(len(key), bool)
+    lost[at[1:]] = (key[at[1:]] == key[at[:-1]]) & (check[at[1:]] == check[at[:-1]])
     return order, lost
 
 
@@ -421,6 +425,7 @@ def _sent(packed: DataFrame, repeats: DataFrame, base: int, buckets: int, window
         if not left.num_rows or not right.num_rows:
             return _step_table([])
         c = Chunk(_documents(left), right.column("blob").to_pylist(), window, gram)
+        K.release()
         return _step_table([(_SEEN, -1, left.column("chunk")[0].as_py(), pack(c.key, c.check, c.ids, c.tie, c.begin))] if len(c.key) else [])
 
     def combine(batches):
@@ -431,8 +436,9 @@ def _sent(packed: DataFrame, repeats: DataFrame, base: int, buckets: int, window
             columns = [np.concatenate(x) for x in zip(*held, strict=True)]
             held.clear()
             order, lost = _losers(columns, base)
-            rows = _to_chunks(_LATER, columns[5][order[lost]], columns[6][order[lost]], buckets)
-            columns = [x[order[~lost]] for x in columns]
+            rows = _to_chunks(_LATER, columns[5][lost], columns[6][lost], buckets)
+            order = order[~lost[order]]
+            columns = [x[order] for x in columns]
             rows += [(_SEEN, b, -1, pack(*(x[s] for x in columns))) for b, s in _by_bucket(columns[0], buckets)]
             for i in range(0, len(rows), 4096):
                 yield _step_batch(rows[i : i + 4096])
@@ -443,7 +449,7 @@ def _sent(packed: DataFrame, repeats: DataFrame, base: int, buckets: int, window
                 n = len(part[0])
                 held.append([*part, np.full(n, chunk, _U32), np.arange(n, dtype=_U32)])
                 count += n
-                if count > FLUSH // 2:
+                if count > SETTLE:
                     yield from settled()
                     count = 0
         if held:
@@ -461,8 +467,11 @@ def _later(base: int, buckets: int):
         out = []
         if parts:
             columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            order, lost = _losers(columns, base)
-            out = _to_chunks(_LATER, columns[5][order[lost]], columns[6][order[lost]], buckets)
+            del parts
+            _, lost = _losers(columns, base)
+            out = _to_chunks(_LATER, columns[5][lost], columns[6][lost], buckets)
+            del columns
+        K.release()
         passed = table.filter(pc.equal(table.column("kind"), _LATER))
         return pa.concat_tables([passed.cast(_step_table([]).schema), _step_table(out)])
 
@@ -507,7 +516,7 @@ def remove_repeats(
     chunks = max(8, -(-size // chunk_bytes))
     stored = index is not None
     if index is None:
-        index = FingerprintIndex(spark, chunks, max(16, -(-size // BUCKET_BYTES)), window=window, gram=gram, fanout=fanout)
+        index = FingerprintIndex(spark, chunks, max(8, -(-size // BUCKET_BYTES)), window=window, gram=gram, fanout=fanout)
     index.chunks = chunks
     base, buckets, window, gram = index.base, index.buckets, index.window, index.gram
     edges = docs.approxQuantile("doc_id", [k / n_batches for k in range(1, n_batches)], 0.01) if n_batches > 1 else []
