@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
+from .shared import below
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks", "n_digits")
 #: Features a rule may test: name and SQL over the counts.
@@ -220,15 +221,17 @@ def learn_rules(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", labe
     """Learn from the labelled rows of ``docs`` (label 0 is rejected, 1 kept, others unused).
 
     About ``sample_rows`` labelled ids at most are chosen by a hash of the id; an id with both
-    labels counts as rejected.  Only their texts are counted for it.
+    labels counts as rejected, and of rows that share an id one counts.  Only their texts are read for it.
     """
-    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias("_label"))
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(label).alias("_label"))
     n = known.count()
     if n > sample_rows:
-        known = known.where(F.pmod(F.xxhash64(key, F.lit(5)), F.lit(1 << 20)) < int((1 << 20) * sample_rows / n))
-    rows = docs.select(key, "text").join(F.broadcast(known), key)  # at most about sample_rows pairs of numbers
-    picked = with_counts(rows).where(~base_failed()).select(key, "_label", *[F.expr(sql).alias(name) for name, sql in FEATURES.items()])
-    table = picked.toPandas().sort_values([key, *FEATURES]).reset_index(drop=True)
+        known = known.where(F.xxhash64("key", F.lit(5)) < below(sample_rows / n))
+    rows = docs.select(F.col(key).alias("key"), F.col("text").alias("text")).join(F.broadcast(known), "key")  # about sample_rows pairs of numbers
+    picked = with_counts(rows).where(~base_failed()).select("key", "_label", *[F.expr(sql).alias(name) for name, sql in FEATURES.items()])
+    # Rows that share an id count once, so that the table is bounded whatever repeats.
+    once = picked.groupBy("key", "_label").agg(F.min(F.struct(*FEATURES)).alias("x")).select("key", "_label", "x.*")
+    table = once.toPandas().sort_values("key").reset_index(drop=True)
     if not len(table):
         return []
     return learn({name: table[name].to_numpy(float) for name in FEATURES}, (table["_label"] == 0).to_numpy(), **how)

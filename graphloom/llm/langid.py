@@ -11,7 +11,9 @@ Forward and backward sums run over all texts of a batch at once.  Long chains ar
 blocks whose transfer matrices are multiplied first, so the number of steps does not grow
 with the longest text, and the result is still exact.
 
-Null texts and texts without a letter are ``und`` with score 0.
+Null texts and texts without a letter are ``und`` with score 0.  Input columns that bear the
+name of a result are replaced, all others stay.  Repeated rows get equal results; long texts are
+labelled whole.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
+from .shared import below, sampled_texts
 
 BUCKETS = 1 << 16
 BLOCK_WORDS = 512
@@ -32,6 +35,8 @@ BLOCK_WORDS = 512
 GROUP_BYTES = 6 << 20
 #: Labelled rows used for training at most (expected), and words of a language's lexicon.
 SAMPLE_ROWS, LEXICON = 1600, 4000
+#: Rows that a language has in the sample at least, if there are so many; languages a model may have.
+LEAST_ROWS, MAX_LABELS = 40, 1000
 #: Lengths of the byte n-grams.
 ORDERS = (2, 3)
 LETTERS = K.byte_table((97, 122), (0x80, 0xFF))
@@ -266,14 +271,24 @@ def train(texts: list[str], langs: list[str], *, epochs: int = 3, batch: int = 3
     return tagger
 
 
-def train_on(docs: DataFrame, *, key: str = "doc_id", lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Tagger:
-    """Train on about ``sample_rows`` rows with a language."""
-    known = docs.where(F.col(lang).isNotNull() & F.col("text").isNotNull())
-    n = docs.where(F.col(lang).isNotNull()).count()
-    if n > sample_rows:
-        known = known.where(F.pmod(F.xxhash64(key, F.lit(10)), F.lit(1 << 20)) < int((1 << 20) * sample_rows / n))
-    rows = known.select(key, "text", lang).toPandas().sort_values([key, "text"], kind="stable")  # bounded by sample_rows
-    return train(rows["text"].tolist(), rows[lang].tolist())
+def train_on(docs: DataFrame, *, key: str = "doc_id", lang: str = "lang", sample_rows: int = SAMPLE_ROWS, least_rows: int = LEAST_ROWS) -> Tagger:
+    """Train on about ``sample_rows`` rows with an id, a text and a language, and ``LEAST_ROWS`` of each language that has so many.
+
+    A language of a small share is so learned too.  Texts come whole, ``SAMPLE_BYTES`` at most.
+    """
+    known = docs.where(F.col(lang).isNotNull() & F.col("text").isNotNull() & F.col(key).isNotNull())
+    known = known.select(F.col(key).alias("key"), F.col("text").alias("text"), F.col(lang).alias("label"))
+    counts = known.groupBy("label").count().limit(MAX_LABELS + 1).collect()  # one row for each language
+    if len(counts) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} languages")
+    if not counts:
+        return train([], [])
+    n = sum(r["count"] for r in counts)
+    cuts = [(r.label, below(min(1.0, max(sample_rows / n, least_rows / r["count"])))) for r in counts]
+    cut = docs.sparkSession.createDataFrame(cuts, "label string, cut long")
+    some = known.join(F.broadcast(cut), "label").where(F.xxhash64("key", F.lit(10)) <= F.col("cut")).select("key", "label", "text")
+    rows = sampled_texts(some, "key", "label")
+    return train(rows["text"].tolist(), rows["label"].tolist())
 
 
 def has_letter(text: str) -> bool:

@@ -6,8 +6,9 @@ stochastic gradient descent in numpy on a bounded sample of labelled texts.  As
 layer is linear, the score of a text is the average of one number for each hashed vector,
 so scoring is a table lookup in one narrow pass over whole texts.
 
-Null and empty texts have no vectors and get the prior of the output layer.  Repeated rows
-get equal scores.  Without both labels in the sample every score is the share of label 1
+Null and empty texts have no vectors and get the prior of the output layer.  Long texts are
+scored whole, one at a time.  Repeated rows get equal scores.  Input columns named ``score`` or
+``predicted`` are replaced, all others stay.  Without both labels in the sample every score is the share of label 1
 (0.5 without any label).
 """
 
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
+from .shared import below, sampled_texts
 
 BUCKETS, DIM, ORDERS = 1 << 16, 16, (3, 4)
 #: Labelled rows used for training at most (expected; chosen by a hash of the id).
@@ -125,14 +127,14 @@ def train(texts: list[str], labels: np.ndarray, *, epochs: int = 8, rate: float
 
 
 def train_on(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Train on about ``sample_rows`` rows of ``docs`` that have a label 0 or 1."""
-    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias("_label"))
+    """Train on about ``sample_rows`` ids of ``docs`` that have a label 0 or 1, and on ``SAMPLE_BYTES`` of whole texts at most."""
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(label).alias("label"))
     n = known.count()
     if n > sample_rows:
-        known = known.where(F.pmod(F.xxhash64(key, F.lit(8)), F.lit(1 << 20)) < int((1 << 20) * sample_rows / n))
-    rows = docs.select(key, "text").join(F.broadcast(known), key).select(key, "text", "_label").toPandas()  # bounded by sample_rows
-    rows = rows.sort_values([key, "text"], kind="stable")
-    return train([t or "" for t in rows["text"]], rows["_label"].to_numpy())
+        known = known.where(F.xxhash64("key", F.lit(8)) < below(sample_rows / n))
+    some = docs.select(F.col(key).alias("key"), F.col("text").alias("text")).join(F.broadcast(known), "key")  # about sample_rows pairs of numbers
+    rows = sampled_texts(some, "key", "label")
+    return train([t or "" for t in rows["text"]], rows["label"].to_numpy())
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -66,6 +66,35 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of text that a sample brings to the driver at most.
+SAMPLE_BYTES = 64 << 20
+
+
+def below(share: float) -> int:
+    """The signed 64-bit number below which about this share of all hashes lies; it keeps its precision at any size."""
+    return min(max(int(share * 2**64), 1), 2**64 - 1) - 2**63
+
+
+def sampled_texts(rows: DataFrame, key: str, label: str, max_bytes: int = SAMPLE_BYTES):
+    """A bounded sample as a pandas table ``(key, label, text)``, sorted.
+
+    ``rows`` are already few; equal ids with one label count once (their least text).  In the order
+    of a hash of the id, texts are taken whole while they fit into ``max_bytes``.
+    """
+    once = rows.groupBy(F.col(key).alias("key"), F.col(label).alias("label")).agg(F.min("text").alias("text"))
+    kept = stage(once.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0))), "sample")
+    sizes = kept.select("key", "label", "size", F.xxhash64("key").alias("at")).collect()  # a few numbers for each sampled row
+    if sum(r.size for r in sizes) > max_bytes:
+        left, fits = max_bytes, []
+        for r in sorted(sizes, key=lambda r: (r["at"], str(r.label))):
+            if r.size <= left:
+                left -= r.size
+                fits.append((r.key, r.label))
+        some = rows.sparkSession.createDataFrame(fits, kept.select("key", "label").schema)
+        kept = kept.join(F.broadcast(some), ["key", "label"], "left_semi")  # at most the sampled ids
+    return kept.select("key", "label", "text").toPandas().sort_values(["key", "label"], kind="stable").reset_index(drop=True)
+
+
 def crc_fold(column: str, n: int):
     """``crc32`` of the id written as text, modulo ``n``: the fold of a row."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(n)

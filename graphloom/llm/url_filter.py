@@ -6,8 +6,9 @@ longer host.  Rules are kept as one file: sorted 64-bit xxhash keys, verdicts, a
 strings.  Executors map it into memory, probe it with a vectorised binary search, and
 compare the stored string of every hit, so a digest collision can never decide a url.
 
-The file goes to each executor once (``SparkContext.addFile``) while it is no larger than
-``max_index_bytes``; a larger rule set is joined by digest instead, both sides shuffled.
+The file is written to the shared folder and goes to each executor once (``SparkContext.addFile``)
+while it is no larger than ``max_index_bytes``; a larger rule set is joined instead, both sides
+shuffled.  Both ways refuse a rule without host or path and a rule with two verdicts.
 
 Null urls and urls without ``://`` have an empty host and path, and fit no rule.  A url
 whose path is empty fits no rule, as each rule's path starts with ``/``.  Repeated rows stay.
@@ -15,8 +16,7 @@ whose path is empty fits no rule, as each rule's path starts with ``/``.  Repeat
 
 from __future__ import annotations
 
-import os
-import tempfile
+import io
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,8 +26,10 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import new_path
+
 ALLOW, BLOCK = "allow", "block"
-MAX_INDEX_BYTES = 1 << 30
+MAX_INDEX_BYTES = 64 << 20
 _LOWER = {i: i + 32 for i in range(65, 91)}
 
 
@@ -83,7 +85,12 @@ class DigestArray:
 
     @staticmethod
     def write(path: str, rules: Iterable[tuple[str, str]]) -> None:
-        """``rules`` are pairs of rule and verdict; a rule given twice must not change its verdict."""
+        with open(path, "wb") as f:
+            f.write(DigestArray.packed(rules))
+
+    @staticmethod
+    def packed(rules: Iterable[tuple[str, str]]) -> bytes:
+        """The bytes of the file.  ``rules`` are pairs of rule and verdict; a rule given twice must not change its verdict."""
         known: dict[str, int] = {}
         for rule, verdict in rules:
             key = "".join(split_rule(rule))
@@ -91,12 +98,13 @@ class DigestArray:
                 raise ValueError(f"two verdicts for {rule!r}")
         rows = sorted((xxhash.xxh64_intdigest(r.encode()), r.encode(), v) for r, v in known.items())
         lengths = sorted({len(split_rule(r)[1]) for r in known})
-        with open(path, "wb") as f:
+        with io.BytesIO() as f:
             f.write(np.array([len(rows), len(lengths), *lengths], "<i8").tobytes())
             f.write(np.array([k for k, _, _ in rows], "<u8").tobytes())
             f.write(np.cumsum([0, *(len(r) for _, r, _ in rows)], dtype="<i8").tobytes())
             f.write(bytes(v for _, _, v in rows))
             f.write(b"".join(r for _, r, _ in rows))
+            return f.getvalue()
 
     def string(self, i: int) -> bytes:
         return self.strings[self.offsets[i] : self.offsets[i + 1]].tobytes()
@@ -141,9 +149,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame | list[tuple[str, str]], *, ur
     name = f"rules-{xxhash.xxh64_hexdigest(repr(sorted(rules)).encode())}.idx"
     known = (spark.sparkContext.applicationId, name)  # the name follows from the rules: equal rules are sent once
     if known not in _SENT:
-        folder = tempfile.mkdtemp(prefix="graphloom-rules-")
-        DigestArray.write(os.path.join(folder, name), rules)
-        spark.sparkContext.addFile(os.path.join(folder, name))
+        target = f"{new_path(spark, 'rules')}/{name}"
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+        out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
+        out.write(bytearray(DigestArray.packed(rules)))
+        out.close()
+        spark.sparkContext.addFile(target)
         _SENT.add(known)
 
     def run(batches):
@@ -169,24 +180,38 @@ def judge_urls(pages: DataFrame, rules: DataFrame | list[tuple[str, str]], *, ur
     return rows.mapInArrow(run, schema)
 
 
+_HOST, _REST = "^[^/]*", "^[^/]*(.*)$"
+
+
 def _joined(rows: DataFrame, rules: DataFrame, url: str, keep: list[str], otherwise: str) -> DataFrame:
-    """The way for rule sets too large for each executor: candidate strings meet the rules in a shuffle."""
-    lengths = [r[0] for r in rules.select(F.length(F.regexp_extract("rule", "^[^/]*(.*)$", 1)).alias("n")).distinct().collect()]
+    """The way for rule sets too large for each executor: candidate strings meet the rules in a shuffle.
+
+    Urls that no rule can fit by its length get a key of their own each, so none is hot.
+    """
+    bad = rules.where(~F.col("rule").rlike("^[^/]+/")).select("rule").first()
+    if bad:
+        raise ValueError(f"a rule is host/path, not {bad.rule!r}")
+    host = F.translate(F.regexp_extract("rule", _HOST, 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    stored = rules.select(F.concat(host, F.regexp_extract("rule", _REST, 1)).alias("rule"), (F.col("verdict") == BLOCK).alias("block"))
+    stored = stored.groupBy("rule").agg(F.min("block").alias("block"), F.max("block").alias("most"))
+    if two := stored.where("block <> most").select("rule").first():
+        raise ValueError(f"two verdicts for {two.rule!r}")
+    lengths = sorted(r[0] for r in rules.select(F.length(F.regexp_extract("rule", _REST, 1))).distinct().collect())  # path lengths
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
+    plain = rows.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate([*keep, url])], F.monotonically_increasing_id().alias("row"))
 
     def run(batches):
         for batch in batches:
-            parts = [split_url(u) for u in batch.column(batch.num_columns - 2).to_pylist()]
-            made = [pa.array([p[0] for p in parts], pa.string()), pa.array([p[1] for p in parts], pa.string()), pa.array([candidates(h, p, sorted(lengths)) for h, p in parts], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "host", "path", "_cand"])
-
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{url}` {kinds[url]}, _row long, host string, path string, _cand array<string>"])
-    split = numbered.mapInArrow(run, schema)
-    # Few distinct (host, path) candidates are hot: judge each distinct candidate list once.
-    distinct = split.where(F.size("_cand") > 0).select("_cand").distinct().withColumn("_key", F.xxhash64("_cand"))
-    probes = distinct.select("_cand", F.posexplode("_cand").alias("_pos", "rule"))
-    stored = rules.groupBy(F.concat(F.translate(F.regexp_extract("rule", "^[^/]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.regexp_extract("rule", "^[^/]*(.*)$", 1)).alias("rule")).agg(F.max("verdict").alias("verdict"))
-    best = probes.join(stored, "rule").groupBy("_cand").agg(F.min_by(F.struct("rule", "verdict"), "_pos").alias("_hit"))
-    out = split.join(best, "_cand", "left")
-    return out.select(*[f"`{c}`" for c in keep], f"`{url}`", "host", "path", F.col("_hit.rule").alias("rule"), F.coalesce("_hit.verdict", F.lit(otherwise)).alias("verdict"))
+            parts = [split_url(u) for u in batch.column(len(keep)).to_pylist()]
+            found = [candidates(h, p, lengths) or [f"/{r}"] for (h, p), r in zip(parts, batch.column(len(keep) + 1).to_pylist(), strict=True)]
+            made = [pa.array([p[0] for p in parts], pa.string()), pa.array([p[1] for p in parts], pa.string()), pa.array(found, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], "host", "path", "wanted"])
+
+    schema = ", ".join([*(f"c{i} {kinds[c]}" for i, c in enumerate([*keep, url])), "host string, path string, wanted array<string>"])
+    split = plain.mapInArrow(run, schema)
+    # Equal candidate lists are judged once.
+    probes = split.where(~F.startswith(F.col("wanted")[0], F.lit("/"))).select("wanted").distinct().select("wanted", F.posexplode("wanted").alias("place", "rule"))
+    best = probes.join(stored, "rule").groupBy("wanted").agg(F.min_by(F.struct("rule", "block"), "place").alias("hit"))
+    verdict = F.when(F.col("hit.block"), F.lit(BLOCK)).when(~F.col("hit.block"), F.lit(ALLOW)).otherwise(F.lit(otherwise))
+    names = [F.col(f"c{i}").alias(c) for i, c in enumerate([*keep, url])]
+    return split.join(best, "wanted", "left").select(*names, "host", "path", F.col("hit.rule").alias("rule"), verdict.alias("verdict"))

@@ -8,7 +8,9 @@ given, or computed where it is missing.  Record ids are UUIDs derived from the s
 and the kind, so a repeated run or a retried task gives the same records.
 
 Null payloads count as empty; null urls give an empty target.  Repeated rows give repeated
-records.  All work is one narrow pass, a record at a time.
+records.  Pages are scanned once from left to right, in time linear in their length, however
+long or malformed.  Input columns that are not named in ``carry`` are left out; one in
+``carry`` that bears the name of a result is refused.  All work is one narrow pass.
 """
 
 from __future__ import annotations
@@ -21,21 +23,26 @@ import io
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace of RFC 4122
-RESPONSE = "record_id string, target_uri string, warc_date string, headers map<string,string>, http string, payload string"
+RESPONSE = "record_id string, target_uri string, warc_date string, headers map<string,string>, http string, payload string, digest string"
 DERIVED = "record_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, block_digest string, payload_digest string, content_length long, block string"
 
-# One left-to-right scan; an element that is never closed ends with the page, so the scan is linear.
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|head)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)\b[^>]*>|<[!?/][^>]*>", re.S | re.I)
 _BLOCK = frozenset("address article aside blockquote br dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.S | re.I)
-_HREF = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Elements whose content is no text of the page; one that is never closed ends with the page.
+_HIDDEN = frozenset("script style noscript template title".split())
+_LOWER = {i: i + 32 for i in range(65, 91)}  # keeps lengths, unlike str.lower
+_NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9]*)")
+_TAG_END = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+_ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _BLANK = re.compile(r"[^\S\n]+")
 
 
@@ -43,27 +50,86 @@ def digest(raw: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(raw).digest()).decode()
 
 
+def scan(page: str) -> Iterator[tuple[str, str, str]]:
+    """``(kind, name, content)`` from left to right, in time linear in the page.
+
+    Kinds: ``text``; ``open`` and ``close`` with the tag's name in lower case and its attributes;
+    ``hidden`` with the name and content of an element that is not shown.  A ``<`` that begins
+    no tag, or whose tag never ends, is text.
+    """
+    low, at, n = page.translate(_LOWER), 0, len(page)
+    while at < n:
+        begin = page.find("<", at)
+        while 0 <= begin < n - 1 and not (page[begin + 1] in "!?" or _NAME.match(page, begin + 1)):
+            begin = page.find("<", begin + 1)
+        if begin < 0 or begin >= n - 1 or page.find(">", begin) < 0 and not page.startswith("<!--", begin):
+            break
+        if begin > at:
+            yield "text", "", page[at:begin]
+        if page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4)
+            at = n if end < 0 else end + 3
+            continue
+        name = _NAME.match(page, begin + 1)
+        if not name:
+            at = page.find(">", begin) + 1
+            continue
+        found = _TAG_END.match(page, name.end())
+        at = found.end() if found else page.find(">", begin) + 1
+        tag = low[name.start(1) : name.end()]
+        if page[begin + 1] == "/":
+            yield "close", tag, ""
+            continue
+        yield "open", tag, page[name.end() : at - 1]
+        if tag in _HIDDEN:
+            end = low.find(f"</{tag}", at)
+            yield "hidden", tag, page[at : n if end < 0 else end]
+            at = n if end < 0 else end
+    if at < n:
+        yield "text", "", page[at:]
+
+
+def read_page(page: str) -> tuple[str, str, list[str]]:
+    """The visible text, the title and the link targets.
+
+    Of the text block elements end a line, runs of blanks are one, empty lines go.
+    """
+    out, title, links = [], None, []
+    for kind, name, content in scan(page.replace("\n", " ")):
+        if kind == "text":
+            out.append(content)
+        elif kind == "hidden":
+            if name == "title" and title is None:
+                title = " ".join(entities.unescape(content).split())
+        elif name in _BLOCK:
+            out.append("\n")
+        if kind == "open" and name == "a":
+            for m in _ATTRIBUTE.finditer(content):
+                if m[1].translate(_LOWER) == "href":
+                    links.append(entities.unescape(m[2] or m[3] or m[4] or ""))
+                    break
+    rows = (_BLANK.sub(" ", row).strip() for row in entities.unescape("".join(out)).replace("\r", " ").split("\n"))
+    return "\n".join(row for row in rows if row), title or "", links
+
+
 def plain_text(page: str) -> str:
-    """The visible text: block elements end a line, runs of blanks are one, empty lines go."""
-    text = _MARKUP.sub(lambda m: "\n" if m[3] and m[3].lower() in _BLOCK else "", page.replace("\n", " "))
-    rows = (_BLANK.sub(" ", row).strip() for row in entities.unescape(text).replace("\r", " ").split("\n"))
-    return "\n".join(row for row in rows if row)
+    return read_page(page)[0]
 
 
-def derive(record_id: str, target: str, date: str, headers: dict[str, str], http: str, payload: str) -> Iterator[tuple]:
-    """The rows of ``DERIVED`` for one response."""
-    source = headers.get("WARC-Payload-Digest") or digest(payload.encode())
-    text = plain_text(payload)
-    title = _TITLE.search(payload)
+def derive(record_id: str, target: str, date: str, headers: dict[str, str], http: str, payload: str, source: str | None = None) -> Iterator[tuple]:
+    """The rows of ``DERIVED`` for one response; ``source`` is the digest of its payload, if known."""
+    source = headers.get("WARC-Payload-Digest") or source or digest(payload.encode())
+    text, title, links = read_page(payload)
     meta = {
         "source": {"WARC-Record-ID": record_id, "WARC-Target-URI": target, "WARC-Date": date, "WARC-Payload-Digest": source} | headers,
         "http": dict(h.split(": ", 1) for h in http.split("\r\n")[1:] if ": " in h),
         "status": http.split("\r\n")[0],
-        "title": " ".join(entities.unescape(title[1]).split()) if title else "",
-        "links": [entities.unescape(a or b or c) for a, b, c in _HREF.findall(payload)],
+        "title": title,
+        "links": links,
         "text_digest": digest(text.encode()),
     }
-    for kind, content, block in (("metadata", "application/json", json.dumps(meta, ensure_ascii=False, sort_keys=True)), ("conversion", "text/plain", text)):
+    blocks = (("metadata", "application/json", json.dumps(meta, ensure_ascii=False, sort_keys=True)), ("conversion", "text/plain", text))
+    for kind, content, block in blocks:
         own = f"<urn:uuid:{uuid.uuid5(_SPACE, f'{kind} {record_id}')}>"
         raw = block.encode()
         yield kind, own, record_id, target, date, content, digest(raw), source, len(raw), block
@@ -72,6 +138,8 @@ def derive(record_id: str, target: str, date: str, headers: dict[str, str], http
 def derivatives(responses: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """Two records for each row of ``responses`` (columns ``RESPONSE``), with the columns ``carry`` in front."""
     carry = carry or []
+    if clash := set(carry) & {x.split()[0] for x in DERIVED.split(", ")}:
+        raise ValueError(f"columns {sorted(clash)} bear the name of a result; rename them")
     kinds = {f.name: f.dataType.simpleString() for f in responses.schema}
     names = [x.split()[0] for x in DERIVED.split(", ")]
 
@@ -80,7 +148,7 @@ def derivatives(responses: DataFrame, carry: list[str] | None = None) -> DataFra
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 lists = [c.to_pylist() for c in part.columns[len(carry) :]]
-                rows = [row for rec, uri, date, heads, http, body in zip(*lists, strict=True) for row in derive(rec or "", uri or "", date or "", dict(heads or {}), http or "", body or "")]
+                rows = [row for rec, uri, date, heads, http, body, known in zip(*lists, strict=True) for row in derive(rec or "", uri or "", date or "", dict(heads or {}), http or "", body or "", known)]
                 twice = pa.array([k // 2 for k in range(2 * part.num_rows)], pa.int64())
                 made = [pa.array(x, pa.int64() if n == "content_length" else pa.string()) for n, x in zip(names, zip(*rows, strict=True), strict=True)] if rows else [pa.array([], pa.int64() if n == "content_length" else pa.string()) for n in names]
                 yield pa.RecordBatch.from_arrays([*(c.take(twice) for c in part.columns[: len(carry)]), *made], names=[*carry, *names])
@@ -102,6 +170,7 @@ def responses_of_pages(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") ->
         F.create_map(F.lit("WARC-Type"), F.lit("response"), F.lit("Content-Type"), F.lit("application/http; msgtype=response")).alias("headers"),
         F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(body).cast("string")).alias("http"),
         body.alias("payload"),
+        F.lit(None).cast("string").alias("digest"),
     )
 
 
@@ -114,9 +183,10 @@ def to_warc(headers: dict[str, str], block: bytes) -> bytes:
     return f"WARC/1.0\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
 
-def parse_warc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of a file, gzipped (by record or whole) or plain."""
-    f = gzip.open(io.BytesIO(raw)) if raw[:2] == b"\x1f\x8b" else io.BytesIO(raw)
+def parse_warc(raw: bytes | BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and block of each record of a file, gzipped (by record or whole) or plain; one record is held at a time."""
+    f = io.BufferedReader(io.BytesIO(raw) if isinstance(raw, bytes) else raw)
+    f = gzip.open(f) if f.peek(2)[:2] == b"\x1f\x8b" else f
     while line := f.readline():
         if not line.strip():
             continue
@@ -129,21 +199,79 @@ def parse_warc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield heads, f.read(int(heads.get("Content-Length", 0)))
 
 
-def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """The response records of WARC files, read by Spark's binary reader, one file to a task at a time."""
+_CHARSET = re.compile(rb"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.I)
+
+
+def _unchunked(body: bytes) -> bytes:
+    """The content of a chunked body; what is cut short or malformed ends it."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(body[at:end].split(b";")[0], 16)
+        except ValueError:
+            break
+        if size <= 0:
+            break
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+    return b"".join(out)
+
+
+def payload_of(http: bytes, body: bytes) -> tuple[str, str]:
+    """The text of a response and the digest of its payload.
+
+    Transfer coding (chunked) and content coding (gzip, deflate) are undone where they hold true; the
+    charset is that of the HTTP header, else of the page's first kilobyte, else UTF-8.  Bytes that
+    do not fit it become U+FFFD.  The digest is that of the bytes without the transfer coding.
+    """
+    heads = {k.strip().lower(): v.strip() for k, _, v in (h.partition(b":") for h in http.split(b"\r\n")[1:])}
+    if b"chunked" in heads.get(b"transfer-encoding", b"").lower():
+        body = _unchunked(body) or body
+    own = digest(body)
+    coding = heads.get(b"content-encoding", b"").lower()
+    if coding in (b"gzip", b"x-gzip", b"deflate"):
+        for bits in (47, -15):  # with a gzip or zlib head, or bare
+            try:
+                body = zlib.decompressobj(bits).decompress(body)
+                break
+            except zlib.error:
+                continue
+    found = _CHARSET.search(heads.get(b"content-type", b"")) or _CHARSET.search(body[:1024])
+    try:
+        return body.decode(found[1].decode() if found else "utf-8", "replace"), own
+    except LookupError:
+        return body.decode("utf-8", "replace"), own
+
+
+def read_responses(spark: SparkSession, path: str, *, by_path: bool = False) -> DataFrame:
+    """The response records of WARC files, one file to a task at a time and one record in memory.
+
+    Spark's binary reader brings a file's bytes, compressed as they are (below 2 GB).  With
+    ``by_path`` tasks open the files themselves and stream them, whatever their size; the path must
+    then be one that ``pyarrow.fs`` can open on the executors.
+    """
     names = [x.split()[0] for x in RESPONSE.split(", ")]
 
     def run(batches):
         for batch in batches:
-            for raw in batch.column(0):
-                for heads, block in parse_warc(raw.as_py()):
+            for given in batch.column(0):
+                if by_path:
+                    system, where = pa.fs.FileSystem.from_uri(given.as_py())
+                    raw = system.open_input_file(where)
+                else:
+                    raw = given.as_py()
+                for heads, block in parse_warc(raw):
                     if heads.get("WARC-Type") != "response":
                         continue
                     http, _, body = block.partition(b"\r\n\r\n")
-                    row = [heads.get("WARC-Record-ID", ""), heads.get("WARC-Target-URI", ""), heads.get("WARC-Date", ""), list(heads.items()), http.decode("utf-8", "replace"), body.decode("utf-8", "replace")]
-                    yield pa.RecordBatch.from_arrays([pa.array([v], pa.map_(pa.string(), pa.string()) if n == "headers" else pa.string()) for n, v in zip(names, row, strict=True)], names=names)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RESPONSE)
+                    payload, own = payload_of(http, body)
+                    row = [heads.get("WARC-Record-ID", ""), heads.get("WARC-Target-URI", ""), heads.get("WARC-Date", "")]
+                    row += [list(heads.items()), http.decode("utf-8", "replace"), payload, own]
+                    kinds = [pa.map_(pa.string(), pa.string()) if n == "headers" else pa.string() for n in names]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
+
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path" if by_path else "content").mapInArrow(run, RESPONSE)
 
 
 def with_bytes(derived: DataFrame) -> DataFrame:

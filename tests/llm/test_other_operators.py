@@ -2,7 +2,10 @@
 
 import gzip
 import hashlib
+import json
 import random
+import time
+import zlib
 from html.parser import HTMLParser
 
 import numpy as np
@@ -10,10 +13,13 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, chat, langid, quality, url_filter, warc
+from graphloom.llm import queries as Q
 from graphloom.llm import textkernel as K
 from graphloom.llm.queries import URL_RULES
+from graphloom.llm.shared import below, crc_fold, sampled_texts
 
 # --- urls
 
@@ -57,6 +63,16 @@ def test_a_digest_collision_does_not_decide(tmp_path, monkeypatch):
         url_filter.DigestArray.write(str(tmp_path / "y"), [("a/", "block"), ("a/", "allow")])
 
 
+def test_both_ways_refuse_the_same_rules_and_keep_clashing_columns(spark):
+    pages = spark.createDataFrame([("http://a.net/x", 1, 2, 3, 4)], "url string, _row int, _cand int, c0 int, wanted int")
+    for size in (1 << 20, 1):
+        for bad in ([("a/", "block"), ("A/", "allow")], [("nothing", "block")]):
+            with pytest.raises(ValueError):
+                url_filter.judge_urls(pages, spark.createDataFrame(bad, "rule string, verdict string"), max_index_bytes=size)
+        r = url_filter.judge_urls(pages, spark.createDataFrame([("NET/", "block")], "rule string, verdict string"), max_index_bytes=size).first()
+        assert (r._row, r._cand, r.c0, r.wanted, r.host, r.rule, r.verdict) == (1, 2, 3, 4, "a.net", "net/", "block")
+
+
 # --- WARC
 
 
@@ -68,19 +84,25 @@ class Visible(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.out, self.depth = [], 0
+        self.out, self.depth, self.links, self.title, self.inside = [], 0, [], [], False
 
     def handle_starttag(self, tag, attrs):
         self.depth += tag in self.hidden
+        self.inside |= tag == "title"
+        if tag == "a" and "href" in dict(attrs):
+            self.links.append(dict(attrs)["href"] or "")
         if tag in self.block:
             self.out.append("\n")
 
     def handle_endtag(self, tag):
         self.depth -= tag in self.hidden
+        self.inside &= tag != "title"
         if tag in self.block:
             self.out.append("\n")
 
     def handle_data(self, data):
+        if self.inside:
+            self.title.append(data)
         if not self.depth:
             self.out.append(data.replace("\n", " "))
 
@@ -97,6 +119,68 @@ def test_plain_text_of_all_pages_against_a_parser(spark, small):
         assert " ".join(warc.plain_text(r.html).split()) == " ".join(v.text().split())
 
 
+def test_metadata_of_all_pages_against_a_parser(spark, small):
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    html = {r.page_id: r for r in pages.collect()}
+    out = warc.derivatives(warc.responses_of_pages(pages), ["page_id"]).where("record_type = 'metadata'").collect()
+    assert len(out) == len(html)
+    for r in out:
+        v = Visible()
+        v.feed(html[r.page_id].html or "")
+        v.close()
+        meta = json.loads(r.block)
+        assert meta["links"] == v.links and meta["title"] == " ".join("".join(v.title).split())
+        assert meta["source"]["WARC-Record-ID"] == r.refers_to and meta["source"]["WARC-Target-URI"] == (html[r.page_id].url or "") == r.target_uri
+        assert meta["source"]["WARC-Type"] == "response" and meta["source"]["WARC-Payload-Digest"] == warc.digest((html[r.page_id].html or "").encode()) == r.payload_digest
+        assert meta["http"]["Content-Length"] == str(len((html[r.page_id].html or "").encode())) and meta["status"] == "HTTP/1.1 200 OK"
+
+
+def test_odd_markup_is_scanned_once_and_in_linear_time():
+    cases = {
+        "<p>a<script>x<b>y</SCRIPT >z": ("az", "", []),
+        "1 < 2 <3 <b>x</b": ("1 < 2 <3 x</b", "", []),
+        "<head><title>T</title><body>open head": ("open head", "T", []),
+        "<a href=x>l</a><A HREF='y\">&amp;'>m</A><a name=n>o<a href>p": ("lmop", "", ["x", 'y">&', ""]),
+        "a<!-- <p> -->b<!doctype x>c<?pi?>d<!-- open": ("abcd", "", []),
+        "<a title='>' href=\"q\">r": ("r", "", ["q"]),
+        "İ<title>İ</TITLE>x": ("İx", "İ", []),
+        "": ("", "", []),
+    }
+    for page, want in cases.items():
+        assert warc.read_page(page) == want, page
+    for unit in ("<a ", "<a '", '<a ">', "<a href=", "<", "<!--", "<!", "</", "<script>", "<title><", "<a b", "<a \t", "&lt", "<p'\">"):
+        page = unit * (1_000_000 // len(unit))
+        for tail in ("", ">", "'>", '">'):
+            began = time.process_time()
+            warc.read_page(page + tail)
+            assert time.process_time() - began < 4, (unit, tail)
+
+
+def test_payloads_are_decoded_as_their_headers_say(spark, tmp_path):
+    body = "<p>Grüße, naïve</p>".encode("latin-1")
+    chunk = lambda b: b"".join(b"%x\r\n%s\r\n" % (len(b[i : i + 7]), b[i : i + 7]) for i in range(0, len(b), 7)) + b"0\r\n\r\n"
+    heads = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=ISO-8859-1"
+    blocks = [
+        heads + b"\r\n\r\n" + body,
+        heads + b"\r\nTransfer-Encoding: chunked\r\n\r\n" + chunk(body),
+        heads + b"\r\nContent-Encoding: gzip\r\nTransfer-Encoding: chunked\r\n\r\n" + chunk(gzip.compress(body)),
+        heads + b"\r\nContent-Encoding: deflate\r\n\r\n" + zlib.compress(body),
+        b"HTTP/1.1 200 OK\r\n\r\n<meta charset='latin-1'>" + body,
+        b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=nonsense\r\n\r\n" + "<p>Grüße, naïve</p>".encode(),
+    ]
+    raw = b"".join(warc.to_warc({"WARC-Type": "response", "WARC-Record-ID": f"<{i}>"}, b) for i, b in enumerate(blocks))
+    (tmp_path / "a.warc").write_bytes(raw)
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(warc.to_warc({"WARC-Type": "response"}, b)) for b in blocks))
+    for by_path in (False, True):
+        rows = warc.read_responses(spark, str(tmp_path), by_path=by_path).collect()
+        assert len(rows) == 12 and {warc.plain_text(r.payload) for r in rows} == {"Grüße, naïve"}
+        assert sum(r.digest == warc.digest(body) for r in rows) == 4  # a content coding is part of the payload
+    made = warc.derivatives(warc.read_responses(spark, str(tmp_path))).collect()
+    assert sum(r.payload_digest == warc.digest(body) for r in made) == 8
+    with pytest.raises(ValueError):
+        warc.derivatives(warc.responses_of_pages(spark.createDataFrame([(1, "u", "h")], "page_id long, url string, html string")).withColumn("block", F.lit(1)), ["block"])
+
+
 def test_derivatives_link_back_and_survive_files(spark, tmp_path):
     rows = [(1, "http://a/", "<title>T &amp; x</title><p>Hi<br>there</p><a href='/u'>l</a>"), (2, None, None), (1, "http://a/", "<p>unclosed <script>var x"), (4, "", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
@@ -157,9 +241,68 @@ def test_quality_scores_separate_and_cover_all_rows(spark, docs, rows):
     assert flat.scores(*K.flat(pa.array(["a", None]))).tolist() == [0.5, 0.5]
 
 
+def _folded(spark, small, tmp_path, name, change):
+    """The tables of ``small`` with one of them changed."""
+    for table in ("documents", "labels"):
+        df = spark.read.parquet(f"{small}/{table}.parquet")
+        (change(df) if table == name else df).write.parquet(f"{tmp_path}/{table}.parquet")
+    return str(tmp_path)
+
+
+def test_quality_learns_nothing_from_held_out_labels_nor_from_ids(spark, small, tmp_path):
+    plain = {r.doc_id: r for r in Q.op8_quality_classifier(spark, small).collect()}
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.5) for i, r in plain.items())
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
+    held = [i for i, y in labels.items() if plain[i].held_out and y in (0, 1)]
+    assert sum(plain[i].predicted == labels[i] for i in held) / len(held) > 0.8
+    turned = lambda df: df.withColumn("quality", F.when(crc_fold("doc_id", 3) == 1, 1 - F.col("quality")).otherwise(F.col("quality")))
+    other = {r.doc_id: r.score for r in Q.op8_quality_classifier(spark, _folded(spark, small, tmp_path, "labels", turned)).collect()}
+    assert other == {i: r.score for i, r in plain.items()}
+
+
+def test_scores_are_the_mean_of_what_was_learned(spark):
+    model = quality.train(["good words here", "bad##words!!", "more good text", "b## b##"], np.array([1, 0, 1, 0]), epochs=2)
+    texts = ["good bad", "", None, "x " * 5000, "é ##"]
+    out = quality.scored(spark.createDataFrame([(i, t, 9.0) for i, t in enumerate(texts)], "id int, text string, score double"), model).collect()
+    for r in out:
+        ids, _ = quality.hashed(*K.flat(pa.array([texts[r.id]], pa.string())))
+        mean = float(np.mean([float(model.table[k]) for k in ids])) if len(ids) else 0.0
+        assert abs(r.score - 1 / (1 + np.exp(-mean - model.prior))) < 1e-6
+    assert len(out) == 5
+
+
+def test_samples_never_run_empty_and_are_bounded_in_bytes(spark):
+    for n in (10**5, 10**9, 10**11, 10**15):
+        share = 1600 / n
+        assert abs((below(share) + 2**63) / 2**64 / share - 1) < 1e-2
+    assert below(1.0) == 2**63 - 1
+    rows = spark.createDataFrame([(i, i % 2, "x" * (10**6 if i == 3 else 1000)) for i in range(40)] * 3 + [(50, 1, None)], "k long, l int, text string")
+    got = sampled_texts(rows, "k", "l", max_bytes=20_000)
+    assert len(got) == 21 and set(got["text"].str.len().dropna()) == {1000.0} or set(got["text"].dropna().map(len)) == {1000}
+    assert len(sampled_texts(rows, "k", "l")) == 41
+
+
 # --- language
 
 
+def test_language_learns_nothing_from_held_out_rows(spark, small, tmp_path):
+    plain = {r.doc_id: r for r in Q.op10_language_id(spark, small).collect()}
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in plain.items())
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    held = [i for i, y in lang.items() if y and plain[i].held_out and plain[i].lang_pred != "und"]
+    assert sum(plain[i].lang_pred == lang[i] for i in held) / len(held) > 0.9
+    turned = lambda df: df.withColumn("lang", F.when(crc_fold("doc_id", 5) == 0, F.lit("zz")).otherwise(F.col("lang")))
+    other = {r.doc_id: (r.lang_pred, r.score) for r in Q.op10_language_id(spark, _folded(spark, small, tmp_path, "documents", turned)).collect()}
+    assert other == {i: (r.lang_pred, r.score) for i, r in plain.items()}
+
+
+def test_a_rare_language_is_learned(spark):
+    common = [(i, "the house of the river and the stone " * 3, "en") for i in range(3000)]
+    rare = [(10_000 + i, "das ist der fluss und ein stein nicht " * 3, "de") for i in range(8)]
+    tagger = langid.train_on(spark.createDataFrame(common + rare + [(None, "x", "fr"), (1, None, "it"), (2, "y", None)], "doc_id long, text string, lang string"), sample_rows=100)
+    assert tagger.labels == ["de", "en"]
+
+
 def brute_chain(em, first, moves):
     k = em.shape[1]
     out = np.zeros(em.shape)

@@ -357,6 +357,21 @@ def test_cut_takes_only_long_spans(spark):
     assert out == {1: "Alpha start, end", 2: "alpha only", 3: None}
 
 
+def test_the_benchmark_index_is_small_and_one_at_a_time(spark):
+    body = " ".join(f"word{i * 7919 % 10007}" for i in range(60_000))
+    index = winnowing.BenchmarkIndex([("a", body), ("b", body[:2000])])
+    assert index.nbytes() < 10 * len(body)
+    assert index.windows[8].items(index.text, " ".join(body.split()[:8]).encode()).tolist() == [0, 1]
+    assert index.windows[8].items(index.text, b"no such window") is None
+
+
+def test_cut_of_short_items_if_asked_for(spark):
+    bench = spark.createDataFrame([(1, "alpha beta gamma"), (2, "the")], "item_id long, text string")
+    d = spark.createDataFrame([(1, "so Alpha, beta gamma! end of the day", 5)], "doc_id long, text string, n_hit int")
+    r = winnowing.find_leaks(d, bench, cut=True, shortest_cut=3).first()
+    assert r.text == "so end of the day" and r.n_hit == 4 and r.item_ids == ["1", "2"]
+
+
 @given(st.lists(st.sampled_from("abcd"), min_size=8, max_size=40), st.lists(st.sampled_from("abcd"), max_size=10), st.lists(st.sampled_from("abcd"), max_size=10))
 @settings(max_examples=80, deadline=None)
 def test_every_shared_window_keeps_a_common_gram(shared, before, after):
