@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from graphloom.llm import bpe, decision_list, simhash, substring, winnowing
 from graphloom.llm.shared import bound_batches, new_path, read_table
 
+#: Words of the shortest hit that is cut out of a document.
+SHORTEST_LEAK = 3
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -33,16 +35,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that occur earlier are cut out; documents of which nothing is left go."""
+    """Passages that occur earlier are cut out; documents of which nothing is left go.
+
+    All else of a text stays as it is, line breaks and spacing too; texts without a repeat, and
+    null texts, are not touched.
+    """
     bound_batches(spark)
-    out = substring.remove_repeats(docs, keep=["lang", "source"])
-    return out.where("n_removed < n_words or n_words = 0").select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
+    out = substring.remove_repeats(docs, keep=["lang", "source", "n_chars"])
+    count = F.when(F.col("n_removed") > 0, F.length("cut_text").cast("long")).otherwise(F.col("n_chars"))
+    return out.where("n_removed < n_words or n_words = 0").select("doc_id", F.col("cut_text").alias("text"), "lang", "source", count.alias("n_chars"))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold passages of two or more benchmark items go; of others with a hit the hit words are cut out."""
-    found = winnowing.find_leaks(docs, read_table(spark, sf_dir, "benchmark"), cut=True)
-    count = F.when(F.size("hit_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    """Documents that hold passages of two or more benchmark items go; of others with a hit the hit words are cut out.
+
+    Hits of one or two words, from items as short as that, stay: ordinary text holds them by chance.
+    """
+    found = winnowing.find_leaks(docs, read_table(spark, sf_dir, "benchmark"), cut=True, shortest_cut=SHORTEST_LEAK)
+    long = F.exists("hit_spans", lambda s: s.end - s.begin >= SHORTEST_LEAK)
+    count = F.when(long, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return found.where(F.size("item_ids") < 2).withColumn("n_chars", count).select(COLUMNS)
 
 
