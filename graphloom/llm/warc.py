@@ -39,9 +39,9 @@ DERIVED = "record_type string, record_id string, refers_to string, target_uri st
 _BLOCK = frozenset("address article aside blockquote br dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
 #: Elements whose content is no text of the page; one that is never closed ends with the page.
 _HIDDEN = frozenset("script style noscript template title".split())
-_LOWER = {i: i + 32 for i in range(65, 91)}  # keeps lengths, unlike str.lower
-_NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9]*)")
-_TAG_END = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+_CLOSE = {name: re.compile(f"</{name}", re.I | re.A) for name in _HIDDEN}
+#: A comment's begin, a tag (quotes may hide a ``>``), or any other ``<!``, ``<?``, ``</``.
+_MARKUP = re.compile(r"<!--|<(/?)([a-zA-Z][a-zA-Z0-9]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+>)|<[!?/][^>]*+>")
 _ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _BLANK = re.compile(r"[^\S\n]+")
 
@@ -50,64 +50,42 @@ def digest(raw: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(raw).digest()).decode()
 
 
-def scan(page: str) -> Iterator[tuple[str, str, str]]:
-    """``(kind, name, content)`` from left to right, in time linear in the page.
-
-    Kinds: ``text``; ``open`` and ``close`` with the tag's name in lower case and its attributes;
-    ``hidden`` with the name and content of an element that is not shown.  A ``<`` that begins
-    no tag, or whose tag never ends, is text.
-    """
-    low, at, n = page.translate(_LOWER), 0, len(page)
-    while at < n:
-        begin = page.find("<", at)
-        while 0 <= begin < n - 1 and not (page[begin + 1] in "!?" or _NAME.match(page, begin + 1)):
-            begin = page.find("<", begin + 1)
-        if begin < 0 or begin >= n - 1 or page.find(">", begin) < 0 and not page.startswith("<!--", begin):
-            break
-        if begin > at:
-            yield "text", "", page[at:begin]
-        if page.startswith("<!--", begin):
-            end = page.find("-->", begin + 4)
-            at = n if end < 0 else end + 3
-            continue
-        name = _NAME.match(page, begin + 1)
-        if not name:
-            at = page.find(">", begin) + 1
-            continue
-        found = _TAG_END.match(page, name.end())
-        at = found.end() if found else page.find(">", begin) + 1
-        tag = low[name.start(1) : name.end()]
-        if page[begin + 1] == "/":
-            yield "close", tag, ""
-            continue
-        yield "open", tag, page[name.end() : at - 1]
-        if tag in _HIDDEN:
-            end = low.find(f"</{tag}", at)
-            yield "hidden", tag, page[at : n if end < 0 else end]
-            at = n if end < 0 else end
-    if at < n:
-        yield "text", "", page[at:]
-
-
 def read_page(page: str) -> tuple[str, str, list[str]]:
     """The visible text, the title and the link targets.
 
-    Of the text block elements end a line, runs of blanks are one, empty lines go.
+    Of the text block elements end a line, runs of blanks are one, empty lines go.  Nothing after
+    the last ``>`` can be a tag, so every search ends with a tag found and the scan is linear.
     """
+    page = page.replace("\n", " ")
     out, title, links = [], None, []
-    for kind, name, content in scan(page.replace("\n", " ")):
-        if kind == "text":
-            out.append(content)
-        elif kind == "hidden":
-            if name == "title" and title is None:
-                title = " ".join(entities.unescape(content).split())
-        elif name in _BLOCK:
+    at, last = 0, page.rfind(">") + 1
+    while found := _MARKUP.search(page, at, last):
+        if found.start() > at:
+            out.append(page[at : found.start()])
+        at = found.end()
+        if (name := found[2]) is None:
+            if found[0] == "<!--":
+                end = page.find("-->", at)
+                at = len(page) if end < 0 else end + 3
+            continue
+        name = name.lower()
+        if name in _BLOCK:
             out.append("\n")
-        if kind == "open" and name == "a":
-            for m in _ATTRIBUTE.finditer(content):
-                if m[1].translate(_LOWER) == "href":
+        elif found[1]:
+            continue
+        elif name == "a":
+            for m in _ATTRIBUTE.finditer(found[3][:-1]):
+                if m[1].lower() == "href":
                     links.append(entities.unescape(m[2] or m[3] or m[4] or ""))
                     break
+        elif name in _HIDDEN:
+            end = _CLOSE[name].search(page, at)
+            end = end.start() if end else len(page)
+            if name == "title" and title is None:
+                title = " ".join(entities.unescape(page[at:end]).split())
+            at = end
+    rest = page[at:]
+    out.append(rest[: rest.find("<!--")] if "<!--" in rest else rest)
     rows = (_BLANK.sub(" ", row).strip() for row in entities.unescape("".join(out)).replace("\r", " ").split("\n"))
     return "\n".join(row for row in rows if row), title or "", links
 
