@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ArgumentError, NotSupported
-from ..storage import staged
+from ..storage import staged, unstage
 
 #: Largest graph (vertices plus edges) that is held in one process.
 MAX_LOCAL = 20_000_000
@@ -55,7 +55,7 @@ def page_rank(vertices: DataFrame, edges: DataFrame, *, damping: float = 0.85, t
         return Result(V.select("id", F.lit(0.0).alias("value")))
     now = V.withColumn("value", F.lit(1.0 / n))
     dangling = V.where(~F.col("flows")).count() / n
-    k, settled = 0, False
+    k, settled, last = 0, False, None
     while k < max_iterations and not settled:
         k += 1
         pulled = E.join(now.select(F.col("id").alias("src"), "value"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("value") / F.col("deg")).alias("in"))
@@ -64,21 +64,20 @@ def page_rank(vertices: DataFrame, edges: DataFrame, *, damping: float = 0.85, t
         new = staged(new, f"rank-{k}")
         change, lost = new.agg(F.sum(F.abs(F.col("value") - F.col("old"))), F.sum(F.when(~F.col("flows"), F.col("value")))).first()
         dangling, settled = lost or 0.0, change <= tolerance
-        now = new.drop("old")
+        unstage(last)
+        last, now = new, new.drop("old")
     return Result(now.select("id", "value"), k, settled)
 
 
-def _spread_min(V: DataFrame, E: DataFrame, label: str = "id", within: list[str] | None = None) -> DataFrame:
-    """The least label of all vertices that reach each vertex (along ``E``), to the fixpoint."""
-    keep = within or []
-    now = V.select("id", *keep, F.col(label).alias("value"))
-    k = 0
+def _spread_min(V: DataFrame, E: DataFrame) -> DataFrame:
+    """``(id, value)``: the least label of all vertices ``(id, label)`` that reach each along ``E``, to the fixpoint."""
+    now, last = V.select("id", F.col("label").alias("value")), None
     while True:
-        k += 1
         low = E.join(now.select(F.col("id").alias("src"), "value"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("value").alias("low"))
-        new = now.join(low, "id", "left").select("id", *keep, F.least("value", F.coalesce("low", "value")).alias("value"), F.col("value").alias("old"))
-        new = staged(new, f"spread-{k}")
-        now = new.drop("old")
+        new = now.join(low, "id", "left").select("id", F.least("value", F.coalesce("low", "value")).alias("value"), F.col("value").alias("old"))
+        new = staged(new, "spread")
+        unstage(last)
+        last, now = new, new.drop("old")
         if new.where("value <> old").limit(1).count() == 0:
             return now
 
@@ -86,7 +85,7 @@ def _spread_min(V: DataFrame, E: DataFrame, label: str = "id", within: list[str]
 def wcc(vertices: DataFrame, edges: DataFrame, **_) -> Result:
     """Least id of each weakly connected component, by label minima and pointer jumping."""
     E = staged(both_ways(edges), "edges")
-    now = vertices.select("id", F.col("id").alias("value"))
+    now, last = vertices.select("id", F.col("id").alias("value")), None
     k = 0
     while True:
         k += 1
@@ -95,40 +94,52 @@ def wcc(vertices: DataFrame, edges: DataFrame, **_) -> Result:
         met = staged(met, f"met-{k}")
         jump = met.select(F.col("id").alias("value"), F.col("value").alias("far"))
         new = staged(met.join(jump, "value", "left").select("id", F.least("value", F.coalesce("far", "value")).alias("value"), "old"), f"jump-{k}")
-        now = new.drop("old")
+        unstage(met, last)
+        last, now = new, new.drop("old")
         if new.where("value <> old").limit(1).count() == 0:
             break
+    unstage(E)
     return Result(now, k, True, {"componentCount": now.select("value").distinct().count()})
 
 
 def scc(vertices: DataFrame, edges: DataFrame, **_) -> Result:
-    """Least id of each strongly connected component.
+    """Least id of each strongly connected component, forward and backward at once.
 
-    Each round colours vertices with the least id that reaches them; the vertices of a
-    colour that reach its root back are one component and leave the graph.
+    Vertices without an edge in or out are components of their own and leave first.  Then each
+    vertex learns the least label that reaches it and the least that it reaches: where both
+    are one vertex, it is in that vertex's component and leaves.  A component never crosses
+    a border between different pairs of labels, so edges that do are dropped, which takes a
+    path apart in one round.  Rounds take the least and the greatest ids in turn.
     """
     left = staged(vertices.select("id"), "left")
     E = staged(edges.where("src <> dst").select("src", "dst").distinct(), "edges")
     done, k = [], 0
     while left.limit(1).count():
         k += 1
-        colour = _spread_min(left, E)
-        same = E.join(colour.select(F.col("id").alias("src"), F.col("value").alias("cs")), "src").join(colour.select(F.col("id").alias("dst"), F.col("value").alias("cd")), "dst").where("cs = cd")
-        back = staged(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")), f"back-{k}")
-        front = staged(colour.where("id = value").select("id", "value"), f"root-{k}")
-        found = front
-        while front.limit(1).count():
-            front = front.join(back, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), "value").distinct().join(found.select("id"), "id", "left_anti")
-            front = staged(front, f"front-{k}")
-            found = found.union(front)
-        found = staged(found, f"scc-{k}")
-        done.append(found)
-        left = staged(left.join(found.select("id"), "id", "left_anti"), f"left-{k}")
-        E = staged(E.join(left.select(F.col("id").alias("src")), "src", "left_semi").join(left.select(F.col("id").alias("dst")), "dst", "left_semi"), f"edges-{k}")
-    out = vertices.select("id", F.col("id").alias("value")).limit(0)
+        core = staged(E.select(F.col("src").alias("id")).distinct().join(E.select(F.col("dst").alias("id")).distinct(), "id", "left_semi"), "core")
+        done.append(staged(left.join(core, "id", "left_anti").select("id", F.col("id").alias("root")), f"single-{k}"))
+        inner = E.join(core.select(F.col("id").alias("src")), "src", "left_semi").join(core.select(F.col("id").alias("dst")), "dst", "left_semi")
+        inner = staged(inner.select("src", "dst"), "inner")
+        sign = 1 if k % 2 else -1
+        labelled = core.select("id", (F.col("id") * sign).alias("label"))
+        ahead = _spread_min(labelled, inner)
+        back = _spread_min(labelled, inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        both = staged(ahead.join(back.select("id", F.col("value").alias("other")), "id"), "both")
+        done.append(staged(both.where("value = other").select("id", (F.col("value") * sign).alias("root")), f"scc-{k}"))
+        rest = both.where("value <> other")
+        mark = lambda end: rest.select(F.col("id").alias(end), F.struct("value", "other").alias(f"of_{end}"))  # noqa: B023, E731
+        kept = inner.join(mark("src"), "src").join(mark("dst"), "dst").where("of_src = of_dst").select("src", "dst")
+        new_left, new_edges = staged(rest.select("id"), f"left-{k}"), staged(kept, f"edges-{k}")
+        unstage(left, E, core, inner, both)
+        left, E = new_left, new_edges
+    out = vertices.select("id", F.col("id").alias("root")).limit(0)
     for d in done:
-        out = out.union(d.select("id", "value"))
-    return Result(out, k, True, {"componentCount": out.select("value").distinct().count()})
+        out = out.union(d)
+    out = staged(out, "roots")
+    unstage(*done)
+    least = out.groupBy("root").agg(F.min("id").alias("value"))
+    values = out.join(least, "root").select("id", "value")
+    return Result(values, k, True, {"componentCount": out.select("root").distinct().count()})
 
 
 def bfs(vertices: DataFrame, edges: DataFrame, *, source: int, graphalytics: bool = False, **_) -> Result:
@@ -155,12 +166,14 @@ def sssp(vertices: DataFrame, edges: DataFrame, *, source: int, graphalytics: bo
         raise ArgumentError("a negative weight")
     known = vertices.select("id", F.when(F.col("id") == source, F.lit(0.0)).alias("value"))
     front = known.where("value is not null")
-    k = 0
+    k, last = 0, None
     while True:
         k += 1
         offers = E.join(front.select(F.col("id").alias("src"), "value"), "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("value") + F.col("weight")).alias("new"))
         better = F.col("new").isNotNull() & (F.col("value").isNull() | (F.col("new") < F.col("value")))
         step = staged(known.join(offers, "id", "left").select("id", F.when(better, F.col("new")).otherwise(F.col("value")).alias("value"), F.coalesce(better, F.lit(False)).alias("moved")), f"relax-{k}")
+        unstage(last)
+        last = step
         known, front = step.select("id", "value"), step.where("moved").select("id", "value")
         if front.limit(1).count() == 0:
             break
@@ -199,7 +212,7 @@ def label_propagation(vertices: DataFrame, edges: DataFrame, *, max_iterations:
         E = both_ways(edges)
     E = staged(E, "edges")
     now = staged(vertices.select("id", F.col("id").alias("value"), F.lit(None).cast("bigint").alias("before")), "labels-0")
-    k, settled, swung = 0, False, False
+    k, settled, swung, last = 0, False, False, now
     while k < max_iterations and not settled and not swung:
         k += 1
         votes = E.join(now.select(F.col("id").alias("dst"), "value"), "dst").groupBy("src", "value").agg(F.count(F.lit(1)).alias("n"))
@@ -208,7 +221,8 @@ def label_propagation(vertices: DataFrame, edges: DataFrame, *, max_iterations:
         new = staged(new, f"labels-{k}")
         changed, again = new.agg(F.sum((F.col("value") != F.col("before")).cast("int")), F.sum((F.col("older").isNull() | (F.col("value") != F.col("older"))).cast("int"))).first()
         settled, swung = not changed, k >= 2 and not again and bool(changed) and not graphalytics
-        now = new.drop("older")
+        unstage(last)
+        last, now = new, new.drop("older")
     out = now.select("id", "value")
     return Result(out, k, settled, {"communityCount": out.select("value").distinct().count(), "oscillated": swung})
 

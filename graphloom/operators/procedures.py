@@ -7,6 +7,7 @@ refused with the nearest one that does.
 from __future__ import annotations
 
 import difflib
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,14 +24,26 @@ KEYS = ("nodeLabels", "relationshipTypes", "orientation", "relationshipWeightPro
 MAX_ITERATIONS = 100
 
 
+#: Different arguments that one call in a query may have; each runs the procedure once.
+MAX_CALLS = 1000
+
+
 def call(rows, c: A.CallProcedure) -> None:
-    """Add the rows of a procedure to the rows in flight."""
-    from ..plans.compiler import Names
+    """Add the rows of a procedure to the rows in flight.
+
+    Constant arguments run it once.  Else it runs once for each different value of what the
+    arguments read from the rows, and every row meets the result of its own value.
+    """
+    from ..plans.compiler import Names, free
 
     name = c.name.lower()
-    args = [_plain(rows, a) for a in c.args]
-    df, node_column = run(rows, name, args)
-    fields = {f.name: f.dataType for f in df.schema.fields}
+    read = list(dict.fromkeys(x for a in c.args for x in _computed(a) if free(x) & set(rows.scope)))
+    if read:
+        df, node_column, turn = _per_value(rows, name, c.args, read)
+    else:
+        df, node_column = run(rows, name, [_plain(rows, a, {}) for a in c.args])
+        turn = None
+    fields = {f.name: f.dataType for f in df.schema.fields if f.name != turn}
     yields = c.yields if c.yields is not None else tuple((n, n) for n in ([*fields, "node"] if node_column and "node" not in fields else fields))
     known = [*fields, *(["node"] if node_column else [])]
     cols, scope = [], {}
@@ -46,15 +59,63 @@ def call(rows, c: A.CallProcedure) -> None:
         else:
             cols.append(F.col(f"`{field}`").alias(col))
             scope[alias] = ValueVar(col, from_spark(fields[field]))
-    out = df.select(*cols) if cols else df
-    rows.df = out if rows.df is None else rows.df.crossJoin(out)
+    if turn:
+        rows.df = rows.frame().join(df.select(turn, *cols), turn).drop(turn)
+    else:
+        out = df.select(*cols) if cols else df
+        rows.df = out if rows.df is None else rows.df.crossJoin(out)
     rows.scope |= scope
     if c.where is not None:
         rows.filter(c.where)
 
 
-def _plain(rows, e):
-    """Arguments are constants: literals, parameters, lists and maps of them."""
+def _computed(e):
+    """The parts of an argument that are neither constants nor lists and maps."""
+    if isinstance(e, (A.Lit, A.Param)):
+        return
+    if isinstance(e, A.ListLit):
+        for x in e.items:
+            yield from _computed(x)
+    elif isinstance(e, A.MapLit):
+        for _, v in e.items:
+            yield from _computed(v)
+    else:
+        yield e
+
+
+def _per_value(rows, name: str, args: tuple, read: list) -> tuple[DataFrame, str | None, str]:
+    """The results for all different values of ``read``; the rows get a column that names their result."""
+    from ..plans.compiler import Names
+    from ..storage import staged
+
+    typed = [rows.expr(x) for x in read]
+    cols = [Names.new("arg") for _ in read]
+    turn = Names.new("turn")
+    values = [(x.col if x.t.kind != "null" else F.lit(None).cast("string")).alias(c) for x, c in zip(typed, cols, strict=True)]
+    frame = rows.frame().select("*", *values)
+    different = staged(frame.select(*cols).distinct().limit(MAX_CALLS + 1).withColumn(turn, F.monotonically_increasing_id()), "arguments")
+    found = different.collect()  # at most MAX_CALLS + 1 rows
+    if len(found) > MAX_CALLS:
+        raise ArgumentError(f"{name} is called with more than {MAX_CALLS} different arguments")
+    parts, node = [], None
+    for r in found:
+        given = {x: r[c] for x, c in zip(read, cols, strict=True)}
+        df, node = run(rows, name, [_plain(rows, a, given) for a in args])
+        parts.append(df.withColumn(turn, F.lit(r[turn])))
+    if not found:  # no row asks: only the columns matter
+        sample = {"int": 0, "float": 0.0, "list": [1.0], "bool": False}
+        df, node = run(rows, name, [_plain(rows, a, {x: sample.get(t.t.kind, "") for x, t in zip(read, typed, strict=True)}) for a in args])
+        parts.append(df.withColumn(turn, F.lit(0).cast("bigint")).limit(0))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in cols])
+    named = different.select(*[F.col(c).alias(f"{c}_") for c in cols], turn)
+    rows.df = frame.join(F.broadcast(named), same).drop(*cols, *[f"{c}_" for c in cols])
+    return reduce(DataFrame.union, parts), node, turn
+
+
+def _plain(rows, e, given: dict):
+    """The value of an argument: literals, parameters, lists and maps of them, and what was read from the rows."""
+    if e in given:
+        return given[e]
     if isinstance(e, A.Lit):
         return e.value
     if isinstance(e, A.Param):
@@ -62,11 +123,9 @@ def _plain(rows, e):
             raise ArgumentError(f"the parameter ${e.name} is not given")
         return rows.params[e.name]
     if isinstance(e, A.ListLit):
-        return [_plain(rows, x) for x in e.items]
+        return [_plain(rows, x, given) for x in e.items]
     if isinstance(e, A.MapLit):
-        return {k: _plain(rows, v) for k, v in e.items}
-    if isinstance(e, A.Var) and isinstance(rows.scope.get(e.name), ValueVar):
-        return rows.frame().select(rows.scope[e.name].col).first()[0]
+        return {k: _plain(rows, v, given) for k, v in e.items}
     x = rows.expr(e)
     return rows.graph.spark.range(1).select(x.col.alias("v")).first()[0]
 

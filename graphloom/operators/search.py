@@ -12,11 +12,10 @@ ties by id.  Rows of another length, with nulls or of zero length are skipped.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ArgumentError
@@ -30,8 +29,9 @@ def tokens(text: Column) -> Column:
     return F.transform(F.filter(F.split(text, _CUT, -1), lambda t: t != ""), lambda t: F.lower(t))
 
 
-def query_tokens(text: str) -> list[str]:
-    return [t.lower() for t in re.split(r"[^\w]|_", text) if t]
+def query_tokens(spark: SparkSession, text: str) -> list[str]:
+    """The tokens of a query, cut by the very expression that cuts the texts."""
+    return spark.range(1).select(tokens(F.lit(text)).alias("t")).first()["t"]
 
 
 def _is(word: str):
@@ -40,8 +40,8 @@ def _is(word: str):
 
 def full_text(rows: DataFrame, key: str, fields: list[str], query: str, scorer: str = "bm25") -> DataFrame:
     """``(key, score)`` of the rows that hold a token of the query."""
-    wanted = Counter(query_tokens(query))
     spark = rows.sparkSession
+    wanted = Counter(query_tokens(spark, query))
     if not wanted:
         return spark.createDataFrame([], "id bigint, score double").withColumnRenamed("id", key)
     scores = []
@@ -83,16 +83,3 @@ def nearest(rows: DataFrame, key: str, field: str, k: int, vector: list[float])
     rows = rows.where(fits).select(key, fold(F.zip_with(v, q, lambda x, y: x * y)).alias("dot"), F.sqrt(fold(F.transform(v, lambda x: x * x))).alias("len"))
     scored = rows.where("len > 0").select(key, (F.col("dot") / (F.col("len") * F.lit(norm))).alias("score"))
     return scored.orderBy(F.col("score").desc(), F.col(key)).limit(k)
-
-
-def nearest_lsh(rows: DataFrame, key: str, field: str, k: int, vector: list[float], *, tables: int = 12, bits: int = 6, seed: int = 7) -> DataFrame:
-    """Approximate: only rows that share a random-hyperplane cell with the query are scored exactly."""
-    import numpy as np
-
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, len(vector)))
-    q = np.asarray(vector, float)
-    v = F.transform(F.col(field), lambda x: x.cast("double"))
-    side = lambda p: F.aggregate(F.zip_with(v, F.array(*[F.lit(float(x)) for x in p]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) > 0
-    same = [reduce(lambda a, b: a & b, [side(p) == F.lit(bool(p @ q > 0)) for p in t]) for t in planes]
-    near = rows.where(F.size(field) == len(vector)).where(reduce(lambda a, b: a | b, same))
-    return nearest(near, key, field, k, vector)

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..errors import ExecutionFailed
 from ..graph import Graph
 from ..session import GraphSession
+from ..sources import files
 from ..sources.tables import graph_of
+from ..storage import shared_dir
+from .texts import KNOWS
 
 CALLS: dict = {}
 CALLS_SQL: dict[str, str] = {}
@@ -114,12 +121,13 @@ def foreach_create(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.cypher("MATCH (c:Copy) RETURN c.i AS i, count(*) AS n")
 
 
-@add("show_indexes", None)
+@add("show_indexes", "SELECT 'names' AS name, 'RANGE' AS type, 'NODE' AS entityType, 'Nation' AS labels, 'name' AS keys")
 def show_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _places(spark, sf_dir)
     s.cypher("CREATE INDEX names FOR (n:Nation) ON (n.name)")
     s.cypher("CREATE CONSTRAINT keys FOR (n:Nation) REQUIRE n.key IS UNIQUE")
-    return s.cypher("SHOW INDEXES")
+    found = s.cypher("SHOW INDEXES")
+    return found.select("name", "type", "entityType", F.array_join("labelsOrTypes", ",").alias("labels"), F.array_join("properties", ",").alias("keys"))
 
 
 @add("algo_mutate_and_write", "SELECT n_regionkey AS r, count(*) AS n FROM nation GROUP BY 1")
@@ -137,3 +145,80 @@ def algo_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = [{"source": a, "target": b, "weight": 1.0}, {"source": b, "target": c, "weight": 1.5}, {"source": a, "target": c, "weight": 9.0}, {"source": a, "target": 10**18, "weight": 1.0}]
     s.cypher("CALL graph.algo.project($cfg)", cfg={"name": "own", "nodeLabels": ["Region"], "edges": edges}).collect()
     return s.cypher("CALL graph.algo.sssp.stream({projection: 'own', sourceNode: 0}) YIELD distance WHERE distance IS NOT NULL RETURN count(*) AS n, max(distance) AS s")
+
+
+@add("show_constraints", "SELECT 'keys' AS name, 'UNIQUE' AS type, 'NODE' AS entityType, 'Nation' AS labels, 'key' AS keys")
+def show_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _places(spark, sf_dir)
+    s.cypher("CREATE CONSTRAINT keys FOR (n:Nation) REQUIRE n.key IS UNIQUE")
+    s.cypher("CREATE CONSTRAINT gone FOR (r:Region) REQUIRE r.name IS NOT NULL")
+    s.cypher("DROP CONSTRAINT gone")
+    found = s.cypher("SHOW CONSTRAINTS")
+    return found.select("name", "type", "entityType", F.array_join("labelsOrTypes", ",").alias("labels"), F.array_join("properties", ",").alias("keys"))
+
+
+@add("constraint_refuses", "SELECT 2 AS refused, count(*) AS n, count(DISTINCT n_nationkey) AS k FROM nation")
+def constraint_refuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What breaks a constraint is refused whole; the graph stays as it was."""
+    s = _places(spark, sf_dir)
+    s.cypher("CREATE CONSTRAINT keys FOR (n:Nation) REQUIRE n.key IS UNIQUE")
+    s.cypher("CREATE CONSTRAINT named FOR (n:Nation) REQUIRE n.name IS NOT NULL")
+    refused = 0
+    for text in ("CREATE (:Nation {key: 3, name: 'again'})", "CREATE (:Nation {key: 1000})"):
+        try:
+            s.cypher(text)
+        except ExecutionFailed:
+            refused += 1
+    return s.cypher("MATCH (n:Nation) RETURN $refused AS refused, count(*) AS n, count(DISTINCT n.key) AS k", refused=refused)
+
+
+@add("vector_knn_per_row", "WITH q AS (SELECT vec_id AS q, embedding AS e FROM embeddings WHERE vec_id IN (3, 8)) SELECT q, vec_id AS k, round(list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) * 100000) AS s FROM embeddings, q QUALIFY row_number() OVER (PARTITION BY q ORDER BY list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) DESC, vec_id) <= 5")
+def vector_knn_per_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _session(spark, sf_dir)
+    s.cypher("CREATE VECTOR INDEX vectors FOR (v:Vector) ON (v.embedding)")
+    return s.cypher("MATCH (v:Vector) WHERE v.key IN [3, 8] CALL db.index.vector.queryNodes('vectors', 5, v.embedding) YIELD node, score RETURN v.key AS q, node.key AS k, round(score * 100000) AS s")
+
+
+@add("truncated_walks", f"WITH {KNOWS}, top AS (SELECT a, max(b) AS b FROM k1 GROUP BY a) SELECT a, count(*) AS n, sum(b)::BIGINT AS s FROM (SELECT a, b FROM top UNION ALL SELECT x.a, y.b FROM top x JOIN top y ON x.b = y.a) GROUP BY a")
+def truncated_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At each step only the relationship of largest weight is followed."""
+    g = graph_of(spark, sf_dir)
+    own = Graph(spark)
+    own.nodes = {k: df for k, df in g.nodes.items() if "Customer" in k}
+    own.rels = {k: df.withColumn("w", F.col("dst")) for k, df in g.rels.items() if k[0] == "KNOWS"}
+    s = GraphSession(spark, own, expand_truncation=(1, "w"))
+    return s.cypher("MATCH (a:Customer)-[:KNOWS*1..2]->(b) RETURN a.key AS a, count(*) AS n, sum(b.key) AS s")
+
+
+@add("algo_results", "SELECT 'parts' AS key, (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS n, (SELECT count(*) FROM region) AS c, true AS dropped")
+def algo_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _places(spark, sf_dir)
+    s.cypher("CALL graph.algo.wcc.mutate({mutateKey: 'parts'})").collect()
+    c = s.cypher("CALL graph.algo.result.stream('parts') YIELD value RETURN count(DISTINCT value) AS c").first()["c"]
+    listed = s.cypher("CALL graph.algo.result.list()").collect()
+    gone = s.cypher("CALL graph.algo.result.drop('parts')").first()["dropped"]
+    rows = [(r["mutateKey"], r["nodeCount"], c, gone) for r in listed]
+    return spark.createDataFrame(rows, "key string, n bigint, c bigint, dropped boolean")
+
+
+@add("jsonl_round_trip", "SELECT n_name AS n, r_name AS r, n_nationkey AS k FROM nation JOIN region ON n_regionkey = r_regionkey")
+def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations and regions written as JSON lines and read again."""
+    folder = f"{shared_dir(spark)}/graphloom-graph/{uuid.uuid4().hex}"
+    files.write_jsonl(_places(spark, sf_dir).graph, folder)
+    s = GraphSession(spark, files.read_jsonl(spark, folder))
+    return s.cypher("MATCH (n:Nation)-[:IN_REGION]->(r:Region) RETURN n.name AS n, r.name AS r, n.key AS k")
+
+
+@add("adjacency_components", "SELECT c_custkey AS k, min(c_custkey) OVER (PARTITION BY c_nationkey) AS c FROM customer")
+def adjacency_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The KNOWS relationships written as vertex and edge lines and read again."""
+    folder = f"{shared_dir(spark)}/graphloom-graph/{uuid.uuid4().hex}"
+    g = graph_of(spark, sf_dir)
+    key = lambda c: (F.col(c) % (1 << 48)).cast("string")
+    people = next(df for k, df in g.nodes.items() if "Customer" in k)
+    knows = next(df for k, df in g.rels.items() if k[0] == "KNOWS")
+    people.select(key("id").alias("value")).write.text(f"{folder}/v")
+    knows.select(F.concat_ws(" ", key("src"), key("dst")).alias("value")).write.text(f"{folder}/e")
+    s = GraphSession(spark, files.read_adjacency(spark, f"{folder}/v", f"{folder}/e", directed=False))
+    return s.cypher("CALL graph.algo.wcc.stream({}) YIELD node, componentId RETURN node.vid AS k, componentId AS c")

@@ -147,3 +147,59 @@ add("algo_closeness", "CALL graph.algo.closeness.stream({nodeLabels: ['Nation',
 add("algo_betweenness", "CALL graph.algo.betweenness.stream({nodeLabels: ['Nation', 'Region'], relationshipTypes: ['IN_REGION'], orientation: 'UNDIRECTED'}) YIELD node, score RETURN labels(node)[0] AS l, node.key AS k, score AS s", "SELECT 'Nation' AS l, n_nationkey AS k, 0.0::DOUBLE AS s FROM nation UNION ALL SELECT 'Region', r_regionkey, (n * (n - 1) / 2)::DOUBLE FROM (SELECT r_regionkey, count(n_nationkey) AS n FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1)")
 add("algo_louvain", f"CALL graph.algo.louvain.stream({CUSTOMER}) YIELD node, communityId RETURN node.key AS k, communityId AS c", None)
 add("k_shortest_paths", "CALL graph.algo.kShortestPaths.stream({nodeLabels: ['Customer'], relationshipTypes: ['KNOWS'], orientation: 'UNDIRECTED', sourceNode: 562949953421313, targetNode: 562949953421361, k: 3}) YIELD index, totalCost, nodeIds RETURN index, totalCost AS c, size(nodeIds) AS n", f"WITH RECURSIVE {KNOWS}, r AS (SELECT 1::BIGINT AS b, [1::BIGINT] AS seen UNION ALL SELECT kk.b, list_append(seen, kk.b) FROM r JOIN kk ON r.b = kk.a WHERE len(seen) < 6 AND NOT list_contains(seen, kk.b)), best AS (SELECT len(seen) AS n FROM r WHERE b = 49 ORDER BY 1 LIMIT 3) SELECT row_number() OVER (ORDER BY n) - 1 AS index, (n - 1)::DOUBLE AS c, n FROM best")
+
+# --- procedures on graphs with cycles, and with arguments from the rows
+PLACES = "nodeLabels: ['Customer', 'Supplier', 'Nation'], relationshipTypes: ['IN_NATION'], orientation: 'UNDIRECTED'"
+add(
+    "algo_scc_cycles",
+    f"CALL graph.algo.scc.stream({{{PLACES}}}) YIELD node, componentId RETURN labels(node)[0] AS l, node.key AS k, componentId - 281474976710656 AS c",
+    "SELECT 'Customer' AS l, c_custkey AS k, c_nationkey AS c FROM customer UNION ALL SELECT 'Supplier', s_suppkey, s_nationkey FROM supplier UNION ALL SELECT 'Nation', n_nationkey, n_nationkey FROM nation",
+)
+add(
+    "algo_scc_path",
+    "CALL graph.algo.scc.stats({nodeLabels: ['Customer'], relationshipTypes: ['PLACED', 'IN_NATION', 'KNOWS']}) YIELD nodeCount, iterations, distribution RETURN nodeCount AS n, iterations < 4 AS few, distribution.componentCount AS c",
+    "SELECT count(*) AS n, true AS few, count(*)::DOUBLE AS c FROM customer",
+)
+
+
+def _rank_sql(rounds: int) -> str:
+    """PageRank over the directed KNOWS relationships, one table a round."""
+    parts = [
+        KNOWS,
+        "deg AS (SELECT a, count(*) AS deg FROM k1 GROUP BY a)",
+        "n AS (SELECT count(*)::DOUBLE AS n FROM customer)",
+        "r0 AS (SELECT c_custkey AS v, 1 / n AS r FROM customer, n)",
+    ]
+    for k in range(1, rounds + 1):
+        lost = f"(SELECT coalesce(sum(r), 0) FROM r{k - 1} WHERE v NOT IN (SELECT a FROM deg))"
+        got = f"(SELECT b, sum(r / deg) AS x FROM k1 JOIN deg USING (a) JOIN r{k - 1} ON v = a GROUP BY b) q"
+        parts.append(f"r{k} AS (SELECT p.v, 0.15 / n + 0.85 * {lost} / n + 0.85 * coalesce(x, 0) AS r FROM r{k - 1} p CROSS JOIN n LEFT JOIN {got} ON q.b = p.v)")
+    return f"WITH {', '.join(parts)} SELECT v AS k, round(r * 1000000000) AS s FROM r{rounds}"
+
+
+add("algo_pagerank_rounds", "CALL graph.algo.pageRank.stream({nodeLabels: ['Customer'], relationshipTypes: ['KNOWS'], maxIterations: 6, tolerance: 0.0}) YIELD node, score RETURN node.key AS k, round(score * 1000000000) AS s", _rank_sql(6))
+
+
+def _labels_sql(rounds: int) -> str:
+    """Synchronous label propagation over the simple undirected KNOWS graph, one table a round."""
+    parts = [KNOWS, "e AS (SELECT DISTINCT a, b FROM kk)", "l0 AS (SELECT c_custkey AS v, c_custkey AS l FROM customer)"]
+    for k in range(1, rounds + 1):
+        votes = f"(SELECT a, l, count(*) AS n FROM e JOIN l{k - 1} ON v = b GROUP BY a, l)"
+        best = f"(SELECT a, l FROM {votes} QUALIFY row_number() OVER (PARTITION BY a ORDER BY n DESC, l) = 1)"
+        parts.append(f"l{k} AS (SELECT p.v, coalesce(q.l, p.l) AS l FROM l{k - 1} p LEFT JOIN {best} q ON q.a = p.v)")
+    return f"WITH {', '.join(parts)} SELECT v AS k, l AS c FROM l{rounds}"
+
+
+add("algo_labels", f"CALL graph.algo.labelPropagation.stream({CUSTOMER[:-1]}, maxIterations: 3}}) YIELD node, communityId RETURN node.key AS k, communityId - 562949953421312 AS c", _labels_sql(3))
+add(
+    "algo_bfs_per_row",
+    "MATCH (r:Region) CALL graph.algo.bfs.stream({nodeLabels: ['Region', 'Nation'], relationshipTypes: ['IN_REGION'], orientation: 'UNDIRECTED', sourceNode: id(r)}) YIELD node, depth RETURN r.key AS r, labels(node)[0] AS l, depth, count(*) AS n",
+    "SELECT r, l, depth, count(*) AS n FROM (SELECT a.r_regionkey AS r, 'Region' AS l, CASE WHEN a.r_regionkey = b.r_regionkey THEN 0 END AS depth FROM region a, region b UNION ALL SELECT r_regionkey, 'Nation', CASE WHEN n_regionkey = r_regionkey THEN 1 END FROM region, nation) GROUP BY ALL",
+)
+add("algo_wcc_constant", "UNWIND range(1, 4) AS i CALL graph.algo.wcc.stream({nodeLabels: ['Region', 'Nation'], relationshipTypes: ['IN_REGION']}) YIELD componentId RETURN i, count(*) AS n, count(DISTINCT componentId) AS c", "SELECT i, (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS n, (SELECT count(*) FROM region) AS c FROM range(1, 5) t(i)")
+# --- functions and seeks that no query above reads
+add("seek_composite", "MATCH (p:Part {brand: $b}) WHERE p.size > 10 AND p.size <= 20 AND p.type IN ['PROMO', 'SMALL'] RETURN p.key AS key, p.size AS size", "SELECT p_partkey AS key, p_size AS size FROM part WHERE p_brand = 'Brand#12' AND p_size > 10 AND p_size <= 20 AND p_type IN ('PROMO', 'SMALL')", b="Brand#12")
+add("constant_funcs", "RETURN round(e() * 1000) AS e, round(pi() * 1000) AS p, round(cot(1.0) * 1000) AS c, rand() < 1.0 AS r, timestamp() > 1500000000000 AS t, exists(null) AS x", "SELECT 2718::DOUBLE AS e, 3142::DOUBLE AS p, 642::DOUBLE AS c, true AS r, true AS t, false AS x")
+add("clock_funcs", "RETURN date.statement() = date.transaction() AS d, datetime.realtime() >= datetime.transaction() AS t, localtime.statement() = localtime.statement() AS l", "SELECT true AS d, true AS t, true AS l")
+add("varlen_edge_predicate_hops", "MATCH (a:Customer)-[rs:KNOWS*1..2]->(b:Customer) WHERE all(r IN rs WHERE id(startNode(r)) < id(endNode(r))) RETURN a.key AS a, count(*) AS n, sum(b.key) AS s", f"WITH {KNOWS} SELECT a, count(*) AS n, sum(b)::BIGINT AS s FROM (SELECT a, b FROM k1 UNION ALL SELECT x.a, y.b FROM k1 x JOIN k1 y ON x.b = y.a) GROUP BY a")
+add("show_components", "CALL dbms.components() YIELD name, edition RETURN name, edition", "SELECT 'graphloom' AS name, 'community' AS edition")

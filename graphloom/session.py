@@ -28,6 +28,8 @@ class GraphSession:
         self.graph = graph or Graph(spark)
         self.catalog = Catalog()
         self.results: dict[str, DataFrame] = {}
+        #: Ranges of numbers of the changes that the graph holds, ascending (see ``streaming.changes``).
+        self.applied: list[tuple[int, int]] = []
         self.projections: dict[str, tuple[DataFrame, DataFrame]] = {}
 
     def cypher(self, text: str, **params) -> DataFrame:

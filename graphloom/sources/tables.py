@@ -7,36 +7,43 @@ that are equal in all columns stay different relationships.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..errors import NotSupported
 from ..graph import Graph
 
 #: Label numbers.
 ORDER = ("Region", "Nation", "Customer", "Supplier", "Part", "Order", "User", "Event", "Document", "Page", "Vector", "Conversation")
 SHIFT = 48
-#: Files of a table whose number becomes part of the row id; with more, ids are hashes of place.
-MAX_FILES = 256
+#: Bits of a row id for the row's place in its file, and the files that then have a number.
+ROW_BITS = 40
+MAX_FILES = 1 << (62 - ROW_BITS)
 
 
 def node_id(label: str, key: Column) -> Column:
     return (F.lit(ORDER.index(label)).cast("bigint") * (1 << SHIFT) + key.cast("bigint")).cast("bigint")
 
 
-def row_id(df: DataFrame) -> Column:
-    """A number for each row of a file table, the same whatever is filtered or pruned."""
+def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
+    """A file table with a number for each row, the same whatever is filtered or pruned.
+
+    It is the number of the file among the sorted paths and the row's place in it, so no two rows
+    share one.  The list of files, which the driver holds anyway, is joined by path.
+    """
     files = sorted(df.inputFiles())
     index = F.col("_metadata.row_index")
     if len(files) <= 1:
-        return index
+        return df.select("*", index.alias(name))
     if len(files) > MAX_FILES:
-        return F.xxhash64(F.col("_metadata.file_path"), index)
-    names = [f.rsplit("/", 1)[-1] for f in files]
-    number = F.lit(0)
-    for i, n in enumerate(names[1:], 1):
-        number = F.when(F.col("_metadata.file_name") == n, F.lit(i)).otherwise(number)
-    return (number.cast("bigint") * (1 << 40) + index).cast("bigint")
+        raise NotSupported(f"{len(files)} files; row ids are made for {MAX_FILES} at most")
+    slashes = "^file:/+"  # local files are listed with three slashes and read with one
+    numbers = df.sparkSession.createDataFrame([(re.sub(slashes, "file:/", f), i << ROW_BITS) for i, f in enumerate(files)], "row_file string, row_base bigint")
+    placed = df.select("*", F.regexp_replace(F.col("_metadata.file_path"), slashes, "file:/").alias("row_file"), index.alias("row_place"))
+    return placed.join(numbers, "row_file").select(*df.columns, (F.col("row_base") + F.col("row_place")).alias(name))
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,8 +79,9 @@ def star_schema(spark: SparkSession, sf_dir: str) -> Graph:
 
     line = {"quantity": "l_quantity", "price": "l_extendedprice", "discount": "l_discount", "linenumber": "l_linenumber", "returnflag": "l_returnflag", "shipdate": "l_shipdate"}
     rel("PLACED", "Customer", "o_custkey", "Order", "o_orderkey", t["orders"], F.col("o_orderkey"))
-    rel("CONTAINS", "Order", "l_orderkey", "Part", "l_partkey", t["lineitem"], row_id(t["lineitem"]), **line)
-    rel("SUPPLIED_BY", "Order", "l_orderkey", "Supplier", "l_suppkey", t["lineitem"], row_id(t["lineitem"]), linenumber="l_linenumber")
+    lines = with_row_id(t["lineitem"])
+    rel("CONTAINS", "Order", "l_orderkey", "Part", "l_partkey", lines, F.col("row_id"), **line)
+    rel("SUPPLIED_BY", "Order", "l_orderkey", "Supplier", "l_suppkey", lines, F.col("row_id"), linenumber="l_linenumber")
     rel("IN_NATION", "Customer", "c_custkey", "Nation", "c_nationkey", t["customer"], F.col("c_custkey") * 2)
     rel("IN_NATION", "Supplier", "s_suppkey", "Nation", "s_nationkey", t["supplier"], F.col("s_suppkey") * 2 + 1)
     rel("IN_REGION", "Nation", "n_nationkey", "Region", "n_regionkey", t["nation"], F.col("n_nationkey"))

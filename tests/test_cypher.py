@@ -1,15 +1,23 @@
 """The query engine on small graphs: rules of the language, refusals, updates, files, streams."""
 
 import json
+import os
+import random
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom import errors as E
 from graphloom.graph import Graph
+from graphloom.operators import algorithms
 from graphloom.plans.compiler import Rows
 from graphloom.plans.parser import parse
 from graphloom.session import GraphSession
 from graphloom.sources import files
+from graphloom.sources.tables import with_row_id
+from graphloom.storage import staged, unstage
 from graphloom.streaming.changes import follow, tail
 
 
@@ -185,6 +193,57 @@ def test_algorithms_on_known_graphs(spark):
     assert rows(s, "CALL x.algo.wcc.stats({}) YIELD nodeCount, distribution RETURN nodeCount, distribution.componentCount AS c") == [(7, 3.0)]
 
 
+def test_a_call_is_configured_by_each_row(spark):
+    """0 is isolated, 1 to 5 form a weighted chain."""
+    graph = Graph(spark).add_nodes("V", spark.createDataFrame([(i, i) for i in range(6)], "id long, k long"))
+    graph.add_rels("E", "V", "V", spark.createDataFrame([(i, i, i + 1, float(i)) for i in range(1, 5)], "id long, src long, dst long, w double"))
+    s = GraphSession(spark, graph)
+    each = (
+        "MATCH (s:V) WHERE s.k IN $ks WITH s ORDER BY s.k {} CALL x.algo.sssp.stream({{nodeLabels: ['V'], relationshipTypes: ['E'], orientation: 'UNDIRECTED', "
+        "relationshipWeightProperty: 'w', sourceNode: id(s)}}) YIELD nodeId, distance WITH s, count(distance) AS reached, sum(distance) AS total RETURN s.k AS k, reached, total"
+    )
+    want = {0: (0, 1, 0.0), 1: (1, 5, 20.0), 3: (3, 5, 15.0)}
+    for order in ("ASC", "DESC"):
+        assert rows(s, each.format(order), ks=[0, 1, 3]) == list(want.values())
+    for k, row in want.items():
+        assert rows(s, each.format("ASC"), ks=[k]) == [row]
+    assert rows(s, each.format("ASC"), ks=[99]) == []
+    assert rows(s, "UNWIND [1, 3, 3] AS x CALL a.algo.bfs.stream({sourceNode: x}) YIELD nodeId, depth WHERE depth = 0 RETURN x, nodeId") == [(1, 1), (3, 3), (3, 3)]
+    assert rows(s, "UNWIND range(1, 4) AS i CALL x.algo.wcc.stream({}) YIELD nodeId RETURN count(*) AS n") == [(24,)]
+    s.cypher("CREATE FULLTEXT INDEX t FOR (d:V) ON EACH [d.name]")
+    s.cypher("MATCH (v:V) SET v.name = CASE v.k WHEN 1 THEN 'हिन्दी text' WHEN 2 THEN 'other words' ELSE 'none' END")
+    assert rows(s, "UNWIND ['हिन्दी', 'OTHER', '', 'absent'] AS q CALL db.index.fulltext.queryNodes('t', q) YIELD node RETURN q, node.k AS k") == [("OTHER", 2), ("हिन्दी", 1)]
+
+
+def test_strong_components_against_brute_force(spark):
+    rng = random.Random(2)
+    graphs = [[(i, i + 1) for i in range(40)], [(i + 1, i) for i in range(40)], [(i, (i + 1) % 30) for i in range(30)] + [(40, 41)]]
+    graphs += [[(rng.randrange(40), rng.randrange(40)) for _ in range(m)] for m in (30, 60)]
+    for edges in graphs:
+        reach = {v: {v} for v in range(42)}
+        for _ in range(42):
+            for a, b in edges:
+                reach[a] |= reach[b]
+        want = {v: min(u for u in reach[v] if v in reach[u]) for v in range(42)}
+        frame = spark.createDataFrame([(a, b, 1.0) for a, b in edges], "src long, dst long, weight double")
+        found = algorithms.scc(spark.range(42), frame)
+        assert {r.id: r.value for r in found.values.collect()} == want and found.extra["componentCount"] == len(set(want.values()))
+        assert found.rounds <= 6, "rounds do not grow with a path"
+
+
+def test_rows_of_many_files_keep_different_ids(spark, tmp_path):
+    for folder in ("one part", "two"):
+        for i in range(150):
+            where = tmp_path / folder
+            where.mkdir(exist_ok=True)
+            pq.write_table(pa.table({"a": [i, i, 7], "_x": [1, 2, 3]}), where / f"part-{i}.parquet")
+    df = spark.read.parquet(str(tmp_path / "one part"), str(tmp_path / "two"))
+    out = with_row_id(df)
+    assert out.count() == 900 and out.select("row_id").distinct().count() == 900
+    some = with_row_id(df).where("a = 7")
+    assert some.join(out.select("row_id", F.col("_x").alias("x")), "row_id").where("x = _x").count() == some.count()
+
+
 def test_search(spark):
     graph = Graph(spark).add_nodes("D", spark.createDataFrame([(1, "Red fox, red-hot"), (2, "blue fox"), (3, None), (4, "nothing")], "id long, text string"))
     graph.add_nodes("E", spark.createDataFrame([(5, [1.0, 0.0]), (6, [0.0, 2.0]), (7, [0.0, 0.0]), (8, None), (9, [1.0, 1.0, 1.0])], "id long, v array<double>"))
@@ -228,3 +287,39 @@ def test_changes_are_applied_once_and_in_order(spark, tmp_path):
     follow(s, str(tmp_path / "log"), str(tmp_path / "state")).awaitTermination()
     assert rows(s, "MATCH (a:A) RETURN a.k AS k, a.v AS v") == [(1, 2)]
     assert tail(s, str(tmp_path / "log"), 2).count() == 1
+    follow(s, str(tmp_path / "log"), str(tmp_path / "state")).awaitTermination()  # nothing new changes nothing
+    assert rows(s, "MATCH (a:A) RETURN count(*) AS n") == [(1,)] and s.applied == [(1, 2)]
+
+
+def test_changes_of_files_out_of_order_restarts_and_late_ones(spark, tmp_path):
+    log, state = tmp_path / "log", str(tmp_path / "state")
+    log.mkdir()
+    line = lambda n, t: json.dumps({"seq": n, "statement": t}) + "\n"
+    for at, (name, n) in enumerate([("a", 4), ("b", 2), ("c", 3), ("d", 1)]):
+        text = "CREATE (:A {v: 0})" if n == 1 else f"MATCH (a:A) SET a.v = a.v * 10 + {n}"
+        (log / f"{name}.json").write_text(line(n, text))
+        os.utime(log / f"{name}.json", (1000 + at, 1000 + at))
+    s = GraphSession(spark)
+    follow(s, str(log), state, files_per_batch=1).awaitTermination()
+    assert rows(s, "MATCH (a:A) RETURN a.v AS v") == [(234,)] and s.applied == [(1, 4)]
+    (log / "e.json").write_text(line(5, "MATCH (a:A) SET a.v = a.v * 10 + 5") + line(5, "MATCH (a:A) SET a.v = a.v * 10 + 5") + line(8, "CREATE (:B)"))
+    follow(s, str(log), state).awaitTermination()
+    assert rows(s, "MATCH (a:A) RETURN a.v AS v") == [(2345,)]
+    again = GraphSession(spark)  # a new session knows nothing and applies the whole log, whatever the stream has read
+    follow(again, str(log), state).awaitTermination()
+    assert rows(again, "MATCH (a:A) RETURN a.v AS v") == [(2345,)] and again.applied == [(1, 5), (8, 8)]
+    (log / "f.json").write_text(line(7, "CREATE (:C)"))
+    with pytest.raises(Exception, match="comes after"):
+        follow(s, str(log), state).awaitTermination()
+    (log / "f.json").unlink()
+    (log / "g.json").write_text(line(9, "CREATE (:D)") + line(9, "CREATE (:E)"))
+    with pytest.raises(E.ExecutionFailed):
+        follow(again, str(log), state)
+
+
+def test_staged_tables_go_when_they_are_no_longer_read(spark):
+    df = staged(spark.range(3), "x")
+    folder = df.staged_in.removeprefix("file://")
+    assert os.path.isdir(folder) and df.count() == 3
+    unstage(df, spark.range(1), None)
+    assert not os.path.exists(folder)
