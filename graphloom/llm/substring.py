@@ -17,9 +17,9 @@ A later batch can be judged against all history: ``remove_repeats(docs, index=in
 the runs and the packed documents of each batch, and history counts as earlier.
 
 No key is hot.  A fingerprint that one task meets in more than ``HOT`` chunks is known to
-repeat, so the task reports it to those chunks itself and sends on two entries; and before
-windows are shuffled each task settles which of its own chunks has the first place.  So a
-passage that a third of all documents share costs a bucket a few entries a task.  A chunk is
+repeat, so the task reports it to those chunks itself and sends on two entries; and the
+places of one window in many chunks are settled in parts of ``PART`` chunks first.  So a passage
+that a third of all documents share costs a bucket a few entries a task or part.  A chunk is
 about ``CHUNK_BYTES`` of text (or one document); documents travel as compressed Arrow batches.
 
 "Earlier" is the smaller document id, or an earlier start in the same document; documents
@@ -51,8 +51,8 @@ BUCKET_BYTES = 8 << 20
 HOT = 8
 #: Fingerprints that a task gathers before it writes them out as a piece of the run.
 FLUSH = 2_000_000
-#: Windows that a task gathers before it settles their first places.
-SETTLE = 400_000
+#: Chunks whose places of one window meet in one task.
+PART = 4096
 PACK_BYTES = 16 << 20
 LAST = np.iinfo(np.int64).max
 
@@ -133,13 +133,14 @@ class Windows:
 
     def digests(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Both halves of a 128-bit digest of the words of the windows at some ascending positions."""
-        out, begin = [], np.concatenate([[0], np.cumsum(self.ends - self.starts + 1)])
+        out, begin = bytearray(), np.concatenate([[0], np.cumsum(self.ends - self.starts + 1)])
         for part in _groups(self.doc[at]):
             a, b = (int(self.first[self.doc[at[part.start]] + k]) for k in (0, 1))
             words = b" ".join(self.data[int(self.starts[a]) : int(self.ends[b - 1])].tobytes().split())
             low, high = begin[at[part]] - begin[a], begin[at[part] + self.window] - begin[a] - 1
-            out += [hashlib.blake2b(words[i:j], digest_size=16).digest() for i, j in zip(low.tolist(), high.tolist(), strict=True)]
-        both = np.frombuffer(b"".join(out), _U64).reshape(-1, 2)
+            for i, j in zip(low.tolist(), high.tolist(), strict=True):
+                out += hashlib.blake2b(words[i:j], digest_size=16).digest()
+        both = np.frombuffer(out, _U64).reshape(-1, 2)
         return both[:, 0].copy(), both[:, 1].copy()
 
 
@@ -402,8 +403,8 @@ class Chunk:
         return K.cover(len(self.w.doc), self.sorted_at[gone], self.w.window)
 
 
-_SENT = (_U64, _U64, np.dtype("<i8"), _U32, _U32)
-_PLACES = (*_SENT, _U32, _U32)
+#: Digest, id, tie, start, chunk and number in the chunk of a window's first place.
+_PLACES = (_U64, _U64, np.dtype("<i8"), _U32, _U32, _U32, _U32)
 
 
 def _losers(columns: list[np.ndarray], base: int) -> tuple[np.ndarray, np.ndarray]:
@@ -418,64 +419,52 @@ def _losers(columns: list[np.ndarray], base: int) -> tuple[np.ndarray, np.ndarra
     return order, lost
 
 
-def _sent(packed: DataFrame, repeats: DataFrame, base: int, buckets: int, window: int, gram: int) -> DataFrame:
-    """First places of the candidate windows, by bucket, and the numbers of those a task knows to be later."""
+def _sent(packed: DataFrame, repeats: DataFrame, buckets: int, window: int, gram: int) -> DataFrame:
+    """First places of each chunk's different candidate windows, by bucket."""
 
     def send(left, right):
         if not left.num_rows or not right.num_rows:
             return _step_table([])
         c = Chunk(_documents(left), right.column("blob").to_pylist(), window, gram)
+        chunk, n = left.column("chunk")[0].as_py(), len(c.key)
+        columns = [c.key, c.check, c.ids, c.tie, c.begin, np.full(n, chunk, _U32), np.arange(n, dtype=_U32)]
         K.release()
-        return _step_table([(_SEEN, -1, left.column("chunk")[0].as_py(), pack(c.key, c.check, c.ids, c.tie, c.begin))] if len(c.key) else [])
+        return _step_table([(_SEEN, b, chunk, pack(*(x[s] for x in columns))) for b, s in _by_bucket(c.key, buckets)])
 
-    def combine(batches):
-        held: list[list[np.ndarray]] = []
-        count = 0
+    return packed.groupBy("chunk").cogroup(repeats.groupBy("chunk")).applyInArrow(send, _STEP)
 
-        def settled():
-            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-            held.clear()
-            order, lost = _losers(columns, base)
-            rows = _to_chunks(_LATER, columns[5][lost], columns[6][lost], buckets)
-            order = order[~lost[order]]
-            columns = [x[order] for x in columns]
-            rows += [(_SEEN, b, -1, pack(*(x[s] for x in columns))) for b, s in _by_bucket(columns[0], buckets)]
-            for i in range(0, len(rows), 4096):
-                yield _step_batch(rows[i : i + 4096])
 
-        for batch in batches:
-            for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob"), strict=True):
-                part = unpack(blob.as_py(), *_SENT)
-                n = len(part[0])
-                held.append([*part, np.full(n, chunk, _U32), np.arange(n, dtype=_U32)])
-                count += n
-                if count > SETTLE:
-                    yield from settled()
-                    count = 0
-        if held:
-            yield from settled()
-        K.release()
+def _later(sent: DataFrame, base: int, buckets: int, chunks: int) -> DataFrame:
+    """For each chunk the numbers of its windows that start earlier in another chunk.
 
-    return packed.groupBy("chunk").cogroup(repeats.groupBy("chunk")).applyInArrow(send, _STEP).mapInArrow(combine, _STEP)
-
-
-def _later(base: int, buckets: int):
-    def judge(_, table):
-        """For each chunk the numbers of its windows of a bucket that start earlier in another chunk."""
-        kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
-        parts = [unpack(b, *_PLACES) for k, b in zip(kinds, blobs, strict=True) if k == _SEEN]
-        out = []
-        if parts:
-            columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            del parts
-            _, lost = _losers(columns, base)
-            out = _to_chunks(_LATER, columns[5][lost], columns[6][lost], buckets)
-            del columns
-        K.release()
-        passed = table.filter(pc.equal(table.column("kind"), _LATER))
-        return pa.concat_tables([passed.cast(_step_table([]).schema), _step_table(out)])
+    A window is held by a bucket at most once a chunk.  With more than ``PART`` chunks, parts of
+    them are settled first, and only a part's first places go on.
+    """
+
+    def judge(final: bool):
+        def run(key, table):
+            kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
+            parts = [unpack(b, *_PLACES) for k, b in zip(kinds, blobs, strict=True) if k == _SEEN]
+            out = []
+            if parts:
+                columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+                del parts
+                order, lost = _losers(columns, base)
+                out = _to_chunks(_LATER, columns[5][lost], columns[6][lost], buckets)
+                if not final:
+                    order = order[~lost[order]]
+                    out.append((_SEEN, key[0].as_py(), -1, pack(*(x[order] for x in columns))))
+                del columns
+            K.release()
+            table = table.select(["kind", "bucket", "chunk", "blob"])
+            passed = table.filter(pc.equal(table.column("kind"), _LATER))
+            return pa.concat_tables([passed.cast(_step_table([]).schema), _step_table(out)])
+
+        return run
 
-    return judge
+    if (parts := -(-chunks // PART)) > 1:
+        sent = sent.withColumn("part", F.col("chunk") % parts).groupBy("bucket", "part").applyInArrow(judge(False), _STEP)
+    return sent.groupBy("bucket").applyInArrow(judge(True), _STEP).where(F.col("kind") == _LATER)
 
 
 def _without(raw: bytes, starts: np.ndarray, ends: np.ndarray, mask: np.ndarray) -> bytes:
@@ -540,7 +529,7 @@ def remove_repeats(
             everything = everything.union(spark.read.schema(_PACKED).parquet(old))
         index.documents.append(path)
     index.base += chunks
-    later = _sent(everything, repeats, base, buckets, window, gram).groupBy("bucket").applyInArrow(_later(base, buckets), _STEP)
+    later = _later(_sent(everything, repeats, buckets, window, gram), base, buckets, index.base)
     reports = repeats.union(later).where(F.col("chunk") >= base)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     spans = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))

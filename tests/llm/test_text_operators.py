@@ -289,6 +289,7 @@ def test_work_for_a_chunk_follows_its_keys_not_the_buckets():
 def test_hot_passages_are_reported_by_each_task(spark, monkeypatch):
     monkeypatch.setattr(substring, "HOT", 1)
     monkeypatch.setattr(substring, "FLUSH", 40)
+    monkeypatch.setattr(substring, "PART", 3)
     passage = " ".join(f"hot{i}" for i in range(30))
     data = [(i, f"{passage} own{i} " + " ".join(f"x{i}y{j}" for j in range(25))) for i in range(60)] + [(None, passage), (None, passage + " end")]
     out = substring.remove_repeats(spark.createDataFrame(data, "doc_id long, text string").repartition(4), chunk_bytes=300).collect()
