@@ -57,7 +57,7 @@ add("rel_reuse_across_matches", "MATCH (a:Order)-[r1:CONTAINS]->(p:Part) WHERE p
 add("rel_properties", "MATCH (o:Order)-[l:CONTAINS {linenumber: 1}]->(p) WHERE l.quantity > 49 RETURN o.key AS o, l.price AS price, l.returnflag AS f", "SELECT l_orderkey AS o, l_extendedprice AS price, l_returnflag AS f FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 49")
 add("type_filter", "MATCH (n:Nation)-[r]->(x) WHERE type(r) = 'IN_REGION' RETURN n.key AS n, x.name AS x", "SELECT n_nationkey AS n, r_name AS x FROM nation JOIN region ON n_regionkey = r_regionkey")
 add("optional_match", "MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Order) WHERE o.totalprice > 400000 RETURN c.key AS c, count(o) AS n, max(o.totalprice) AS top", "SELECT c_custkey AS c, count(o_orderkey) AS n, max(o_totalprice) AS top FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 400000 GROUP BY 1")
-add("optional_chain", "MATCH (s:Supplier) OPTIONAL MATCH (s)<-[:SUPPLIED_BY]-(o:Order)<-[:PLACED]-(c:Customer) WHERE c.key < 5 RETURN s.key AS s, o.key AS o, c.name AS c", "SELECT s_suppkey AS s, x.o_orderkey AS o, x.c_name AS c FROM supplier LEFT JOIN (SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_custkey < 5) x ON x.l_suppkey = s_suppkey")
+add("optional_chain", "MATCH (s:Supplier) OPTIONAL MATCH (s)<-[:SUPPLIED_BY]-(o:Order)<-[:PLACED]-(c:Customer) WHERE c.acctbal < 0 RETURN s.key AS s, o.key AS o, c.name AS c", "SELECT s_suppkey AS s, x.o_orderkey AS o, x.c_name AS c FROM supplier LEFT JOIN (SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_acctbal < 0) x ON x.l_suppkey = s_suppkey")
 add("exists_subquery", "MATCH (c:Customer) WHERE EXISTS { (c)-[:PLACED]->(o:Order) WHERE o.totalprice > 450000 } RETURN c.key AS c", "SELECT c_custkey AS c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)")
 add("exists_in_case", "MATCH (n:Nation) RETURN n.key AS n, CASE WHEN exists((n)<-[:IN_NATION]-(:Supplier)) THEN 1 ELSE 0 END AS s", "SELECT n_nationkey AS n, CASE WHEN EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey) THEN 1 ELSE 0 END AS s FROM nation")
 add("exists_full_query", "MATCH (c:Customer) WHERE EXISTS { MATCH (c)-[:PLACED]->(o) WITH o WHERE o.totalprice < 2000 RETURN o } RETURN c.key AS c", "SELECT c_custkey AS c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice < 2000)")
@@ -67,18 +67,13 @@ add("pattern_anti", "MATCH (s:Supplier), (r:Region) WHERE NOT (s)-[:IN_NATION]->
 add("pattern_anti_label", "MATCH (c:Customer) WHERE NOT (c)-[:PLACED]->(:Order {orderstatus: 'F'}) RETURN count(*) AS n", "SELECT count(*) AS n FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
 add("pattern_comprehension", "MATCH (r:Region) RETURN r.name AS r, size([(r)<-[:IN_REGION]-(n) WHERE n.key > 3 | n.name]) AS n, reduce(s = 0, x IN [(r)<-[:IN_REGION]-(n) | n.key] | s + x) AS k", "SELECT r_name AS r, count(*) FILTER (WHERE n_nationkey > 3) AS n, sum(n_nationkey)::BIGINT AS k FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
 add("degree_count", "MATCH (c:Customer) RETURN COUNT { (c)-[:PLACED]->() } AS d, count(*) AS n", "SELECT d, count(*) AS n FROM (SELECT c_custkey, count(o_orderkey) AS d FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1) GROUP BY 1")
-add("varlen_trail", "MATCH (a:Customer)-[:KNOWS*1..3]-(b:Customer) WHERE a.key <= 60 RETURN a.key AS a, count(*) AS n, sum(b.key) AS s", f"WITH {KNOWS}, w1 AS (SELECT a, b, id AS i1 FROM kk WHERE a <= 60), w2 AS (SELECT w1.a, kk.b, i1, kk.id AS i2 FROM w1 JOIN kk ON w1.b = kk.a WHERE kk.id <> i1), w3 AS (SELECT w2.a, kk.b FROM w2 JOIN kk ON w2.b = kk.a WHERE kk.id <> i1 AND kk.id <> i2) SELECT a, count(*) AS n, sum(b)::BIGINT AS s FROM (SELECT a, b FROM w1 UNION ALL SELECT a, b FROM w2 UNION ALL SELECT a, b FROM w3) GROUP BY a")
-add("varlen_trail_all", "MATCH (a:Customer)-[:KNOWS*1..3]-(b:Customer) RETURN a.key AS a, count(*) AS n, sum(b.key) AS s", f"WITH {KNOWS}, w1 AS (SELECT a, b, id AS i1 FROM kk), w2 AS (SELECT w1.a, kk.b, i1, kk.id AS i2 FROM w1 JOIN kk ON w1.b = kk.a WHERE kk.id <> i1), w3 AS (SELECT w2.a, kk.b FROM w2 JOIN kk ON w2.b = kk.a WHERE kk.id <> i1 AND kk.id <> i2) SELECT a, count(*) AS n, sum(b)::BIGINT AS s FROM (SELECT a, b FROM w1 UNION ALL SELECT a, b FROM w2 UNION ALL SELECT a, b FROM w3) GROUP BY a")
+add("varlen_trail", "MATCH (a:Customer)-[:KNOWS*1..3]-(b:Customer) RETURN a.key AS a, count(*) AS n, sum(b.key) AS s", f"WITH {KNOWS}, w1 AS (SELECT a, b, id AS i1 FROM kk), w2 AS (SELECT w1.a, kk.b, i1, kk.id AS i2 FROM w1 JOIN kk ON w1.b = kk.a WHERE kk.id <> i1), w3 AS (SELECT w2.a, kk.b FROM w2 JOIN kk ON w2.b = kk.a WHERE kk.id <> i1 AND kk.id <> i2) SELECT a, count(*) AS n, sum(b)::BIGINT AS s FROM (SELECT a, b FROM w1 UNION ALL SELECT a, b FROM w2 UNION ALL SELECT a, b FROM w3) GROUP BY a")
 add("varlen_zero", "MATCH (n:Nation {key: 3})-[:IN_REGION*0..1]->(x) RETURN labels(x)[0] AS l, x.name AS name", "SELECT 'Nation' AS l, n_name AS name FROM nation WHERE n_nationkey = 3 UNION ALL SELECT 'Region', r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey = 3")
-add("varlen_bfs_distinct", "MATCH (a:Event)-[:NEXT*1..4]->(b) WHERE a.key < 50 RETURN DISTINCT b.key AS b", f"WITH RECURSIVE {NEXT}, r AS (SELECT b, 1 AS k FROM nxt WHERE a < 50 UNION SELECT nxt.b, k + 1 FROM r JOIN nxt ON r.b = nxt.a WHERE k < 4) SELECT DISTINCT b FROM r")
-add("varlen_bfs_distinct_all", "MATCH (a:Event)-[:NEXT*1..4]->(b) RETURN DISTINCT b.key AS b", f"WITH RECURSIVE {NEXT}, r AS (SELECT b, 1 AS k FROM nxt UNION SELECT nxt.b, k + 1 FROM r JOIN nxt ON r.b = nxt.a WHERE k < 4) SELECT DISTINCT b FROM r")
+add("varlen_bfs_distinct", "MATCH (a:Event)-[:NEXT*1..4]->(b) RETURN DISTINCT b.key AS b", f"WITH RECURSIVE {NEXT}, r AS (SELECT b, 1 AS k FROM nxt UNION SELECT nxt.b, k + 1 FROM r JOIN nxt ON r.b = nxt.a WHERE k < 4) SELECT DISTINCT b FROM r")
 add("varlen_edge_predicate", "MATCH (o:Order)-[rs:CONTAINS*1..1]->(p:Part) WHERE all(r IN rs WHERE r.quantity >= 50) RETURN count(*) AS n, sum(p.key) AS s", "SELECT count(*) AS n, sum(l_partkey)::BIGINT AS s FROM lineitem WHERE l_quantity >= 50")
-add("shortest_path_len", "MATCH (a:Customer {key: 1}), (b:Customer) WHERE b.key < 200 MATCH p = shortestPath((a)-[:KNOWS*..6]-(b)) RETURN b.key AS b, length(p) AS n", f"WITH RECURSIVE {KNOWS}, r AS (SELECT 1::BIGINT AS b, 0 AS k UNION SELECT kk.b, k + 1 FROM r JOIN kk ON r.b = kk.a WHERE k < 6) SELECT b, min(k) AS n FROM r WHERE b < 200 AND b <> 1 GROUP BY b")
-add("shortest_path_len_all", "MATCH (a:Customer {key: 1}), (b:Customer) MATCH p = shortestPath((a)-[:KNOWS*..6]-(b)) RETURN b.key AS b, length(p) AS n", f"WITH RECURSIVE {KNOWS}, r AS (SELECT 1::BIGINT AS b, 0 AS k UNION SELECT kk.b, k + 1 FROM r JOIN kk ON r.b = kk.a WHERE k < 6) SELECT b, min(k) AS n FROM r WHERE b <> 1 GROUP BY b")
-add("all_shortest_count", "MATCH (a:Customer {key: 1}), (b:Customer) WHERE b.key < 400 MATCH p = allShortestPaths((a)-[:KNOWS*..5]-(b)) RETURN b.key AS b, length(p) AS n, count(*) AS c", f"WITH RECURSIVE {KNOWS}, r AS (SELECT 1::BIGINT AS b, 0 AS k, [1::BIGINT] AS seen UNION ALL SELECT kk.b, k + 1, list_append(seen, kk.b) FROM r JOIN kk ON r.b = kk.a WHERE k < 5 AND NOT list_contains(seen, kk.b)), m AS (SELECT b, min(k) AS n FROM r GROUP BY b) SELECT r.b, m.n, count(*) AS c FROM r JOIN m ON r.b = m.b AND r.k = m.n WHERE r.b < 400 AND r.b <> 1 GROUP BY 1, 2")
-add("all_shortest_count_all", "MATCH (a:Customer {key: 1}), (b:Customer) MATCH p = allShortestPaths((a)-[:KNOWS*..5]-(b)) RETURN b.key AS b, length(p) AS n, count(*) AS c", f"WITH RECURSIVE {KNOWS}, r AS (SELECT 1::BIGINT AS b, 0 AS k, [1::BIGINT] AS seen UNION ALL SELECT kk.b, k + 1, list_append(seen, kk.b) FROM r JOIN kk ON r.b = kk.a WHERE k < 5 AND NOT list_contains(seen, kk.b)), m AS (SELECT b, min(k) AS n FROM r GROUP BY b) SELECT r.b, m.n, count(*) AS c FROM r JOIN m ON r.b = m.b AND r.k = m.n WHERE r.b <> 1 GROUP BY 1, 2")
-add("named_path", "MATCH p = (a:Event)-[:NEXT*2..2]->(b) WHERE a.key < 30 RETURN reduce(s = '', n IN nodes(p) | s + toString(n.key) + ';') AS path, length(p) AS n, size(relationships(p)) AS r", f"WITH {NEXT} SELECT x.a::VARCHAR || ';' || x.b::VARCHAR || ';' || y.b::VARCHAR || ';' AS path, 2 AS n, 2 AS r FROM nxt x JOIN nxt y ON x.b = y.a WHERE x.a < 30")
-add("named_path_all", "MATCH p = (a:Event)-[:NEXT*2..2]->(b) RETURN reduce(s = '', n IN nodes(p) | s + toString(n.key) + ';') AS path, length(p) AS n, size(relationships(p)) AS r", f"WITH {NEXT} SELECT x.a::VARCHAR || ';' || x.b::VARCHAR || ';' || y.b::VARCHAR || ';' AS path, 2 AS n, 2 AS r FROM nxt x JOIN nxt y ON x.b = y.a")
+add("shortest_path_len", "MATCH (a:Customer {key: 1}), (b:Customer) MATCH p = shortestPath((a)-[:KNOWS*..6]-(b)) RETURN b.key AS b, length(p) AS n", f"WITH RECURSIVE {KNOWS}, r AS (SELECT 1::BIGINT AS b, 0 AS k UNION SELECT kk.b, k + 1 FROM r JOIN kk ON r.b = kk.a WHERE k < 6) SELECT b, min(k) AS n FROM r WHERE b <> 1 GROUP BY b")
+add("all_shortest_count", "MATCH (a:Customer {key: 1}), (b:Customer) MATCH p = allShortestPaths((a)-[:KNOWS*..5]-(b)) RETURN b.key AS b, length(p) AS n, count(*) AS c", f"WITH RECURSIVE {KNOWS}, r AS (SELECT 1::BIGINT AS b, 0 AS k, [1::BIGINT] AS seen UNION ALL SELECT kk.b, k + 1, list_append(seen, kk.b) FROM r JOIN kk ON r.b = kk.a WHERE k < 5 AND NOT list_contains(seen, kk.b)), m AS (SELECT b, min(k) AS n FROM r GROUP BY b) SELECT r.b, m.n, count(*) AS c FROM r JOIN m ON r.b = m.b AND r.k = m.n WHERE r.b <> 1 GROUP BY 1, 2")
+add("named_path", "MATCH p = (a:Event)-[:NEXT*2..2]->(b) RETURN reduce(s = '', n IN nodes(p) | s + toString(n.key) + ';') AS path, length(p) AS n, size(relationships(p)) AS r", f"WITH {NEXT} SELECT x.a::VARCHAR || ';' || x.b::VARCHAR || ';' || y.b::VARCHAR || ';' AS path, 2 AS n, 2 AS r FROM nxt x JOIN nxt y ON x.b = y.a")
 add("named_path_fixed", "MATCH p = (n:Nation)-[:IN_REGION]->(r) RETURN head(nodes(p)).name AS a, last(nodes(p)).name AS b, length(p) AS n", "SELECT n_name AS a, r_name AS b, 1 AS n FROM nation JOIN region ON n_regionkey = r_regionkey")
 # --- rows
 add("unwind", "UNWIND [[1, 2], [], [3]] AS xs UNWIND xs AS x RETURN size(xs) AS n, x * 10 AS y", "SELECT * FROM (VALUES (2, 10), (2, 20), (1, 30)) t(n, y)")
@@ -124,8 +119,7 @@ add("json_funcs", "MATCH (n:Nation) WITH n.name AS name, n.key AS key RETURN key
 add("date_parts", "MATCH (o:Order) WITH o.orderdate AS d, o.key AS k RETURN k, d.year AS y, d.quarter AS q, d.month AS m, d.week AS w, d.weekYear AS wy, d.day AS dd, d.ordinalDay AS od, d.dayOfWeek AS dw, d.hour AS h, date(d).year AS y2", "SELECT o_orderkey AS k, year(o_orderdate) AS y, quarter(o_orderdate) AS q, month(o_orderdate) AS m, weekofyear(o_orderdate) AS w, isoyear(o_orderdate) AS wy, day(o_orderdate) AS dd, dayofyear(o_orderdate) AS od, isodow(o_orderdate) AS dw, hour(o_orderdate) AS h, year(o_orderdate) AS y2 FROM orders")
 add("date_truncate", "MATCH (o:Order) WITH o.key AS k, date(o.orderdate) AS d RETURN k, toString(date.truncate('year', d)) AS y, toString(date.truncate('quarter', d)) AS q, toString(date.truncate('month', d)) AS m, toString(date.truncate('week', d)) AS w, toString(date.truncate('decade', d)) AS de, toString(date.truncate('month', d, {day: 5})) AS o", "SELECT o_orderkey AS k, date_trunc('year', d)::DATE::VARCHAR AS y, date_trunc('quarter', d)::DATE::VARCHAR AS q, date_trunc('month', d)::DATE::VARCHAR AS m, date_trunc('week', d)::DATE::VARCHAR AS w, date_trunc('decade', d)::DATE::VARCHAR AS de, (date_trunc('month', d)::DATE + 4)::VARCHAR AS o FROM (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders)")
 add("date_constructors", "RETURN toString(date('2024-02-29')) AS a, toString(date('2015-W30-2')) AS b, toString(date('2015202')) AS c, toString(date({year: 1984, month: 10, day: 11})) AS d, toString(date({year: 1984, week: 10, dayOfWeek: 3})) AS e, toString(date({year: 1984, quarter: 3, dayOfQuarter: 45})) AS f, toString(localtime('21:40:32.142')) AS g, toString(localdatetime('2015-07-21T21:40:32')) AS h, toString(datetime('2015-07-21T21:40:32+01:00')) AS i, toString(time({hour: 12, minute: 34, timezone: '+01:00'})) AS j, datetime.fromEpochMillis(1000).epochSeconds AS k", "SELECT '2024-02-29' AS a, '2015-07-21' AS b, '2015-07-21' AS c, '1984-10-11' AS d, '1984-03-07' AS e, '1984-08-14' AS f, '21:40:32.142' AS g, '2015-07-21T21:40:32' AS h, '2015-07-21T20:40:32Z' AS i, '12:34+01:00' AS j, 1 AS k")
-add("duration_between", "MATCH (o:Order) WHERE o.key < 500 WITH o.key AS k, date(o.orderdate) AS d WITH k, duration.between(date('1990-01-31'), d) AS x, duration.inDays(date('1990-01-31'), d) AS y, d + duration({months: 1, days: 2}) AS z RETURN k, x.months AS m, x.days AS dd, y.days AS n, toString(z) AS z", "SELECT k, m, date_diff('day', (DATE '1990-01-31' + to_months(m::INT))::DATE, d) AS dd, date_diff('day', DATE '1990-01-31', d) AS n, ((d + INTERVAL 1 MONTH)::DATE + 2)::VARCHAR AS z FROM (SELECT o_orderkey AS k, o_orderdate::DATE AS d, (year(o_orderdate) - 1990) * 12 + month(o_orderdate) - 1 - (day(o_orderdate) < 31)::INT AS m FROM orders WHERE o_orderkey < 500)")
-add("duration_between_all", "MATCH (o:Order) WITH o.key AS k, date(o.orderdate) AS d WITH k, duration.between(date('1990-01-31'), d) AS x, duration.inDays(date('1990-01-31'), d) AS y, d + duration({months: 1, days: 2}) AS z RETURN k, x.months AS m, x.days AS dd, y.days AS n, toString(z) AS z", "SELECT k, m, date_diff('day', (DATE '1990-01-31' + to_months(m::INT))::DATE, d) AS dd, date_diff('day', DATE '1990-01-31', d) AS n, ((d + INTERVAL 1 MONTH)::DATE + 2)::VARCHAR AS z FROM (SELECT o_orderkey AS k, o_orderdate::DATE AS d, (year(o_orderdate) - 1990) * 12 + month(o_orderdate) - 1 - (day(o_orderdate) < 31)::INT AS m FROM orders)")
+add("duration_between", "MATCH (o:Order) WITH o.key AS k, date(o.orderdate) AS d WITH k, duration.between(date('1990-01-31'), d) AS x, duration.inDays(date('1990-01-31'), d) AS y, d + duration({months: 1, days: 2}) AS z RETURN k, x.months AS m, x.days AS dd, y.days AS n, toString(z) AS z", "SELECT k, m, date_diff('day', (DATE '1990-01-31' + to_months(m::INT))::DATE, d) AS dd, date_diff('day', DATE '1990-01-31', d) AS n, ((d + INTERVAL 1 MONTH)::DATE + 2)::VARCHAR AS z FROM (SELECT o_orderkey AS k, o_orderdate::DATE AS d, (year(o_orderdate) - 1990) * 12 + month(o_orderdate) - 1 - (day(o_orderdate) < 31)::INT AS m FROM orders)")
 add("duration_algebra", "RETURN toString(duration('P1Y2M3DT4H5M6.5S')) AS a, toString(duration({months: 0.75})) AS b, toString(duration({days: 1.5})) AS c, toString(duration('P1D') + duration('PT25H')) AS d, toString(duration('P2M') * 3) AS e, duration('P1M') = duration('P30D') AS f, toString(duration.between(localtime('10:00'), localtime('09:30'))) AS g, duration('PT90M').hours AS h", "SELECT 'P1Y2M3DT4H5M6.5S' AS a, 'P22DT19H51M49.5S' AS b, 'P1DT12H' AS c, 'P1DT25H' AS d, 'P6M' AS e, false AS f, 'PT-30M' AS g, 1 AS h")
 add("null_and_coalesce", "MATCH (p:Part) RETURN p.key AS k, coalesce(p.missing, p.size, 0) AS c, exists(p.missing) AS e, p.missing IS NULL AS n, size(p.missing) AS s", "SELECT p_partkey AS k, p_size AS c, false AS e, true AS n, NULL::BIGINT AS s FROM part")
 # --- procedures

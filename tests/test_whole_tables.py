@@ -27,7 +27,6 @@ def test_no_id_range_is_left_out(spark, small, name, of, least):
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{small}/{t}.parquet')")
-    name += "_all"
     got = [r.asDict() for r in entry.queries()[name](spark, small).collect()]
     found = con.execute(entry.oracle_sql()[name])
     columns = [d[0] for d in found.description]
