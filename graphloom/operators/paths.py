@@ -319,7 +319,8 @@ class Matcher:
         E = E.select(F.col(edges.near_id).alias("a"), F.col(edges.far_id).alias("b"), F.col(edges.var.id).alias("rid"), *([one.col.alias("rel")] if want_rels else []))
         starts = rows.frame().select(F.col(scope[near].id).alias("s")).distinct()
         if want_path:
-            table, nv = rows.node_table(all_tables)
+            met = edges.near | edges.far | set(scope[near].tables)  # no other table has a node of the walk
+            table, nv = rows.node_table([k for k in all_tables if k in met])
             nodes = table.select(F.col(nv.id).alias("nid"), node_struct(nv).col.alias("node"))
             node_t = node_struct(nv).t
             E = E.join(nodes, F.col("b") == F.col("nid")).drop("nid")
@@ -336,7 +337,8 @@ class Matcher:
         else:
             if far in scope:
                 ends = rows.frame().select(F.col(scope[near].id).alias("s"), F.col(scope[far].id).alias("e")).distinct()
-            found = shortest(zero, E, high, kind == "all_shortest", ends)
+            ends = staged(ends, "ends") if ends is not None else None
+            found = shortest(zero, staged(E, "edges"), high, kind == "all_shortest", ends)  # each level reads them again
         names = {c: Names.new("w") for c in found.columns}
         found = found.select(*[F.col(c).alias(n) for c, n in names.items()])
         cond = F.col(scope[near].id) == F.col(names["s"])
@@ -458,6 +460,8 @@ def trails(zero: DataFrame, E: DataFrame, low: int, high: int) -> DataFrame:
         return zero.where(F.lit(False))
     parts = [zero] if low == 0 else []
     front, k = zero, 0
+    if high < 0 or high > UNROLL:
+        E = staged(E, "edges")
     while high < 0 or k < high:
         k += 1
         front = _step(front, E)
@@ -477,6 +481,8 @@ def reach(zero: DataFrame, E: DataFrame, low: int, high: int) -> DataFrame:
     pairs = zero.select("s", "e")
     seen = pairs if low == 0 else pairs.where(F.lit(False))
     front, hops, k = pairs, E.select("a", "b").distinct(), 0
+    if high < 0 or high > 2:
+        hops = staged(hops, "hops")
     while high < 0 or k < high:
         k += 1
         front = front.join(hops, F.col("e") == F.col("a")).select("s", F.col("b").alias("e")).distinct().join(seen, ["s", "e"], "left_anti")
@@ -485,6 +491,8 @@ def reach(zero: DataFrame, E: DataFrame, low: int, high: int) -> DataFrame:
             if front.limit(1).count() == 0:
                 break
         seen = seen.union(front)
+        if k > 2 and k % 8 == 0:  # keep the plan short on long chains
+            seen = staged(seen, f"seen-{k}")
     return seen
 
 
