@@ -75,7 +75,7 @@ def forget(rows) -> None:
             rows.scope[n] = seen[v.id]
         elif isinstance(v, RelVar):
             rows.scope[n] = refreshed(rows, v)
-    cols = dict.fromkeys(c for b in rows.scope.values() for c in b.columns())
+    cols = dict.fromkeys([*rows.corr, *(c for b in rows.scope.values() for c in b.columns())])
     if cols:
         rows.df = rows.df.select(*cols)
 

@@ -24,6 +24,7 @@ from ..functions import scalar
 from ..functions.temporal import component
 from ..graph import Graph, LabelSet
 from ..operators import paths as P
+from ..storage import staged
 from . import ast as A
 from .scope import Binding, NodeVar, RelVar, ValueVar, node_struct, rel_struct
 from .types import BOOL, ENTITY, FLOAT, INT, NULL, NUMBER, STR, TEMPORAL, T, Typed, coerce, from_spark, join_types, list_of, nothing, to_spark
@@ -109,6 +110,8 @@ class Rows:
         self.corr = list(corr or [])
         self.base: DataFrame | None = None
         self.session = None
+        #: Whether the rows are those of a CALL { } that updates the graph.
+        self.updating = False
         self.closed: set[str] | None = None
         #: Set where the query only counts rows: then equal rows are kept once, with a weight.
         self.folding = False
@@ -120,7 +123,7 @@ class Rows:
 
     def like(self, df: DataFrame | None, scope: dict[str, Binding]) -> Rows:
         out = Rows(self.graph, self.params, df, scope, self.corr)
-        out.base, out.session = self.base, self.session
+        out.base, out.session, out.updating = self.base, self.session, self.updating
         return out
 
     def frame(self) -> DataFrame:
@@ -702,7 +705,7 @@ class Rows:
     def clause(self, c) -> None:
         name = type(c).__name__.lower()
         if name in ("create", "merge", "setclause", "remove", "delete", "foreach"):
-            if self.session is None or self.corr:
+            if self.session is None or (self.corr and not self.updating):
                 raise NotSupported(f"{name} inside a subquery")
             from ..operators import writes
 
@@ -1054,8 +1057,32 @@ class Rows:
     # --- CALL
 
     def call(self, c: A.CallQuery) -> None:
-        if any(isinstance(n, (A.Create, A.Merge, A.SetClause, A.Remove, A.Delete)) for n in c.query.walk()):
-            raise NotSupported("updates inside CALL { }")
+        from .parser import UPDATES
+
+        q = c.query
+        imports = self._imports(c)
+        if not any(isinstance(n, UPDATES) for n in q.walk()):
+            inner, keys = self.drive(imports)
+            self._meet(q, inner.run(q), keys, imports)
+            return
+        from ..operators import writes
+
+        if len(q.arms) > 1:
+            raise NotSupported("updates inside a UNION")
+        row = Names.new("row")  # equal rows update the graph once each, so a number tells them apart
+        writes.freeze(self, (row, F.monotonically_increasing_id()))
+        self.corr.append(row)
+        inner, keys = self.drive(imports)
+        self.corr.pop()
+        inner.updating = True
+        out = inner.run(q)
+        if returns(q):
+            out.df = staged(out.frame(), "returned")
+            self._meet(q, out, keys, imports)
+        writes.forget(self)
+
+    def _imports(self, c: A.CallQuery) -> list[str]:
+        """The variables that a CALL { } takes from outside."""
         imports: list[str]
         q = c.query
         if c.all_:
@@ -1069,8 +1096,10 @@ class Rows:
         missing = [n for n in imports if n not in self.scope]
         if missing:
             raise SemanticError(f"the variable {missing[0]} is not defined")
-        inner, keys = self.drive(imports)
-        out = inner.run(q)
+        return imports
+
+    def _meet(self, q: A.Query, out: Rows, keys: list, imports: list[str]) -> None:
+        """Join what a CALL { } returned to the rows that it was called for."""
         clash = [n for n in out.scope if n in self.scope]
         if clash and any(not isinstance(a[-1], A.Projection) or a[-1].final for a in q.arms):
             clash = [n for n in clash if n not in imports or True]
@@ -1102,6 +1131,12 @@ class Rows:
         return self.frame().select(*out)
 
 
+def returns(q: A.Query) -> bool:
+    """Whether a query ends in RETURN."""
+    last = q.arms[0][-1]
+    return isinstance(last, A.Projection) and last.final
+
+
 def rewrite(e, swap: dict):
     """The expression with some subexpressions replaced."""
     if isinstance(e, A.Expr) and e in swap:

@@ -222,3 +222,13 @@ def adjacency_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     knows.select(F.concat_ws(" ", key("src"), key("dst")).alias("value")).write.text(f"{folder}/e")
     s = GraphSession(spark, files.read_adjacency(spark, f"{folder}/v", f"{folder}/e", directed=False))
     return s.cypher("CALL graph.algo.wcc.stream({}) YIELD node, componentId RETURN node.vid AS k, componentId AS c")
+
+
+@add("call_updates", "SELECT r_regionkey AS r, count(n_nationkey) AS n, sum(n_nationkey)::BIGINT AS s FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
+def call_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each region's subquery creates a note for each of its nations and tells how many."""
+    s = _places(spark, sf_dir)
+    made = s.cypher("MATCH (r:Region) CALL (r) { MATCH (n:Nation)-[:IN_REGION]->(r) CREATE (r)-[:HAS]->(:Note {k: n.key}) RETURN count(n) AS n } RETURN r.key AS r, n")
+    s.cypher("MATCH (r:Region) CALL (r) { MATCH (r)-[:HAS]->(x:Note) SET x.of = r.key } IN TRANSACTIONS OF 2 ROWS")
+    told = s.cypher("MATCH (x:Note) RETURN x.of AS r, sum(x.k) AS s")
+    return made.join(told, "r")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .errors import SemanticError
 from .graph import Graph
 from .plans import ast as A
-from .plans.compiler import Rows, has_aggregate
+from .plans.compiler import Rows, has_aggregate, returns
 from .plans.parser import UPDATES, parse
 
 
@@ -44,7 +44,7 @@ class GraphSession:
         out = rows.run(tree)
         last = tree.arms[0][-1]
         calls = isinstance(last, A.CallProcedure)
-        if isinstance(last, A.Projection) or calls or isinstance(last, A.CallQuery):
+        if isinstance(last, A.Projection) or calls or (isinstance(last, A.CallQuery) and (returns(last.query) or not updates)):
             result = out.result()
         elif updates:
             result = self.spark.createDataFrame([], "nothing string").drop("nothing")

@@ -323,3 +323,22 @@ def test_staged_tables_go_when_they_are_no_longer_read(spark):
     assert os.path.isdir(folder) and df.count() == 3
     unstage(df, spark.range(1), None)
     assert not os.path.exists(folder)
+
+
+def test_updates_inside_call(spark):
+    s = GraphSession(spark, Graph(spark))
+    assert rows(s, "UNWIND [1, 2, 2] AS x CALL (x) { CREATE (:N {k: x}) } RETURN x") == [(1,), (2,), (2,)]
+    assert rows(s, "MATCH (n:N) RETURN n.k") == [(1,), (2,), (2,)]  # equal rows create once each
+    assert rows(s, "UNWIND [5, 6] AS x CALL { WITH x CREATE (m:M {k: x}) RETURN m } RETURN x, m.k AS k") == [(5, 5), (6, 6)]
+    assert rows(s, "MATCH (m:M) CALL { WITH m SET m.w = m.k * 2 } IN TRANSACTIONS OF 10 ROWS RETURN m.w AS w") == [(10,), (12,)]
+    assert rows(s, "MATCH (n:N) CALL (n) { MATCH (m:M) WHERE m.k > 5 CREATE (n)-[:T]->(m) RETURN count(m) AS c } RETURN n.k, c") == [(1, 1), (2, 1), (2, 1)]
+    assert rows(s, "MATCH (n:N)-[:T]->(m:M) RETURN n.k, m.k") == [(1, 6), (2, 6), (2, 6)]
+    assert rows(s, "UNWIND [1, 1, 9] AS x CALL (x) { MERGE (q:Q {k: x}) ON CREATE SET q.s = 'new' }") == []
+    assert rows(s, "MATCH (q:Q) RETURN q.k, q.s") == [(1, "new"), (9, "new")]
+    s.cypher("MATCH (q:Q) CALL (q) { DETACH DELETE q }")
+    assert rows(s, "MATCH (q:Q) RETURN count(q) AS n") == [(0,)]
+    assert rows(s, "MATCH (n:N {k: 1}) CALL (n) { UNWIND [1, 2] AS i CALL (n, i) { CREATE (:Y {i: i}) } RETURN sum(i) AS t } RETURN t") == [(3,)]
+    assert rows(s, "MATCH (y:Y) RETURN y.i") == [(1,), (2,)]
+    with pytest.raises(E.NotSupported):
+        s.cypher("UNWIND [1] AS x CALL (x) { CREATE (:A) RETURN 1 AS o UNION CREATE (:B) RETURN 2 AS o } RETURN x")
+    assert rows(s, "MATCH (a:A) RETURN a") == []
