@@ -232,3 +232,40 @@ def call_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     s.cypher("MATCH (r:Region) CALL (r) { MATCH (r)-[:HAS]->(x:Note) SET x.of = r.key } IN TRANSACTIONS OF 2 ROWS")
     told = s.cypher("MATCH (x:Note) RETURN x.of AS r, sum(x.k) AS s")
     return made.join(told, "r")
+
+
+@add("finance_csv", "SELECT c_custkey AS p, count(*) AS n, sum(l)::BIGINT AS lines FROM customer JOIN orders ON o_custkey = c_custkey JOIN (SELECT l_orderkey, count(*) AS l FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1")
+def finance_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as persons, orders as accounts and lines as sign-ins, written in the financial benchmark's format."""
+    folder = f"{shared_dir(spark)}/graphloom-graph/{uuid.uuid4().hex}"
+    customer, orders, lines, parts = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "orders", "lineitem", "part"))
+    tables = {
+        "Person": customer.select(F.col("c_custkey").alias("personId"), F.col("c_name").alias("personName")),
+        "Account": orders.select(F.col("o_orderkey").alias("accountId"), F.col("o_totalprice").alias("balance")),
+        "Medium": parts.select(F.col("p_partkey").alias("mediumId")),
+        "PersonOwnAccount": orders.select(F.col("o_custkey").alias("personId"), F.col("o_orderkey").alias("accountId")),
+        "MediumSignInAccount": lines.select(F.col("l_partkey").alias("mediumId"), F.col("l_orderkey").alias("accountId"), F.col("l_linenumber").alias("line")),
+    }
+    for name, df in tables.items():
+        df.write.csv(f"{folder}/{name}.csv", header=True, sep="|")
+    s = GraphSession(spark, files.read_tables(spark, folder, files.FINANCE.part(set(tables))))
+    return s.cypher("MATCH (p:Person)-[:OWN]->(a:Account)<-[x:SIGN_IN]-(:Medium) RETURN p.personId AS p, count(DISTINCT a) AS n, count(x) AS lines")
+
+
+@add("social_csv", f"WITH {KNOWS} SELECT r_name AS r, n_name AS n, count(*) AS c, sum(c_custkey)::BIGINT AS s FROM k1 JOIN customer ON c_custkey = b JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1, 2")
+def social_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as persons, nations as cities and regions as countries, written in the social benchmark's format."""
+    folder = f"{shared_dir(spark)}/graphloom-graph/{uuid.uuid4().hex}"
+    customer, nation, region = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "nation", "region"))
+    cities = nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.lit("City").alias("type"), F.col("n_regionkey").alias("PartOfPlaceId"))
+    countries = region.select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"), F.lit("Country").alias("type"), F.lit(None).cast("int").alias("PartOfPlaceId"))
+    knows = next(df for k, df in graph_of(spark, sf_dir).rels.items() if k[0] == "KNOWS")
+    tables = {
+        "Place": cities.union(countries),
+        "Person": customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("firstName"), F.col("c_nationkey").alias("LocationCityId")),
+        "Person_knows_Person": knows.select((F.col("src") % (1 << 48)).alias("Person1Id"), (F.col("dst") % (1 << 48)).alias("Person2Id")),
+    }
+    for name, df in tables.items():
+        df.write.csv(f"{folder}/{name}", header=True, sep="|")
+    s = GraphSession(spark, files.read_tables(spark, folder, files.SOCIAL.part(set(tables))))
+    return s.cypher("MATCH (:Person)-[:KNOWS]->(p:Person)-[:IS_LOCATED_IN]->(c:City)-[:IS_PART_OF]->(k:Country) RETURN k.name AS r, c.name AS n, count(*) AS c, sum(p.key) AS s")

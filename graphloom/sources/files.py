@@ -7,7 +7,7 @@ the same files again gives the same ids.  Relationships with an unknown end are
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,13 +88,23 @@ def write_jsonl(graph: Graph, folder: str) -> None:
 class TableMap:
     """How delimited files become a graph.
 
-    ``nodes``: file, labels, id column.  ``rels``: file, type, (label, column) of both ends.  Ids
-    are ``number of the label * 2**48 + key``; a key must be a whole number below 2**48.
+    ``nodes``: file, labels, id column, and perhaps a condition that picks the rows of these labels.
+    ``rels``: file, type, (label, column) of both ends, and perhaps a condition; rows without one of
+    the ends are no relationships.  A relationship read from a node's own file (a foreign key) has
+    no properties.  Ids are ``number of the label * 2**48 + key``; a key must be a whole number below 2**48.
     """
 
-    nodes: list[tuple[str, tuple[str, ...], str]] = field(default_factory=list)
-    rels: list[tuple[str, str, tuple[str, str], tuple[str, str]]] = field(default_factory=list)
+    nodes: list[tuple] = field(default_factory=list)
+    rels: list[tuple] = field(default_factory=list)
     separator: str = "|"
+    #: What follows a file's name; empty where each name is a folder of files.
+    suffix: str = ".csv"
+
+    def part(self, files: set[str]) -> TableMap:
+        """The map of these files alone, for exports that lack the others; relationships need both their nodes' files."""
+        nodes = [n for n in self.nodes if n[0] in files]
+        known = {n[1][0] for n in nodes}
+        return replace(self, nodes=nodes, rels=[r for r in self.rels if r[0] in files and {r[2][0], r[3][0]} <= known])
 
 
 #: The snapshot files of the financial benchmark.
@@ -118,24 +128,85 @@ FINANCE = TableMap(
 )
 
 
+#: The files of the social network benchmark, foreign keys merged into the files of the nodes.
+SOCIAL = TableMap(
+    nodes=[
+        ("Place", ("City", "Place"), "id", "type = 'City'"),
+        ("Place", ("Country", "Place"), "id", "type = 'Country'"),
+        ("Place", ("Continent", "Place"), "id", "type = 'Continent'"),
+        ("Organisation", ("University", "Organisation"), "id", "type = 'University'"),
+        ("Organisation", ("Company", "Organisation"), "id", "type = 'Company'"),
+        ("TagClass", ("TagClass",), "id"),
+        ("Tag", ("Tag",), "id"),
+        ("Person", ("Person",), "id"),
+        ("Forum", ("Forum",), "id"),
+        ("Post", ("Post", "Message"), "id"),
+        ("Comment", ("Comment", "Message"), "id"),
+    ],
+    rels=[
+        ("Place", "IS_PART_OF", ("City", "id"), ("Country", "PartOfPlaceId"), "type = 'City'"),
+        ("Place", "IS_PART_OF", ("Country", "id"), ("Continent", "PartOfPlaceId"), "type = 'Country'"),
+        ("Organisation", "IS_LOCATED_IN", ("University", "id"), ("City", "LocationPlaceId"), "type = 'University'"),
+        ("Organisation", "IS_LOCATED_IN", ("Company", "id"), ("Country", "LocationPlaceId"), "type = 'Company'"),
+        ("TagClass", "IS_SUBCLASS_OF", ("TagClass", "id"), ("TagClass", "SubclassOfTagClassId")),
+        ("Tag", "HAS_TYPE", ("Tag", "id"), ("TagClass", "TypeTagClassId")),
+        ("Person", "IS_LOCATED_IN", ("Person", "id"), ("City", "LocationCityId")),
+        ("Person_knows_Person", "KNOWS", ("Person", "Person1Id"), ("Person", "Person2Id")),
+        ("Person_hasInterest_Tag", "HAS_INTEREST", ("Person", "PersonId"), ("Tag", "TagId")),
+        ("Person_studyAt_University", "STUDY_AT", ("Person", "PersonId"), ("University", "UniversityId")),
+        ("Person_workAt_Company", "WORK_AT", ("Person", "PersonId"), ("Company", "CompanyId")),
+        ("Person_likes_Post", "LIKES", ("Person", "PersonId"), ("Post", "PostId")),
+        ("Person_likes_Comment", "LIKES", ("Person", "PersonId"), ("Comment", "CommentId")),
+        ("Forum", "HAS_MODERATOR", ("Forum", "id"), ("Person", "ModeratorPersonId")),
+        ("Forum_hasMember_Person", "HAS_MEMBER", ("Forum", "ForumId"), ("Person", "PersonId")),
+        ("Forum_hasTag_Tag", "HAS_TAG", ("Forum", "ForumId"), ("Tag", "TagId")),
+        ("Post", "HAS_CREATOR", ("Post", "id"), ("Person", "CreatorPersonId")),
+        ("Post", "CONTAINER_OF", ("Forum", "ContainerForumId"), ("Post", "id")),
+        ("Post", "IS_LOCATED_IN", ("Post", "id"), ("Country", "LocationCountryId")),
+        ("Post_hasTag_Tag", "HAS_TAG", ("Post", "PostId"), ("Tag", "TagId")),
+        ("Comment", "HAS_CREATOR", ("Comment", "id"), ("Person", "CreatorPersonId")),
+        ("Comment", "IS_LOCATED_IN", ("Comment", "id"), ("Country", "LocationCountryId")),
+        ("Comment", "REPLY_OF", ("Comment", "id"), ("Post", "ParentPostId")),
+        ("Comment", "REPLY_OF", ("Comment", "id"), ("Comment", "ParentCommentId")),
+        ("Comment_hasTag_Tag", "HAS_TAG", ("Comment", "CommentId"), ("Tag", "TagId")),
+    ],
+    suffix="",
+)
+
+
 def read_tables(spark: SparkSession, folder: str, how: TableMap) -> Graph:
     """A graph from delimited files with headers, one for each entry of the map."""
     g = Graph(spark)
-    number = {labels[0]: i for i, (_, labels, _) in enumerate(how.nodes)}
-    tables = {labels[0]: LabelSet(labels) for _, labels, _ in how.nodes}
+    number = {n[1][0]: i for i, n in enumerate(how.nodes)}
+    tables = {n[1][0]: LabelSet(n[1]) for n in how.nodes}
+    files = {n[0] for n in how.nodes}
+    known: dict[str, DataFrame] = {}
 
     def read(name: str) -> DataFrame:
-        return spark.read.csv(f"{folder}/{name}.csv", header=True, sep=how.separator, inferSchema=True)
+        if name not in known:
+            known[name] = spark.read.csv(f"{folder}/{name}{how.suffix}", header=True, sep=how.separator, inferSchema=True)
+        return known[name]
+
+    def picked(name: str, rest: list[str]) -> DataFrame:
+        return read(name).where(rest[0]) if rest else read(name)
 
     def node(label: str, col: str) -> Column:
         return F.lit(number[label]).cast("bigint") * (1 << 48) + F.col(f"`{col}`").cast("bigint")
 
-    for name, labels, key in how.nodes:
-        g.add_nodes(labels, read(name).select(node(labels[0], key).alias("id"), "*"))
-    for name, kind, (sl, sc), (dl, dc) in how.rels:
-        df = read(name).withColumn("_id", F.monotonically_increasing_id())
-        rest = [c for c in df.columns if c not in (sc, dc, "_id")]
-        g.add_rels(kind, tables[sl], tables[dl], staged(df.select((F.col("_id") + (len(g.rels) << 48)).alias("id"), node(sl, sc).alias("src"), node(dl, dc).alias("dst"), *[F.col(f"`{c}`") for c in rest]), name))
+    keys = {(n[0], n[2]) for n in how.nodes}
+    foreign = {(r[0], c) for r in how.rels if r[0] in files for _, c in r[2:4]} - keys
+    for name, labels, key, *rest in how.nodes:
+        df = picked(name, rest)
+        own = [F.col(f"`{c}`") for c in df.columns if (name, c) not in foreign and c != "id"]
+        if key == "id":  # ``id`` is the number of a node in the graph; the file's own is kept as ``key``
+            own.append(F.col("id").alias("key"))
+        g.add_nodes(labels, df.select(node(labels[0], key).alias("id"), *own))
+    for name, kind, (sl, sc), (dl, dc), *rest in how.rels:
+        df = picked(name, rest).where(F.col(f"`{sc}`").isNotNull() & F.col(f"`{dc}`").isNotNull()).withColumn("_id", F.monotonically_increasing_id())
+        props = [] if name in files else [F.col(f"`{c}`") for c in df.columns if c not in (sc, dc, "_id")]
+        # Up to 2**21 tasks a file keep their row numbers below 2**54.
+        row = F.col("_id") + (len(g.rels) << 54)
+        g.add_rels(kind, tables[sl], tables[dl], staged(df.select(row.alias("id"), node(sl, sc).alias("src"), node(dl, dc).alias("dst"), *props), name))
     return g
 
 

@@ -277,6 +277,20 @@ def test_files_round_trip(spark, tmp_path):
     table = files.TableMap([("A", ("A",), "k")], [("AtoA", "PAY", ("A", "f"), ("A", "t"))])
     pay = GraphSession(spark, files.read_tables(spark, str(tmp_path), table))
     assert rows(pay, "MATCH (a:A)-[p:PAY]->(b) RETURN a.name AS a, b.name AS b, sum(p.amount) AS s") == [("x", "y", 11)]
+    social = tmp_path / "social"
+    for name, text in {
+        "Person": "id|firstName|LocationCityId\n7|ann|1\n8|bob|\n",
+        "Place": "id|name|type|PartOfPlaceId\n1|Ulm|City|2\n2|DE|Country|3\n3|Europe|Continent|\n",
+        "Post": "id|content|CreatorPersonId|ContainerForumId|LocationCountryId\n1|hello|7|5|2\n",
+        "Comment": "id|content|CreatorPersonId|LocationCountryId|ParentPostId|ParentCommentId\n1|yes|8|2|1|\n2|no|7|2||1\n",
+        "Person_likes_Post": "creationDate|PersonId|PostId\n2012|8|1\n",
+    }.items():
+        (social / name).mkdir(parents=True)
+        (social / name / "part-0.csv").write_text(text)
+    s = GraphSession(spark, files.read_tables(spark, str(social), files.SOCIAL.part({"Person", "Place", "Post", "Comment", "Person_likes_Post"})))
+    assert rows(s, "MATCH (c:Message)-[:REPLY_OF*1..]->(p:Post) RETURN c.content AS c, p.content AS p") == [("no", "hello"), ("yes", "hello")]
+    assert rows(s, "MATCH (p:Person)-[:IS_LOCATED_IN]->(c:City)-[:IS_PART_OF*2]->(k) RETURN p.firstName AS p, k.name AS k") == [("ann", "Europe")]
+    assert rows(s, "MATCH (p:Person)-[l:LIKES]->(m:Message)-[r:HAS_CREATOR]->(q) RETURN p.key AS p, l.creationDate AS d, keys(r) AS k, q.key AS q") == [(8, 2012, [], 7)]
 
 
 def test_changes_are_applied_once_and_in_order(spark, tmp_path):
