@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -29,9 +28,10 @@ from pyspark.sql import DataFrame
 
 from .textkernel import release
 
-#: Pieces whose output is remembered, and moves or states after which the machine starts afresh.
+#: Pieces whose output is remembered, moves after which the machine starts afresh, and pairs of tokens that are known.
 PIECE_MEMO = 100_000
 MOVE_MEMO = 600_000
+PAIR_MEMO = 300_000
 #: Ids that the streaming decoder is fed at a time.
 DECODE_IDS = 4096
 #: Vocabularies above this size are refused (they travel to each executor once).
@@ -47,12 +47,12 @@ def load_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line)}
 
 
-def merge_by_rank(ranks: dict[bytes, int], piece: bytes) -> list[int]:
-    """The defining procedure: merge the neighbours of lowest rank, leftmost first, until none is left."""
+def merge_by_rank(ranks: dict[bytes, int], piece: bytes, least: int = 1) -> list[int]:
+    """The defining procedure: merge the neighbours of lowest rank, leftmost first, until none (or ``least`` parts) is left."""
     parts = [piece[i : i + 1] for i in range(len(piece))]
     get, far = ranks.get, 1 << 62
     weights = [get(a + b, far) for a, b in zip(parts, parts[1:], strict=False)]
-    while weights:
+    while len(weights) >= least:
         low = min(weights)
         if low == far:
             break
@@ -83,24 +83,55 @@ class Transducer:
         self.text = {r: t for t, r in ranks.items()}
         self.size = {r: len(t) for t, r in ranks.items()}
         self.beginnings = {t[:i] for t in ranks for i in range(1, len(t))}
+        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.fit: dict[tuple[int, int], bool] = {}
+        self.closing: dict[bytes, tuple[list[tuple[int, int]], bytes]] = {}
+        self.halves: dict[int, tuple[int, int] | None] = {}
         self.reset()
 
     def reset(self) -> None:
-        """Forget all states; they are made again as they are met."""
+        """Forget all states; they are made again as they are met.  What does not name a state stays."""
         self.states: list[tuple[bytes, tuple[int, ...]]] = [(b"", (self.START,))]
         self.number = {self.states[0]: 0}
         self.moves: dict[int, tuple[int, int]] = {}
-        self.fit: dict[tuple[int, int], bool] = {}
-        self.closing: dict[bytes, tuple[list[tuple[int, int]], bytes]] = {}
-        self.pieces: dict[bytes, bytes] = {}
+        if len(self.fit) > PAIR_MEMO:
+            self.fit.clear()
+        if len(self.closing) > PAIR_MEMO:
+            self.closing.clear()
 
     def fits(self, left: int, right: int) -> bool:
         """Whether merging the bytes of both tokens gives back just these two."""
         key = (left, right)
         if (known := self.fit.get(key)) is None:
-            known = self.fit[key] = merge_by_rank(self.ranks, self.text[left] + self.text[right]) == [left, right]
+            known = self.fit[key] = self._apart(left, right)
         return known
 
+    def _apart(self, a: int, b: int) -> bool:
+        """As ``fits``: the merges beside the border are undone, the latest first, and none across it may have come before."""
+        text, size, halves = self.text, self.size, self.halves
+        if not (self._ordered(a) and self._ordered(b)):
+            return merge_by_rank(self.ranks, text[a] + text[b]) == [a, b]
+        across, limit = self.ranks.get, 1 << 62
+        while across(text[a] + text[b], limit) >= limit:
+            if size[a] > 1 and (a > b or size[b] == 1):
+                limit, a = a, halves[a][1]
+            elif size[b] > 1:
+                limit, b = b + 1, halves[b][0]  # of equal ranks the left pair is merged first
+            else:
+                return True
+        return False
+
+    def _ordered(self, token: int) -> bool:
+        """Whether merges of rising rank make ``token``; the two tokens of the last one are noted."""
+        if self.size[token] == 1:
+            return True
+        if token not in self.halves:
+            pair = merge_by_rank(self.ranks, self.text[token], 2)
+            good = len(pair) == 2 and all(self.size[t] == 1 or (t < token and self._ordered(t)) for t in pair)
+            self.halves[token] = (pair[0], pair[1]) if good else None
+        return self.halves[token] is not None
+
     def suffixes(self, read: bytes) -> tuple[list[tuple[int, int]], bytes]:
         """The tokens that ``read`` ends with, longest first, and the tail it leaves."""
         found = [(len(read) - i, t) for i in range(len(read)) if (t := self.ranks.get(read[i:])) is not None]
@@ -171,15 +202,18 @@ class Transducer:
             lasts.append(last)
         return self._back(lasts, len(lasts))
 
-    def encoded(self, piece: bytes) -> bytes:
-        """The ids of a piece as little-endian unsigned 32-bit integers; short pieces are remembered."""
-        found = self.pieces.get(piece)
+    def encoded(self, piece: str) -> bytes:
+        """The ids of a piece as little-endian unsigned 32-bit integers.
+
+        Short pieces are remembered; of two generations of them the older one goes, so frequent pieces stay known.
+        """
+        found = self.pieces.get(piece) or self.older.get(piece)
         if found is None:
-            found = np.array(self.encode(piece), "<u4").tobytes()
+            found = array("I", self.encode(piece.encode())).tobytes()
+        if len(piece) <= 64:
             if len(self.pieces) >= PIECE_MEMO:
-                self.pieces.clear()
-            if len(piece) <= 64:
-                self.pieces[piece] = found
+                self.older, self.pieces = self.pieces, {}
+            self.pieces[piece] = found
         return found
 
 
@@ -213,32 +247,28 @@ class StreamDecoder:
     """Feeds token ids in, gives out bytes or text as soon as its characters are complete.
 
     The bytes of a character that a token boundary cuts are held back.  The machine steps
-    through the non-ASCII runs only: an ASCII byte always ends a character.  Bytes that are
+    through the last bytes only, as many as such a character can have.  Bytes that are
     no UTF-8 are passed on; as text they become U+FFFD, as a replacing decoder gives.
     """
 
-    RUN = re.compile(rb"[\x80-\xff]+")
-
     def __init__(self, pieces: list[bytes]):
         self.pieces = pieces
         self.held = b""
 
     def feed_bytes(self, ids: Iterable[int]) -> bytes:
-        pieces = self.pieces
-        raw = self.held + b"".join([pieces[i] for i in ids])
-        complete = len(raw)
-        for run in self.RUN.finditer(raw):
-            state, open_at = 0, run.start()
-            for i, byte in enumerate(run.group(), run.start()):
-                before, state = state, UTF8[state][byte]
-                if state == DEAD:  # judge this byte afresh
-                    state = UTF8[0][byte]
-                    state = 0 if state == DEAD else state
-                    open_at = i
-                elif before == 0:
-                    open_at = i
-            if state and run.end() == len(raw):
-                complete = open_at
+        raw = self.held + b"".join(map(self.pieces.__getitem__, ids))
+        complete, state = len(raw), 0
+        # An incomplete character has three bytes at most, and its lead byte restarts the machine in any state.
+        for i, byte in enumerate(raw[-3:], max(len(raw) - 3, 0)):
+            before, state = state, UTF8[state][byte]
+            if state == DEAD:  # judge this byte afresh
+                state = UTF8[0][byte]
+                state = 0 if state == DEAD else state
+                complete = i
+            elif before == 0:
+                complete = i
+        if not state:
+            complete = len(raw)
         self.held = raw[complete:]
         return raw[:complete]
 
@@ -264,12 +294,8 @@ class Codec:
             self.table[rank] = token
 
     def encode_bytes(self, text: str) -> bytes:
-        known, encoded = self.machine.pieces, self.machine.encoded
-        out = []
-        for piece in self.cut(text):
-            raw = piece.encode()
-            out.append(known.get(raw) or encoded(raw))
-        return b"".join(out)
+        known, encoded = self.machine.pieces.get, self.machine.encoded
+        return b"".join([known(piece) or encoded(piece) for piece in self.cut(text)])
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<u4").tolist()

@@ -379,6 +379,39 @@ def test_states_are_forgotten_without_harm(tokenizer, monkeypatch):
     assert codec.encode(text) == own.encode_ordinary(text)
 
 
+def test_frequent_pieces_stay_known_among_many_rare_ones(tokenizer, monkeypatch):
+    ranks, _, own = tokenizer
+    monkeypatch.setattr(bpe, "PIECE_MEMO", 10)
+    monkeypatch.setattr(bpe, "MOVE_MEMO", 200)
+    codec = bpe.Codec(ranks, public_tokenizers.PATTERN)
+    made, encode = [], codec.machine.encode
+    monkeypatch.setattr(codec.machine, "encode", lambda piece: made.append(piece) or encode(piece))
+    text = "".join(f" the w{chr(97 + i % 26)}{chr(97 + i // 26)}q" for i in range(200))
+    assert codec.encode(text) == own.encode_ordinary(text)
+    assert codec.encode(text[:400]) == own.encode_ordinary(text[:400])
+    assert made.count(b" the") <= 2
+    assert max(len(codec.machine.pieces), len(codec.machine.older)) <= 10
+
+
+def test_pairs_are_judged_as_the_merges_do(tokenizer):
+    rng = random.Random(6)
+    vocabularies = [tokenizer[0]]
+    for k in range(60):
+        pool = [bytes([c]) for c in rng.sample(b"abc", 3)]
+        for _ in range(30):
+            pool.append(rng.choice(pool) + rng.choice(pool))
+        pool = list(dict.fromkeys(t for t in pool if len(t) < 12))
+        if k % 3 == 0:  # merges out of order
+            rng.shuffle(pool)
+        vocabularies.append({t: i for i, t in enumerate(pool)})
+    for ranks in vocabularies:
+        machine = bpe.Transducer(ranks)
+        pool = list(machine.text)
+        for _ in range(300):
+            a, b = rng.choice(pool), rng.choice(pool)
+            assert machine.fits(a, b) == (bpe.merge_by_rank(ranks, machine.text[a] + machine.text[b]) == [a, b])
+
+
 def test_streaming_decoder_holds_back_cut_characters(tokenizer):
     ranks, codec, _ = tokenizer
     text = "é日本😀 plain 😀é"
