@@ -61,11 +61,28 @@ class Words:
     """Words of some texts, and their features as hashed slots."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        data = np.insert(data, offsets[1:-1], 32)  # a word's features do not depend on the text before or after its own
+        offsets = offsets + np.minimum(np.arange(len(offsets)), max(len(offsets) - 2, 0))
         clean = np.where(LETTERS[data], data, np.uint8(32))
         self.clean = np.concatenate([[32], clean, [32, 32, 32]]).astype(np.uint8)  # every word has a blank on both sides
         self.starts, self.ends, self.first = K.words(data, offsets, LETTERS)
         self.hashes = K.span_hashes(data, self.starts, self.ends)
 
+    def distinct(self) -> tuple[Words, np.ndarray]:
+        """One of each different word (by its bytes) with a blank between them, and which of these every word is."""
+        ids = K.exact_ids(self.clean[1:], self.starts, self.ends, self.hashes)
+        one = np.full(int(ids.max(initial=-1)) + 1, -1)
+        one[ids] = np.arange(len(ids))
+        at = one[one >= 0]
+        size = self.ends[at] - self.starts[at]
+        out = object.__new__(Words)
+        out.ends = np.cumsum(size + 1) - 1
+        out.starts, out.hashes, out.first = out.ends - size, self.hashes[at], np.array([0, len(at)])
+        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        out.clean = np.full(int((size + 1).sum()) + 4, 32, np.uint8)
+        out.clean[np.repeat(out.starts + 1, size) + step] = self.clean[np.repeat(self.starts[at] + 1, size) + step]
+        return out, (np.cumsum(one >= 0) - 1)[ids]
+
     def blocks(self, limit: int = K.BLOCK):
         """Ranges of words that span about ``limit`` bytes, so that work arrays stay small."""
         i, n = 0, len(self.starts)
@@ -128,6 +145,8 @@ class Tagger:
         return np.where(self.lexicon[at] == hashes, self.lexicon_slot[at], -1)
 
     def emissions(self, w: Words) -> np.ndarray:
+        """Scores of each word for each label; they follow from its bytes alone, so equal words are worked out once."""
+        w, which = w.distinct()
         out = np.zeros((len(w.starts), len(self.labels)), np.float32)
         padded = np.concatenate([self.weights, np.zeros((1, len(self.labels)), np.float32)])  # slot -1
         lexicon = self.lookup(w.hashes)
@@ -139,7 +158,7 @@ class Tagger:
                 out[i:j] += total[b] - total[a]
             for column in (*w.affixes(i, j), lexicon[i:j]):
                 out[i:j] += padded[column]
-        return out
+        return out[which]
 
     def chain(self, emissions: np.ndarray, first: np.ndarray, pairs: bool = False):
         """Marginals of each word, and if asked the expected count of each transition."""

@@ -147,9 +147,9 @@ def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, a: np.nda
     return out
 
 
-def exact_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Numbers of the spans: two are equal exactly if the bytes of the spans are."""
-    keys = span_hashes(data, starts, ends)
+def exact_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray | None = None) -> np.ndarray:
+    """Numbers of the spans: two are equal exactly if the bytes of the spans are (``keys``: their ``span_hashes``, if known)."""
+    keys = span_hashes(data, starts, ends) if keys is None else keys
     order = np.argsort(keys, kind="stable")
     new = np.ones(len(keys), bool)
     new[1:] = keys[order][1:] != keys[order][:-1]

@@ -336,6 +336,28 @@ def test_forward_backward_in_blocks_is_exact():
         assert np.allclose(got, want, atol=1e-4) and np.allclose(total, pairs, atol=1e-3)
 
 
+def test_equal_words_are_worked_out_once_and_exactly(monkeypatch):
+    texts = ["the cat the cat  the", "", "él 1a él, a the a", None, "x", "the" * 40 + " " + "the" * 41] * 3
+    data, offsets = K.flat(pa.array(texts, pa.large_string()))
+    rng = np.random.default_rng(4)
+    tagger = langid.Tagger(["a", "b"], rng.normal(size=(langid.BUCKETS + 2, 2)).astype(np.float32), np.zeros((2, 2), np.float32), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    for flat in (False, True):
+        if flat:  # all hashes collide: bytes decide
+            monkeypatch.setattr(K, "span_hashes", lambda data, starts, ends, which=0: np.zeros(len(starts), np.uint64))
+        w = langid.Words(data, offsets)
+        word, slot = w.pairs(np.full(len(w.starts), -1))
+        want = np.zeros((len(w.starts), 2))
+        np.add.at(want, word, tagger.weights[slot].astype(float))
+        seen, grams = [], langid.Words.grams
+        monkeypatch.setattr(langid.Words, "grams", lambda self, i, j, order, f=grams: seen.append(j - i) or f(self, i, j, order))
+        assert np.allclose(tagger.emissions(w), want, atol=1e-4)
+        monkeypatch.setattr(langid.Words, "grams", grams)
+        assert seen == [len({bytes(w.clean[a + 1 : b + 1]) for a, b in zip(w.starts, w.ends, strict=True)})] * len(langid.ORDERS)
+        alone = np.concatenate([tagger.emissions(langid.Words(*K.flat(pa.array([t], pa.large_string())))) for t in texts])
+        assert np.allclose(alone, want, atol=1e-4)  # whatever other texts the batch holds
+    assert tagger.emissions(langid.Words(*K.flat(pa.array([None, "1"], pa.large_string())))).shape == (0, 2)
+
+
 def test_language_of_whole_and_odd_texts(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     tagger = langid.train_on(docs.where("doc_id % 2 = 0"))
