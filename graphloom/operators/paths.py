@@ -98,7 +98,9 @@ class Matcher:
         self.rows, self.given = rows, given
         self.waiting = conjuncts(match.where)
         self.free, self.has_subquery = free, has_subquery
-        self.used: list[tuple[str, str, set[str]]] = []  # (one or many, column, kinds)
+        self.used: list[tuple[str, str, set[str], int]] = []  # (one or many, column, kinds, clause)
+        self.clause_of = dict(zip(map(id, match.paths), match.clauses, strict=True)) if match.clauses else {}
+        self.clause = 0
         self.hidden: list[str] = []
         self.todo: list[A.Path] = []
 
@@ -106,6 +108,8 @@ class Matcher:
         from ..plans.compiler import Names
 
         if var:
+            if var.startswith("\0"):  # named only to join hops
+                self.hidden.append(var)
             return var
         n = "\0" + Names.new("anon")
         self.hidden.append(n)
@@ -181,9 +185,13 @@ class Matcher:
         names = [self.name(n.var) for n in nodes]
         rel_names = [self.name(r.var) for r in rels]
         scope = self.rows.scope
+        self.clause = self.clause_of.get(id(p), 0)
         if not rels:
             if names[0] in scope:
                 self.narrow(nodes[0], names[0])
+                if self.clause < 0:  # as if it had been scanned first
+                    df, v = self.rows.node_table(self.candidates(nodes[0], names[0]))
+                    self.rows.df = self.rows.frame().join(df.select(F.col(v.id)), F.col(scope[names[0]].id) == F.col(v.id), "left_semi")
             else:
                 self.scan(nodes[0], names[0])
             self.apply_ready()
@@ -262,8 +270,8 @@ class Matcher:
         return ("one", None)
 
     def differ(self, how: str, col: str, kinds: set[str]) -> None:
-        for other, c, k in self.used:
-            if not kinds & k or c == col:
+        for other, c, k, clause in self.used:
+            if not kinds & k or c == col or clause != self.clause:
                 continue
             if how == other == "one":
                 test = F.col(col) != F.col(c)
@@ -273,7 +281,7 @@ class Matcher:
                 many, one = (col, c) if how == "many" else (c, col)
                 test = ~F.array_contains(F.col(many), F.col(one))
             self.rows.df = self.rows.df.where(test)
-        self.used.append((how, col, kinds))
+        self.used.append((how, col, kinds, self.clause))
 
     # --- variable length and shortest paths
 
@@ -402,19 +410,20 @@ class Matcher:
         rows = self.rows
         if not rows.folding or rows.df is None:
             return
-        rels = rels + [e for p in self.todo for e in p.elements[1::2]]
+        ahead_of = [(r, self.clause) for r in rels] + [(e, self.clause_of.get(id(p), 0)) for p in self.todo for e in p.elements[1::2]]
         needed = ahead | rows.later | {e.var for p in self.todo for e in p.elements if e.var} | {n for e in self.waiting for n in self.free(e)}
         keep = {n: v for n, v in rows.scope.items() if n in needed}
         if len(keep) == len(rows.scope) or not keep or any(not isinstance(v, NodeVar) for v in keep.values()):
             return
-        kinds = {k[0] for r in rels for k in rows.graph.rels if _fits(k, r.types)}
-        self.used = [u for u in self.used if u[2] & kinds]
+        kinds = {(k[0], c) for r, c in ahead_of for k in rows.graph.rels if _fits(k, r.types)}
+        self.used = [u for u in self.used if any((k, u[3]) in kinds for k in u[2])]
         by = dict.fromkeys([*(v.id for v in keep.values()), *(u[1] for u in self.used)])
         weight = Names.new("w")
         total = F.sum(rows.weight) if rows.weight else F.count(F.lit(1))
-        rows.df = rows.df.groupBy(*by).agg(total.alias(weight))
+        read = [c for n, v in keep.items() if n in rows.later for c in v.columns() if c != v.id]  # properties the groups may ask for
+        rows.df = rows.df.groupBy(*by).agg(total.alias(weight), *[F.first(c).alias(c) for c in dict.fromkeys(read)])
         rows.weight = weight
-        rows.scope = {n: NodeVar(v.id, v.tables, None, None, v.nullable) for n, v in keep.items()}
+        rows.scope = {n: v if n in rows.later else NodeVar(v.id, v.tables, None, None, v.nullable) for n, v in keep.items()}
 
     def run(self, match: A.Match) -> None:
         self.todo = todo = list(match.paths)

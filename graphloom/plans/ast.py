@@ -114,6 +114,7 @@ class Match(Node):
     paths: tuple[Path, ...]
     where: Expr | None
     optional: bool
+    clauses: tuple[int, ...] = ()  # of each path, where several clauses were made one (see ``order``); -1: a node must exist
 
 
 @dataclass(frozen=True)

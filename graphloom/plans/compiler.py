@@ -26,6 +26,7 @@ from ..graph import Graph, LabelSet
 from ..operators import paths as P
 from ..storage import staged
 from . import ast as A
+from . import order
 from .scope import Binding, NodeVar, RelVar, ValueVar, node_struct, rel_struct
 from .types import BOOL, ENTITY, FLOAT, INT, NULL, NUMBER, STR, TEMPORAL, T, Typed, coerce, from_spark, join_types, list_of, nothing, to_spark
 
@@ -87,14 +88,18 @@ def has_subquery(e) -> bool:
 
 
 def only_counts(clauses: tuple) -> bool:
-    """MATCH clauses and then nothing but ``count(*)``."""
+    """MATCH clauses and then ``count(*)``, of all rows or of groups."""
     last = clauses[-1]
+    if not isinstance(last, A.Projection) or last.star:
+        return False
+    exprs = [*(i.expr for i in last.items), *(e for e, _ in last.order)]
+    calls = [n for e in exprs for n in e.walk() if is_aggregate(n)]
     return (
         all(isinstance(c, A.Match) for c in clauses[:-1])
         and len(clauses) > 1
-        and isinstance(last, A.Projection)
-        and [i.expr for i in last.items] == [A.Call("count", (), False, True)]
-        and not (last.star or last.distinct or last.order or last.skip or last.limit)
+        and any(has_aggregate(i.expr) for i in last.items)
+        and all(n == A.Call("count", (), False, True) for n in calls)
+        and not any(has_subquery(e) for e in exprs)
         and not any(p.var for c in clauses[:-1] for p in c.paths)
     )
 
@@ -120,6 +125,8 @@ class Rows:
 
     #: Turn off to compare the folded plan with the plain one.
     fold_counts = True
+    #: Turn off to take hops as written.
+    order_hops = True
 
     def like(self, df: DataFrame | None, scope: dict[str, Binding]) -> Rows:
         out = Rows(self.graph, self.params, df, scope, self.corr)
@@ -672,6 +679,8 @@ class Rows:
             rows.closed = self.closed
             rows.reach = getattr(self, "reach", False)
             rows.folding = self.fold_counts and not self.scope and not self.corr and only_counts(clauses)
+            if self.order_hops and not self.scope and not self.corr and self.df is None:
+                clauses = order.arranged(self.graph, clauses, rows.folding)
             for i, c in enumerate(clauses):
                 rows.later = {n for x in clauses[i + 1 :] for n in free(x)}
                 rows.clause(c)
