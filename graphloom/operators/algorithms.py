@@ -2,8 +2,9 @@
 
 Most are loops of joins and pre-aggregated sums or minima; each round is a table in the
 shared folder, so lineage never grows and a lost executor costs a round's tasks at most.
-Three (Louvain, betweenness, closeness) and k shortest paths need random access to the
-whole graph: they check its size first and refuse what would not fit.
+Betweenness and closeness need random access to the whole graph, Louvain to each connected
+component, k shortest paths to what lies on short routes: they check its size first and
+refuse what would not fit.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from ..storage import staged, unstage
 
 #: Largest graph (vertices plus edges) that is held in one process.
 MAX_LOCAL = 20_000_000
+#: Vertices plus edges up to which k shortest paths reads the whole graph at once.
+SMALL = 500_000
 #: Vertices times edges beyond which all-pairs work is refused.
 MAX_PAIRS_WORK = 10**10
 NEVER = (1 << 63) - 1
@@ -33,6 +36,11 @@ class Result:
         self.values, self.rounds, self.settled, self.extra = values, rounds, settled, extra or {}
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the graph: shuffled, never sent to all by way of the driver."""
+    return df.hint("merge")
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     """The undirected simple graph: no loops, no parallel edges, both directions."""
     e = edges.where("src <> dst").select("src", "dst")
@@ -58,9 +66,9 @@ def page_rank(vertices: DataFrame, edges: DataFrame, *, damping: float = 0.85, t
     k, settled, last = 0, False, None
     while k < max_iterations and not settled:
         k += 1
-        pulled = E.join(now.select(F.col("id").alias("src"), "value"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("value") / F.col("deg")).alias("in"))
+        pulled = E.join(apart(now.select(F.col("id").alias("src"), "value")), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("value") / F.col("deg")).alias("in"))
         base = (1 - damping) / n + damping * dangling / n
-        new = now.join(pulled, "id", "left").select("id", "flows", (F.lit(base) + damping * F.coalesce("in", F.lit(0.0))).alias("value"), F.col("value").alias("old"))
+        new = now.join(apart(pulled), "id", "left").select("id", "flows", (F.lit(base) + damping * F.coalesce("in", F.lit(0.0))).alias("value"), F.col("value").alias("old"))
         new = staged(new, f"rank-{k}")
         change, lost = new.agg(F.sum(F.abs(F.col("value") - F.col("old"))), F.sum(F.when(~F.col("flows"), F.col("value")))).first()
         dangling, settled = lost or 0.0, change <= tolerance
@@ -69,12 +77,18 @@ def page_rank(vertices: DataFrame, edges: DataFrame, *, damping: float = 0.85, t
     return Result(now.select("id", "value"), k, settled)
 
 
-def _spread_min(V: DataFrame, E: DataFrame) -> DataFrame:
-    """``(id, value)``: the least label of all vertices ``(id, label)`` that reach each along ``E``, to the fixpoint."""
-    now, last = V.select("id", F.col("label").alias("value")), None
+def _spread_min(V: DataFrame, E: DataFrame, sign: int = 1) -> DataFrame:
+    """``(id, value)``: the least ``id * sign`` of all vertices that reach each along ``E``, to the fixpoint.
+
+    A vertex takes the least label of those before it, and that of the vertex its label names:
+    what reaches that one reaches this one too.  So on a path whose ids go up a label travels
+    twice as far in each round.
+    """
+    now, last = V.select("id", (F.col("id") * sign).alias("value")), None
     while True:
-        low = E.join(now.select(F.col("id").alias("src"), "value"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("value").alias("low"))
-        new = now.join(low, "id", "left").select("id", F.least("value", F.coalesce("low", "value")).alias("value"), F.col("value").alias("old"))
+        low = E.join(apart(now.select(F.col("id").alias("src"), "value")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("value").alias("low"))
+        jump = now.where(F.col("id") * sign != F.col("value")).select((F.col("id") * sign).alias("value"), F.col("value").alias("far"))
+        new = now.join(apart(low), "id", "left").join(apart(jump), "value", "left").select("id", F.least("value", "low", "far").alias("value"), F.col("value").alias("old"))
         new = staged(new, "spread")
         unstage(last)
         last, now = new, new.drop("old")
@@ -89,11 +103,11 @@ def wcc(vertices: DataFrame, edges: DataFrame, **_) -> Result:
     k = 0
     while True:
         k += 1
-        low = E.join(now.select(F.col("id").alias("src"), "value"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("value").alias("low"))
-        met = now.join(low, "id", "left").select("id", F.least("value", F.coalesce("low", "value")).alias("value"), F.col("value").alias("old"))
+        low = E.join(apart(now.select(F.col("id").alias("src"), "value")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("value").alias("low"))
+        met = now.join(apart(low), "id", "left").select("id", F.least("value", F.coalesce("low", "value")).alias("value"), F.col("value").alias("old"))
         met = staged(met, f"met-{k}")
-        jump = met.select(F.col("id").alias("value"), F.col("value").alias("far"))
-        new = staged(met.join(jump, "value", "left").select("id", F.least("value", F.coalesce("far", "value")).alias("value"), "old"), f"jump-{k}")
+        jump = met.where("id <> value").select(F.col("id").alias("value"), F.col("value").alias("far"))
+        new = staged(met.join(apart(jump), "value", "left").select("id", F.least("value", F.coalesce("far", "value")).alias("value"), "old"), f"jump-{k}")
         unstage(met, last)
         last, now = new, new.drop("old")
         if new.where("value <> old").limit(1).count() == 0:
@@ -116,19 +130,18 @@ def scc(vertices: DataFrame, edges: DataFrame, **_) -> Result:
     done, k = [], 0
     while left.limit(1).count():
         k += 1
-        core = staged(E.select(F.col("src").alias("id")).distinct().join(E.select(F.col("dst").alias("id")).distinct(), "id", "left_semi"), "core")
-        done.append(staged(left.join(core, "id", "left_anti").select("id", F.col("id").alias("root")), f"single-{k}"))
-        inner = E.join(core.select(F.col("id").alias("src")), "src", "left_semi").join(core.select(F.col("id").alias("dst")), "dst", "left_semi")
+        core = staged(E.select(F.col("src").alias("id")).distinct().join(apart(E.select(F.col("dst").alias("id")).distinct()), "id", "left_semi"), "core")
+        done.append(staged(left.join(apart(core), "id", "left_anti").select("id", F.col("id").alias("root")), f"single-{k}"))
+        inner = E.join(apart(core.select(F.col("id").alias("src"))), "src", "left_semi").join(apart(core.select(F.col("id").alias("dst"))), "dst", "left_semi")
         inner = staged(inner.select("src", "dst"), "inner")
         sign = 1 if k % 2 else -1
-        labelled = core.select("id", (F.col("id") * sign).alias("label"))
-        ahead = _spread_min(labelled, inner)
-        back = _spread_min(labelled, inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        both = staged(ahead.join(back.select("id", F.col("value").alias("other")), "id"), "both")
+        ahead = _spread_min(core, inner, sign)
+        back = _spread_min(core, inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")), sign)
+        both = staged(ahead.join(apart(back.select("id", F.col("value").alias("other"))), "id"), "both")
         done.append(staged(both.where("value = other").select("id", (F.col("value") * sign).alias("root")), f"scc-{k}"))
         rest = both.where("value <> other")
         mark = lambda end: rest.select(F.col("id").alias(end), F.struct("value", "other").alias(f"of_{end}"))  # noqa: B023, E731
-        kept = inner.join(mark("src"), "src").join(mark("dst"), "dst").where("of_src = of_dst").select("src", "dst")
+        kept = inner.join(apart(mark("src")), "src").join(apart(mark("dst")), "dst").where("of_src = of_dst").select("src", "dst")
         new_left, new_edges = staged(rest.select("id"), f"left-{k}"), staged(kept, f"edges-{k}")
         unstage(left, E, core, inner, both)
         left, E = new_left, new_edges
@@ -138,7 +151,7 @@ def scc(vertices: DataFrame, edges: DataFrame, **_) -> Result:
     out = staged(out, "roots")
     unstage(*done)
     least = out.groupBy("root").agg(F.min("id").alias("value"))
-    values = out.join(least, "root").select("id", "value")
+    values = out.join(apart(least), "root").select("id", "value")
     return Result(values, k, True, {"componentCount": out.select("root").distinct().count()})
 
 
@@ -215,9 +228,9 @@ def label_propagation(vertices: DataFrame, edges: DataFrame, *, max_iterations:
     k, settled, swung, last = 0, False, False, now
     while k < max_iterations and not settled and not swung:
         k += 1
-        votes = E.join(now.select(F.col("id").alias("dst"), "value"), "dst").groupBy("src", "value").agg(F.count(F.lit(1)).alias("n"))
+        votes = E.join(apart(now.select(F.col("id").alias("dst"), "value")), "dst").groupBy("src", "value").agg(F.count(F.lit(1)).alias("n"))
         best = votes.groupBy(F.col("src").alias("id")).agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("best"))
-        new = now.join(best, "id", "left").select("id", F.coalesce("best", "value").alias("value"), F.col("value").alias("before"), F.col("before").alias("older"))
+        new = now.join(apart(best), "id", "left").select("id", F.coalesce("best", "value").alias("value"), F.col("value").alias("before"), F.col("before").alias("older"))
         new = staged(new, f"labels-{k}")
         changed, again = new.agg(F.sum((F.col("value") != F.col("before")).cast("int")), F.sum((F.col("older").isNull() | (F.col("value") != F.col("older"))).cast("int"))).first()
         settled, swung = not changed, k >= 2 and not again and bool(changed) and not graphalytics
@@ -254,35 +267,19 @@ class Local:
         return self.to[self.start[v] : self.start[v + 1]]
 
 
-def _frame(spark, ids, values, kind: str) -> DataFrame:
-    t = pa.int64() if kind == "bigint" else pa.float64()
-    import pandas as pd
-
-    return spark.createDataFrame(pd.DataFrame({"id": np.asarray(ids, np.int64), "value": np.asarray(values, t.to_pandas_dtype())}), f"id bigint, value {kind}")
-
-
-def louvain(vertices: DataFrame, edges: DataFrame, *, max_iterations: int = 20, resolution: float = 1.0, **_) -> Result:
-    """One level of local moves over vertices in id order, unweighted and undirected; communities bear their least id."""
-    spark = vertices.sparkSession
-    g = Local(vertices, both_ways(edges).withColumn("weight", F.lit(1.0)), simple=True)
-    n = len(g.ids)
-    deg = np.diff(g.start).astype(float)
-    total = deg.sum()
-    home = np.arange(n)
-    if total == 0:
-        return Result(_frame(spark, g.ids, g.ids, "bigint"), 0, True, {"modularity": 0.0, "communityCount": n})
-    mass = deg.copy()
-    rounds = 0
+def _moves(ids: np.ndarray, start: np.ndarray, to: np.ndarray, total: float, resolution: float, max_iterations: int):
+    """Local moves over vertices in id order: the community of each, rounds, and whether the last still moved one."""
+    n = len(ids)
+    deg = np.diff(start).astype(float)
+    home, mass = np.arange(n), deg.copy()
+    rounds, moved = 0, False
     while rounds < max_iterations:
         rounds += 1
         moved = False
         for v in range(n):
-            if deg[v] == 0:
-                continue
             links = defaultdict(float)
-            for u in g.next(v).tolist():
-                if u != v:
-                    links[int(home[u])] += 1.0
+            for u in to[start[v] : start[v + 1]].tolist():
+                links[int(home[u])] += 1.0
             old = int(home[v])
             mass[old] -= deg[v]
             worth = lambda c: links.get(c, 0.0) - resolution * mass[c] * deg[v] / total  # noqa: B023, E731
@@ -296,14 +293,56 @@ def louvain(vertices: DataFrame, edges: DataFrame, *, max_iterations: int = 20,
                 moved = True
         if not moved:
             break
-    owner = np.repeat(np.arange(n), np.diff(g.start))
-    inside = np.bincount(home[owner], home[owner] == home[g.to], n)
-    sums = np.bincount(home, deg, n)
-    quality = float((inside / total - resolution * (sums / total) ** 2).sum())
-    least = {}
-    for v in range(n):
-        least.setdefault(int(home[v]), int(g.ids[v]))
-    return Result(_frame(spark, g.ids, [least[int(h)] for h in home], "bigint"), rounds, not moved, {"modularity": quality, "communityCount": len(least)})
+    return home, rounds, moved
+
+
+def louvain(vertices: DataFrame, edges: DataFrame, *, max_iterations: int = 20, resolution: float = 1.0, **_) -> Result:
+    """One level of local moves over vertices in id order, unweighted and undirected; communities bear their least id.
+
+    A move looks at the communities of neighbours only, so connected components do not touch
+    each other: each is worked out whole in one task, and gives what one pass over all would.
+    """
+    spark = vertices.sparkSession
+    E = staged(both_ways(edges), "edges")
+    total = E.count()
+    single = vertices.select("id", F.col("id").alias("value"))
+    if total == 0:
+        return Result(single, 0, True, {"modularity": 0.0, "communityCount": vertices.count()})
+    parts = wcc(vertices, edges).values.select(F.col("id").alias("src"), F.col("value").alias("part"))
+    E = staged(E.join(apart(parts), "src").select("src", "dst", "part"), "edges")
+    if total > MAX_LOCAL:
+        most = E.groupBy("part").count().agg(F.max("count")).first()[0]
+        if most > MAX_LOCAL:
+            raise NotSupported(f"a connected component of {most} edges; this algorithm takes {MAX_LOCAL}")
+
+    def run(batches):
+        cols = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if not sum(len(a) for a, _ in cols):
+            return
+        src, dst = np.concatenate([a for a, _ in cols]), np.concatenate([b for _, b in cols])
+        del cols
+        ids = np.unique(src)
+        src, dst = np.searchsorted(ids, src), np.searchsorted(ids, dst)
+        order = np.lexsort((dst, src))
+        src, dst = src[order], dst[order]
+        start = np.searchsorted(src, np.arange(len(ids) + 1))
+        home, rounds, moved = _moves(ids, start, dst, float(total), resolution, max_iterations)
+        inside = np.bincount(src, home[src] == home[dst], len(ids)).astype(np.int64)
+        least = np.full(len(ids), NEVER)
+        np.minimum.at(least, home, ids)
+        full = [ids, least[home], inside, np.diff(start).astype(np.int64), np.full(len(ids), rounds), np.full(len(ids), int(moved))]
+        for at in range(0, len(ids), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000], pa.int64()) for x in full], names=["id", "value", "inside", "deg", "rounds", "moved"])
+
+    tasks = max(spark.sparkContext.defaultParallelism, total // 2_000_000)
+    found = staged(E.repartition(tasks, "part").mapInArrow(run, "id bigint, value bigint, inside bigint, deg bigint, rounds bigint, moved bigint"), "communities")
+    unstage(E)
+    rounds, moved = found.agg(F.max("rounds"), F.max("moved")).first()
+    groups = found.groupBy("value").agg(F.sum("inside").alias("i"), F.sum("deg").alias("d"))
+    share = F.col("d") / F.lit(float(total))
+    quality, n = groups.agg(F.sum(F.col("i") / F.lit(float(total)) - F.lit(resolution) * share * share), F.count(F.lit(1))).first()
+    out = staged(single.join(apart(found.select("id", F.col("value").alias("best"))), "id", "left").select("id", F.coalesce("best", "value").alias("value"), F.col("best").isNull().alias("alone")), "values")
+    return Result(out.select("id", "value"), rounds, not moved, {"modularity": float(quality), "communityCount": n + out.where("alone").count()})
 
 
 def _per_source(vertices: DataFrame, g: Local, one) -> DataFrame:
@@ -374,9 +413,71 @@ def closeness(vertices: DataFrame, edges: DataFrame, **_) -> Result:
     return Result(vertices.join(out, "id", "left").select("id", F.coalesce("value", F.lit(0.0)).alias("value")))
 
 
+def _distances(E: DataFrame, start: int, bound: float, stop: int | None = None) -> tuple[DataFrame, bool, float | None]:
+    """``(id, value)``: distances from ``start`` up to ``bound``; whether some were longer; the distance of ``stop``.
+
+    With ``stop`` the bound falls to its distance as soon as a route to it is known.
+    """
+    known = front = staged(E.sparkSession.range(1).select(F.lit(start).cast("bigint").alias("id"), F.lit(0.0).alias("value")), "distances")
+    cut, met = False, None
+    while True:
+        offers = E.join(front.select(F.col("id").alias("src"), "value"), "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("value") + F.col("weight")).alias("value"))
+        better = offers.join(known.withColumnRenamed("value", "old"), "id", "left").where("old IS NULL OR value < old").select("id", "value")
+        better = staged(better, "better")
+        n, far, at = better.agg(F.count(F.lit(1)), F.max("value"), F.min(F.when(F.col("id") == F.lit(stop), F.col("value")))).first()
+        if at is not None:
+            met, bound = at, min(bound, at * (1 + 1e-9))
+        if n and far > bound:
+            cut, better = True, better.where(F.col("value") <= bound)
+        front = better
+        if not n or not front.limit(1).count():
+            return known, cut, met
+        known = staged(known.join(apart(better.select("id")), "id", "left_anti").union(better), "distances")
+
+
 def k_shortest(vertices: DataFrame, edges: DataFrame, *, source: int, target: int, k: int = 1, **_) -> list[tuple[float, list[int]]]:
-    """The ``k`` cheapest loopless routes, cheapest first, ties by their nodes."""
-    g = Local(vertices, edges, simple=False)
+    """The ``k`` cheapest loopless routes, cheapest first, ties by their nodes.
+
+    A graph of more than ``SMALL`` vertices and edges stays where it is: only the vertices that lie on
+    a route of at most ``bound`` are held in one process, and the bound grows until it takes in
+    the ``k``-th route (or nothing lies beyond it).
+    """
+    if vertices.count() + edges.count() <= SMALL:
+        return _yen(Local(vertices, edges, simple=False), source, target, k)
+    ends = vertices.where(F.col("id").isin(source, target)).distinct().count()
+    if ends < len({source, target}):
+        return []
+    E = staged(edges.groupBy("src", "dst").agg(F.min("weight").alias("weight")), "edges")
+    least, positive = E.agg(F.min("weight"), F.min(F.when(F.col("weight") > 0, F.col("weight")))).first()
+    if least is not None and least < 0:
+        raise ArgumentError("a negative weight")
+    if source == target:
+        return [(0.0, [source])]
+    back = E.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    _, _, first = _distances(E, source, float("inf"), target)
+    if first is None:
+        return []
+    step = max(first, positive or 1.0)
+    bound = first + (step if k > 1 else 0.0)
+    while True:
+        limit = bound * (1 + 1e-9)
+        ahead, cut, _ = _distances(E, source, limit)
+        behind, cut_back, _ = _distances(back, target, limit)
+        within = ahead.join(behind.withColumnRenamed("value", "rest"), "id")
+        if cut or cut_back:
+            within = within.where(F.col("value") + F.col("rest") <= limit)
+        within = staged(within.select("id"), "within")
+        inner = E.join(within.select(F.col("id").alias("src")), "src", "left_semi").join(within.select(F.col("id").alias("dst")), "dst", "left_semi")
+        found = _yen(Local(within, staged(inner.select("src", "dst", "weight"), "inner"), simple=False), source, target, k)
+        full = len(found) >= k
+        if (full and found[-1][0] <= limit) or not (cut or cut_back):
+            return found
+        bound = found[-1][0] if full else bound + step
+        step *= 2
+
+
+def _yen(g: Local, source: int, target: int, k: int) -> list[tuple[float, list[int]]]:
+    """The routes of ``k_shortest`` in a graph that is held here."""
     spot = {int(v): i for i, v in enumerate(g.ids)}
     if source not in spot or target not in spot:
         return []
